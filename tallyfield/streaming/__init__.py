@@ -1,0 +1 @@
+"""Empty on purpose: every workload covered here is a batch job (see README, "Left out")."""
