@@ -63,8 +63,13 @@ def decile_label(bin_col) -> Column:
 
 
 def week_of(ts) -> Column:
-    """Monday of the week, as a DATE."""
-    return F.to_date(F.date_trunc("week", _c(ts)))
+    """Monday of the week as a DATE; date arithmetic only, so the session time zone plays no part."""
+    day = F.to_date(_c(ts))
+    return F.date_sub(day, F.weekday(day))
+
+
+def month_of(ts) -> Column:
+    return F.trunc(F.to_date(_c(ts)), "month")
 
 
 def any_of(flag) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyfield.functions.numeric import money_sum, round_half
+from tallyfield.functions.numeric import money_sum, month_of, round_half
 
 
 def executive_kpis(orders: DataFrame, returns: DataFrame, dim_cust: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def monthly_revenue(orders: DataFrame, before: str | None = None) -> DataFrame:
     """Revenue and distinct orders per month; ``before`` drops a partial final month."""
     if before:
         orders = orders.where(F.col("invoice_date") < F.lit(before).cast("timestamp_ntz"))
-    return (orders.groupBy(F.date_trunc("month", "invoice_date").cast("timestamp_ntz").alias("month"))
+    return (orders.groupBy(month_of("invoice_date").cast("timestamp_ntz").alias("month"))
             .agg(round_half(money_sum("line_total"), 2).alias("monthly_revenue"),
                  F.count_distinct("invoice_no").alias("order_count"))
             .orderBy("month"))

@@ -119,7 +119,7 @@ def rfm_from_orders(orders: DataFrame, end) -> DataFrame:
 
 def customer_week_panel(stg: DataFrame, home_country: str = "United Kingdom", post_from: str = "2010-06-01") -> DataFrame:
     """Sparse customer x country x week table, net of returns."""
-    return (stg.withColumn("week_date", F.date_trunc("week", "invoice_date").cast("timestamp_ntz"))
+    return (stg.withColumn("week_date", week_of("invoice_date").cast("timestamp_ntz"))
             .groupBy("customer_id", "country", "week_date")
             .agg(money_sum("line_total").alias("weekly_spend"),
                  F.count_distinct("invoice_no").alias("weekly_orders"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("warehouse_queries",)
+MODULES = ("warehouse_queries", "panel_queries")
 
 
 def _merge(attribute: str) -> dict:
