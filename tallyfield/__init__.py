@@ -1 +1,8 @@
 """Customer-value and policy-impact analytics over retail transaction tables, on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel with the job, so executors need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
