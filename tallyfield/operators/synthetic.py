@@ -45,9 +45,11 @@ def donor_matrix(series: DataFrame, t0: str) -> DataFrame:
     # at most n_donors entries per week
     donors = (series.where(F.col("series") >= 0).groupBy("week_date").agg(
         F.map_from_entries(F.collect_list(F.struct("series", "mean_outcome"))).alias("__m")))
-    filled = F.transform(F.sequence(F.lit(0), top), lambda j: F.coalesce(F.try_element_at("__m", j), F.lit(0.0)))
-    return (target.join(donors, "week_date", "left").where(F.col("__m").isNotNull() | (top >= 0))
-            .select("week_date", "target", filled.alias("donors"),
+    filled = F.transform(F.sequence(F.lit(0), F.col("__top")), lambda j: F.coalesce(F.try_element_at("__m", j), F.lit(0.0)))
+    return (target.join(donors, "week_date", "left").withColumn("__top", top).where(F.col("__top") >= 0)
+            .select("week_date", "target",
+                    F.when(F.col("__m").isNull(), F.transform(F.sequence(F.lit(0), F.col("__top")), lambda j: F.lit(0.0)))
+                    .otherwise(filled).alias("donors"),
                     (F.col("week_date") >= F.lit(t0).cast("date")).alias("is_post")))
 
 
@@ -105,7 +107,7 @@ _RESULT = T.StructType([
     T.StructField("pre_rmspe", T.DoubleType()), T.StructField("weights", T.ArrayType(T.DoubleType()))])
 
 
-def _solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     kind, donor = key
     pdf = pdf.sort_values("week_date")
     all_donors = np.stack(pdf["donors"].to_numpy())
@@ -130,12 +132,14 @@ def _solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
 def refits(matrix: DataFrame, kinds: tuple[str, ...] = (MAIN, PLACEBO, LEAVE_OUT)) -> DataFrame:
     """Weights, effect and fit of the main problem and of every placebo / left-out donor."""
     every = F.sequence(F.lit(0), F.size("donors") - 1)
+
+    def per_donor(kind: str):
+        return F.transform(every, lambda j: F.struct(F.lit(kind).alias("kind"), j.alias("donor")))
+
     problems = []
     if MAIN in kinds:
         problems.append(F.array(F.struct(F.lit(MAIN).alias("kind"), F.lit(-1).alias("donor"))))
-    for kind in (PLACEBO, LEAVE_OUT):
-        if kind in kinds:
-            problems.append(F.transform(every, lambda j, k=kind: F.struct(F.lit(k).alias("kind"), j.alias("donor"))))
+    problems += [per_donor(kind) for kind in (PLACEBO, LEAVE_OUT) if kind in kinds]
     spread = matrix.withColumn("p", F.explode(F.concat(*problems))).select("p.*", "week_date", "target", "donors", "is_post")
     return spread.groupBy("kind", "donor").applyInPandas(_solve, _RESULT)
 
