@@ -22,8 +22,8 @@ from tallyfield.functions.special import lbeta, lgamma
 from tallyfield.operators.rfm import monetary_column
 from tallyfield.operators.scoring import BetaGeometric, GammaGamma, ParetoNbd, pareto_terms
 
-TUPLES_PER_TASK = 100_000
-LIMIT = 12.0  # log-parameters stay within +-12; a flat likelihood may run to the edge and is then flagged
+TUPLES_PER_TASK = 20_000  # tuples times problems
+LIMIT = 8.0  # log-parameters on scaled data stay within +-8; a flat likelihood may run to the edge and is then flagged
 
 
 @dataclass(frozen=True)
@@ -183,16 +183,26 @@ def _derivatives(f: np.ndarray, k: int, h: float):
     return f[0], grad, hess
 
 
-def _direction(grad: np.ndarray, hess: np.ndarray) -> np.ndarray:
+def _direction(theta: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> np.ndarray:
+    """Newton step with the curvature made positive; parameters pressed against a bound stay there."""
+    free = ~((theta <= -LIMIT + 1e-9) & (grad > 0) | (theta >= LIMIT - 1e-9) & (grad < 0))
+    full = np.zeros(len(theta))
+    if not free.any():
+        return full
+    full[free] = _newton(grad[free], hess[np.ix_(free, free)])
+    return full
+
+
+def _newton(grad: np.ndarray, hess: np.ndarray) -> np.ndarray:
     values, vectors = np.linalg.eigh(hess)
     values = np.maximum(np.abs(values), 1e-8 * max(1.0, np.abs(values).max()))
     step = -vectors @ ((vectors.T @ grad) / values)
     longest = np.abs(step).max()
-    return step * min(1.0, 2.0 / longest) if longest > 0 else step
+    return step * min(1.0, 3.0 / longest) if longest > 0 else step
 
 
 def fit(tuples: DataFrame, model: str, n_problems: int = 1, penalties: Sequence[float] | None = None,
-        max_iterations: int = 60, h: float = 1e-3, tolerance: float = 1e-9) -> list[Fit]:
+        max_iterations: int = 40, h: float = 1e-3, tolerance: float = 1e-8) -> list[Fit]:
     """Newton in log-parameters for all problems at once. The tuples are cached for the passes."""
     spec = SPECS[model]
     k = len(spec.names)
@@ -206,7 +216,7 @@ def fit(tuples: DataFrame, model: str, n_problems: int = 1, penalties: Sequence[
         scale = float(size["scale"] or 1.0)
         tolerance = max(1e-13, min(tolerance, 1e-3 / max(float(n.max()), 1.0)))
         # every pass starts one Python task per partition: a small table should not pay for many
-        wanted = 1 + int(size["rows"]) // TUPLES_PER_TASK
+        wanted = 1 + int(size["rows"]) * n_problems // TUPLES_PER_TASK
         if wanted < data.rdd.getNumPartitions():
             small = data.coalesce(wanted).persist()
         table = small if small is not None else data
@@ -234,12 +244,13 @@ def fit(tuples: DataFrame, model: str, n_problems: int = 1, penalties: Sequence[
                 rounds[i] += 1
                 f, g, hess = _derivatives(values[i], k, h)
                 if state[i] is None or f < state[i][0] or (f <= state[i][0] + 1e-15 and np.abs(g).max() < np.abs(state[i][1]).max()):
-                    theta[i], state[i], scale_of[i] = trial[i], (f, g, hess), 1.0
-                    step[i] = _direction(g, hess)
-                    if abs(g @ step[i]) < tolerance:
+                    gain = np.inf if state[i] is None else state[i][0] - f
+                    theta[i], state[i] = trial[i], (f, g, hess)
+                    step[i], full_step, scale_of[i] = _direction(theta[i], g, hess), scale_of[i] == 1.0, 1.0
+                    if abs(g @ step[i]) < tolerance or (full_step and gain < tolerance):
                         done[i] = converged[i] = True
-                elif scale_of[i] > 1e-4:
-                    scale_of[i] *= 0.25
+                elif scale_of[i] > 2e-3:
+                    scale_of[i] *= 0.2
                 else:
                     done[i], converged[i] = True, bool(np.abs(state[i][1]).max() < 1e-5)
     finally:
@@ -292,13 +303,18 @@ def fit_labelled(frames: DataFrame, label: str, labels: Sequence[str], model: st
 
 
 def fit_bootstrap(rfm: DataFrame, n: int, seed: int = 42, penalizer: float = 0.0
-                  ) -> tuple[list[tuple[BetaGeometric, GammaGamma]], int]:
-    """Refit both models on ``n`` resamples. Replicates that do not converge are left out and counted."""
-    weights = bootstrap_weights(n, seed)
-    bg = fit(purchase_tuples(rfm, weights), "bgnbd", n, [penalizer] * n)
-    gg = fit(value_tuples(rfm, weights), "gammagamma", n, [penalizer] * n)
-    kept = [(_bg(a), GammaGamma(**b.params)) for a, b in zip(bg, gg) if np.isfinite(a.log_likelihood) and np.isfinite(b.log_likelihood)]
-    return kept, n - len(kept)
+                  ) -> tuple[BetaGeometric, GammaGamma, list[tuple[BetaGeometric, GammaGamma]], int]:
+    """Point fit and ``n`` refits on resamples, all in the same passes.
+
+    Returns both point models, the refitted pairs and the number of replicates left out because a
+    likelihood was not finite.
+    """
+    weights = [F.lit(1), *bootstrap_weights(n, seed)]
+    bg = fit(purchase_tuples(rfm, weights), "bgnbd", n + 1, [penalizer] * (n + 1))
+    gg = fit(value_tuples(rfm, weights), "gammagamma", n + 1, [penalizer] * (n + 1))
+    pairs = [(_bg(a), GammaGamma(**b.params)) for a, b in zip(bg[1:], gg[1:])
+             if np.isfinite(a.log_likelihood) and np.isfinite(b.log_likelihood)]
+    return _bg(bg[0]), GammaGamma(**gg[0].params), pairs, n - len(pairs)
 
 
 def fits_frame(spark, rows: Sequence[tuple[str, Fit]]) -> DataFrame:

@@ -53,12 +53,24 @@ def donor_matrix(series: DataFrame, t0: str) -> DataFrame:
                     (F.col("week_date") >= F.lit(t0).cast("date")).alias("is_post")))
 
 
+def _solve_kkt(kkt: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+    try:
+        v = np.linalg.solve(kkt, rhs)
+        if np.all(np.isfinite(v)) and np.abs(kkt @ v - rhs).max() < 1e-9:
+            return v
+    except np.linalg.LinAlgError:
+        pass
+    return np.linalg.lstsq(kkt, rhs, rcond=None)[0]  # more active donors than weeks, or equal donors
+
+
 def simplex_weights(y: np.ndarray, donors: np.ndarray) -> np.ndarray:
     """Least squares over w >= 0, sum(w) = 1, by an active-set search that ends at the exact optimum."""
     j = donors.shape[1]
     if j == 0:
         return np.zeros(0)
     gram, cross = donors.T @ donors, donors.T @ y
+    unit = float(np.mean(np.diag(gram))) or 1.0  # keeps the sum constraint on the scale of the rest
+    gram, cross = gram / unit, cross / unit
     w = np.zeros(j)
     w[int(np.argmin(np.diag(gram) - 2.0 * cross))] = 1.0
     slack = 1e-10 * max(1.0, float(np.abs(gram).max()))
@@ -77,7 +89,7 @@ def simplex_weights(y: np.ndarray, donors: np.ndarray) -> np.ndarray:
             kkt = np.zeros((m + 1, m + 1))
             kkt[:m, :m] = gram[np.ix_(idx, idx)]
             kkt[:m, m] = kkt[m, :m] = 1.0
-            v = np.linalg.lstsq(kkt, np.append(cross[idx], 1.0), rcond=1e-13)[0][:m]
+            v = _solve_kkt(kkt, np.append(cross[idx], 1.0))[:m]
             if (v > 0).all():
                 w = np.zeros(j)
                 w[idx] = v

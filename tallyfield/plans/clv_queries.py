@@ -75,7 +75,15 @@ def fitted(f: Frames) -> dict[str, dict]:
     return _FITS[key]
 
 
-_FITS: dict[tuple, dict] = {}
+def bootstrap(f: Frames):
+    """Point fit and bootstrap refits of the whole table, once per session."""
+    key = (f.spark.sparkContext.applicationId, f.sf_dir, "bootstrap")
+    if key not in _FITS:
+        _FITS[key] = fitting.fit_bootstrap(full_rfm(f), DEFAULTS.n_bootstraps, DEFAULTS.seed)
+    return _FITS[key]
+
+
+_FITS: dict[tuple, object] = {}
 
 
 def fitted_preds(f: Frames) -> DataFrame:
@@ -158,17 +166,15 @@ def r16(f):
 def r14f(f):
     """Fit both models on the whole table and score every customer, with bootstrap bounds (R15)."""
     base = full_rfm(f)
-    bg, _ = fitting.fit_bg(base)
-    gg, _ = fitting.fit_gamma_gamma(base)
+    bg, gg, refits, _ = bootstrap(f)
     scored = scoring.check_scores(scoring.score_customers(base, bg, gg))
-    fits, _ = fitting.fit_bootstrap(base, 10)
-    return scoring.bootstrap_bounds(scored, fits)
+    return scoring.bootstrap_bounds(scored, refits)
 
 
 @query("r15_bootstrap_bounds")
 def r15(f):
-    fits, _ = fitting.fit_bootstrap(full_rfm(f), DEFAULTS.n_bootstraps, DEFAULTS.seed)
-    return scoring.bootstrap_bounds(scores(f), fits).select(
+    _, _, refits, _ = bootstrap(f)
+    return scoring.bootstrap_bounds(scores(f), refits).select(
         "customer_id", "clv_12m", "clv_12m_lower", "clv_12m_upper", "clv_24m", "clv_24m_lower", "clv_24m_upper")
 
 
