@@ -63,11 +63,14 @@ def pre_invoices(lines: DataFrame, t0: str) -> DataFrame:
 
 
 def pre_summary(lines: DataFrame, t0: str) -> DataFrame:
+    return invoice_summary(pre_invoices(lines, t0))
+
+
+def invoice_summary(invoices: DataFrame) -> DataFrame:
     """Pre-period spend, orders, median order value and first week, per customer with an order before t0.
 
     A customer with an order before t0 has its first week before t0, so eligibility needs no second table.
     """
-    invoices = pre_invoices(lines, t0)
     sums = invoices.groupBy("customer_id").agg(
         money_sum("order_val").alias("pre_spend"), F.count(F.lit(1)).alias("pre_orders"),
         week_of(F.min("invoice_date")).alias("first_week"))
@@ -95,12 +98,15 @@ def spend_quintiles(summary: DataFrame, bins: int = 5, out: str = "spend_quintil
 
 
 def spend_growth(lines: DataFrame, t0: str, settings: Settings = DEFAULTS) -> DataFrame:
+    return invoice_growth(pre_invoices(lines, t0), t0, settings)
+
+
+def invoice_growth(invoices: DataFrame, t0: str, settings: Settings = DEFAULTS) -> DataFrame:
     """(late - early) / (late + early + damping), halves of each customer's own span up to t0.
 
     The first date comes from a join, not a window: a customer holding many invoices is split by
     the skew-join rule instead of being sorted in one task.
     """
-    invoices = pre_invoices(lines, t0)
     firsts = invoices.groupBy("customer_id").agg(F.min("invoice_date").alias("__first"))
     end = F.lit(t0).cast("timestamp_ntz")
 
@@ -144,8 +150,9 @@ def assign(customers: DataFrame, settings: Settings = DEFAULTS, mode: str = "str
 
 def customer_table(lines: DataFrame, t0: str, settings: Settings = DEFAULTS, mode: str = "stratified_random") -> DataFrame:
     """One row per eligible customer: rates, quintile, growth, treatment."""
-    base = spend_quintiles(pre_summary(lines, t0).join(
-        spend_growth(lines, t0, settings).select("customer_id", "spend_growth"), "customer_id"))
+    invoices = stored(pre_invoices(lines, t0), "pre-invoices")  # read by the sums, the medians and both growth steps
+    base = spend_quintiles(invoice_summary(invoices).join(
+        invoice_growth(invoices, t0, settings).select("customer_id", "spend_growth"), "customer_id"))
     return assign(order_rates(base, t0, settings), settings, mode)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("warehouse_queries", "clv_queries", "panel_queries", "causal_queries", "decision_queries")
+MODULES = ("warehouse_queries", "sink_queries", "clv_queries", "panel_queries", "causal_queries", "decision_queries")
 
 
 def _merge(attribute: str) -> dict:
