@@ -77,9 +77,13 @@ def mean_order_value(df: DataFrame, g: GammaGamma, settings: Settings = DEFAULTS
         F.coalesce(F.avg(value), F.lit(settings.fallback_order_value))).scalar()
 
 
-def mean_base_value(df: DataFrame, settings: Settings = DEFAULTS) -> Column:
+def _mean_base(df: DataFrame, settings: Settings) -> DataFrame:
     base = "monetary_value" if "monetary_value" in df.columns else monetary_column(df)
-    return df.where(F.col(base) > 0).agg(F.coalesce(F.avg(base), F.lit(settings.fallback_order_value))).scalar()
+    return df.where(F.col(base) > 0).agg(F.coalesce(F.avg(base), F.lit(settings.fallback_order_value)))
+
+
+def mean_base_value(df: DataFrame, settings: Settings = DEFAULTS) -> Column:
+    return _mean_base(df, settings).scalar()
 
 
 def with_expected_order_value(df: DataFrame, g: GammaGamma, out: str = "expected_avg_order_value",
@@ -261,7 +265,8 @@ def bootstrap_bounds(scored: DataFrame, fits: Sequence[tuple[BetaGeometric, Gamm
             out[f"clv_{m}m_lower"], out[f"clv_{m}m_upper"] = low, high
         return pd.DataFrame(out)
 
-    base = F.when(F.col("monetary_value") > 0, F.col("monetary_value")).otherwise(mean_base_value(scored, settings))
+    mean = float(_mean_base(scored, settings).first()[0])  # a literal: inputs of a pandas UDF cannot hold a subquery
+    base = F.when(F.col("monetary_value") > 0, F.col("monetary_value")).otherwise(F.lit(mean))
     df = scored.withColumn("__b", bounds(F.col("frequency").cast("double"), "recency", "T", monetary_column(scored), base))
     for m in horizons:
         point = F.col(f"clv_{m}m")

@@ -93,8 +93,10 @@ def customer_rfm(stg: DataFrame) -> DataFrame:
 
     Age runs to the last date of all lines, returns included; the repeat value leaves out the smallest order.
     """
-    last = stg.agg(F.max("invoice_date"))
-    return rfm_from_orders(order_grain(order_lines(stg)), last.scalar())
+    # a literal, not a subquery: age feeds Python scoring functions, whose inputs cannot hold a subquery
+    last = stg.agg(F.max("invoice_date")).first()[0]
+    end = F.lit(None if last is None else last.isoformat(sep=" ")).cast("timestamp_ntz")
+    return rfm_from_orders(order_grain(order_lines(stg)), end)
 
 
 def rfm_from_orders(orders: DataFrame, end) -> DataFrame:
