@@ -31,11 +31,21 @@ def stg_orders(raw: DataFrame) -> DataFrame:
             ))
 
 
+def largest_text(df: DataFrame, key: str, column: str) -> DataFrame:
+    """MAX of a text column per key, over the distinct pairs.
+
+    A text maximum cannot live in a hash-aggregation buffer, so asking for it next to other aggregates
+    makes Spark sort every line. Distinct pairs collapse map-side first; only they are sorted.
+    """
+    return df.select(key, column).distinct().groupBy(key).agg(F.max(column).alias(column))
+
+
 def stg_customers(stg: DataFrame) -> DataFrame:
-    return stg.groupBy("customer_id").agg(
+    pairs = stg.groupBy("customer_id", "country").agg(F.min("invoice_date").alias("lo"), F.max("invoice_date").alias("hi"))
+    return pairs.groupBy("customer_id").agg(
         F.max("country").alias("country"),
-        F.min("invoice_date").alias("first_order_date"),
-        F.max("invoice_date").alias("last_order_date"))
+        F.min("lo").alias("first_order_date"),
+        F.max("hi").alias("last_order_date"))
 
 
 def int_orders(stg: DataFrame, copies_per_task: int = 1_000_000) -> DataFrame:
@@ -133,10 +143,10 @@ def customer_week_panel(stg: DataFrame, home_country: str = "United Kingdom", po
 
 def dim_customers(stg: DataFrame) -> DataFrame:
     """Customer dimension. Counting invoices at invoice grain first replaces two distinct counts
-    (and the row expansion they cost) by plain sums, and spreads a hot customer over its invoices."""
+    (and the row expansion they cost) by plain sums, and spreads a hot customer over its invoices.
+    Both sides of the join are already partitioned by customer."""
     q, amount = F.col("quantity"), F.col("line_total")
     per_invoice = stg.groupBy("customer_id", "invoice_no").agg(
-        F.max("country").alias("country"),
         F.min("invoice_date").alias("lo"), F.max("invoice_date").alias("hi"),
         any_of(~F.col("is_return")).alias("bought"), any_of(F.col("is_return")).alias("returned"),
         F.sum(F.when(q > 0, q).otherwise(0)).alias("items_in"),
@@ -146,12 +156,12 @@ def dim_customers(stg: DataFrame) -> DataFrame:
         money_sum(amount, narrow=True).alias("net"),
         F.count(F.when(q > 0, amount)).alias("in_lines"))
     per = per_invoice.groupBy("customer_id").agg(
-        F.max("country").alias("country"), F.min("lo").alias("first_purchase_date"),
+        F.min("lo").alias("first_purchase_date"),
         F.max("hi").alias("last_purchase_date"), F.sum("bought").alias("total_orders"),
         F.sum("returned").alias("total_return_orders"), F.sum("items_in").alias("total_items_purchased"),
         F.sum("items_out").alias("total_items_returned"), money_sum("gross").alias("__gross"),
         money_sum("refund").alias("__refund"), money_sum("net").alias("__net"), F.sum("in_lines").alias("__lines"))
-    return per.select(
+    return per.join(largest_text(stg, "customer_id", "country"), "customer_id").select(
         "customer_id", "country", "first_purchase_date", "last_purchase_date",
         "total_orders", "total_return_orders", "total_items_purchased", "total_items_returned",
         round_half("__gross", MONEY).alias("gross_spend"), round_half("__refund", MONEY).alias("return_spend"),
@@ -162,12 +172,15 @@ def dim_customers(stg: DataFrame) -> DataFrame:
 
 def dim_products(stg: DataFrame) -> DataFrame:
     per_invoice = stg.groupBy("stock_code", "invoice_no").agg(
-        F.max("description").alias("description"), F.sum("unit_price").alias("price"),
+        F.sum("unit_price").alias("price"),
         F.count("unit_price").alias("lines"), any_of(~F.col("is_return")).alias("bought"),
         F.sum("quantity").alias("quantity"), money_sum("line_total", narrow=True).alias("net"))
-    return per_invoice.groupBy("stock_code").agg(
-        F.max("description").alias("description"),
+    per = per_invoice.groupBy("stock_code").agg(
         round_half(ratio(F.sum("price"), F.sum("lines")), MONEY).alias("avg_unit_price"),
         F.sum("bought").alias("total_orders"),
         F.sum("quantity").alias("total_quantity_sold"),
         round_half(money_sum("net"), MONEY).alias("total_revenue"))
+    names = largest_text(stg, "stock_code", "description").withColumnRenamed("stock_code", "__code")
+    # null-safe: lines without a stock code form a product of their own
+    return per.join(names, F.col("stock_code").eqNullSafe(F.col("__code"))).select(
+        "stock_code", "description", "avg_unit_price", "total_orders", "total_quantity_sold", "total_revenue")

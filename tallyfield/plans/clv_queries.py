@@ -27,7 +27,7 @@ def query(name, sql=None):
 
 
 def full_rfm(f: Frames) -> DataFrame:
-    return mart(f.spark, f.sf_dir, "rfm", lambda: warehouse.customer_rfm(f.stg(country=False)))
+    return mart(f.spark, f.sf_dir, "rfm", lambda: warehouse.customer_rfm(f.stg()))
 
 
 def splits(f: Frames) -> DataFrame:
@@ -425,7 +425,7 @@ def r27(f):
   {rnd('avg(p_alive)', 7)} AS mean_p_alive, {rnd('avg(CASE WHEN p_alive > 0.8e0 THEN 1.0e0 ELSE 0.0e0 END)', 7)} AS share_alive, count(*) AS scored_customers,
   (SELECT count(*) FROM dim_customers) - count(*) AS returns_only_customers FROM scores""")
 def r28(f):
-    k = validation.portfolio_kpis(scores(f), f.stg(country=False).select("customer_id").distinct())
+    k = validation.portfolio_kpis(scores(f), f.stg().select("customer_id").distinct())
     return k.select(round_half("mean_clv_12m", 3).alias("mean_clv_12m"), round_half("total_clv_12m", 1).alias("total_clv_12m"),
                     round_half("mean_p_alive", 7).alias("mean_p_alive"), round_half("share_alive", 7).alias("share_alive"),
                     "scored_customers", "returns_only_customers")
@@ -480,5 +480,5 @@ def q9(f):
   (SELECT min(invoice_date) FROM stg WHERE NOT is_return) AS min_date, (SELECT max(invoice_date) FROM stg WHERE NOT is_return) AS max_date,
   (SELECT count(*) FROM dim_customers) AS total_customers, count(*) AS scored_customers, {rnd('avg(p_alive)', 6)} AS mean_p_alive FROM scores""")
 def o4(f):
-    stg = f.stg(country=False)
+    stg = f.stg()
     return reporting.dataset_facts(warehouse.order_lines(stg), warehouse.return_lines(stg), warehouse.dim_customers(stg), scores(f))

@@ -55,7 +55,7 @@ def _count_sql(names):
   UNION ALL SELECT 'fact_orders', count(*), FALSE FROM fact_orders UNION ALL SELECT 'pred_clv_summary', CAST(0 AS BIGINT), TRUE""")
 def s7(f):
     """Two tables are there, one is missing and is skipped."""
-    stg = f.stg(country=True)
+    stg = f.stg()
     warehouse.dim_customers(stg).createOrReplaceTempView("dim_customers")
     warehouse.order_lines(stg).createOrReplaceTempView("fact_orders")
     f.spark.catalog.dropTempView("pred_clv_summary")
@@ -72,14 +72,14 @@ def s7(f):
 
 @query("s8_csv_sink", f"WITH {STG}, {DIM_CUSTOMERS} SELECT * FROM dim_customers")
 def s8(f):
-    dim = warehouse.dim_customers(f.stg(country=True))
+    dim = warehouse.dim_customers(f.stg())
     path = tables.write_csv(dim, fresh(f, "csv"))
     return f.spark.read.schema(dim.schema).option("header", True).csv(path)
 
 
 @query("s9_persisted_table_alias", f"WITH {STG}, {DIM_CUSTOMERS} SELECT * FROM dim_customers")
 def s9(f):
-    tables.persist_table(warehouse.dim_customers(f.stg(country=True)), fresh(f, "warehouse"), "dim_customers", ["customers_alias"])
+    tables.persist_table(warehouse.dim_customers(f.stg()), fresh(f, "warehouse"), "dim_customers", ["customers_alias"])
     return f.spark.table("customers_alias")
 
 
@@ -93,7 +93,7 @@ def s10(f):
 def s11(f):
     """The second call must find the stored result: its builder would fail."""
     path = fresh(f, "cache")
-    tables.read_or_compute(f.spark, path, lambda: warehouse.dim_customers(f.stg(country=True)).select("customer_id", "total_spend"))
+    tables.read_or_compute(f.spark, path, lambda: warehouse.dim_customers(f.stg()).select("customer_id", "total_spend"))
 
     def never() -> DataFrame:
         raise AssertionError("the stored result was not used")

@@ -45,7 +45,7 @@ def s3(f):
        "Description, quantity AS Quantity, invoice_date AS InvoiceDate, unit_price AS Price, "
        'customer_id AS "Customer ID", country AS Country FROM stg')
 def s4(f):
-    stg = f.stg(description=True)
+    stg = warehouse.stg_orders(f.raw())
     return transactions.resolve_columns(stg).select(*[F.col(f"`{c}`") for c in transactions.RAW_COLUMNS])
 
 
@@ -77,7 +77,7 @@ def s6(f):
 
 @query("m1_stg_orders", f"WITH {STG} SELECT * FROM stg")
 def m1(f):
-    return f.stg(description=True)
+    return warehouse.stg_orders(f.raw())
 
 
 @query("m2_stg_customers", f"""WITH {STG} SELECT customer_id, max(country) AS country,
@@ -96,7 +96,7 @@ def m3(f):
 @query("m4_customer_rfm", f"WITH {LINES}, " + rfm_sql(
     "rfm", "lines", "TRUE", "(SELECT max(invoice_date) FROM stg)") + " SELECT * FROM rfm")
 def m4(f):
-    return warehouse.customer_rfm(f.stg(country=False))
+    return warehouse.customer_rfm(f.stg())
 
 
 @query("m5_customer_week_panel", f"""WITH {STG} SELECT customer_id, country,
@@ -117,7 +117,7 @@ def m6(f):
 
 @query("m7_dim_products", f"WITH {STG}, {DIM_PRODUCTS} SELECT * FROM dim_products")
 def m7(f):
-    return warehouse.dim_products(f.stg(description=True, country=False))
+    return warehouse.dim_products(f.stg())
 
 
 @query("m8_fact_orders", f"""WITH {INT_ORDERS} SELECT transaction_id AS order_id, invoice_no, stock_code, customer_id,
@@ -137,7 +137,7 @@ def m9(f):
 
 def _star(f):
     io = f.int_orders()
-    stg = f.stg(description=True)
+    stg = f.stg()
     return dict(stg=stg, stg_cust=warehouse.stg_customers(stg), lines=io, dim_cust=warehouse.dim_customers(stg),
                 dim_prod=warehouse.dim_products(stg), orders=warehouse.fact_orders(io),
                 returns=warehouse.fact_returns(io))
@@ -225,7 +225,7 @@ def q4(f):
   {rnd('gross_spend - return_spend')} AS calculated_net_spend FROM dim_customers
   WHERE abs(total_spend - {rnd('gross_spend - return_spend')}) > 0.01e0""")
 def q5(f):
-    return quality.revenue_identity(warehouse.dim_customers(f.stg(country=True)))
+    return quality.revenue_identity(warehouse.dim_customers(f.stg()))
 
 
 @query("q6_table_assertions", f"""WITH {_FACTS}, checks AS (
@@ -250,7 +250,7 @@ def q6(f):
          {rnd('d.g')} AS dim_gross, {rnd('d.r')} AS dim_returns, {rnd('d.n')} AS dim_net,
          {rnd('d.g - d.r - d.n')} AS dim_difference, {rnd('g.v - r.v - d.n')} AS fact_dim_difference FROM g, r, d""")
 def q7(f):
-    stg = f.stg(country=False)
+    stg = f.stg()
     return quality.revenue_reconciliation(warehouse.order_lines(stg), warehouse.return_lines(stg),
                                           warehouse.dim_customers(stg))
 
@@ -301,7 +301,7 @@ def q11(f):
   {rnd('(SELECT sum(total_spend) FROM dim_customers)')} AS net_revenue,
   {rnd('(SELECT sum(abs(line_total)) FROM stg WHERE is_return)')} AS returns_value""")
 def o1(f):
-    stg = f.stg(country=False)
+    stg = f.stg()
     return reporting.executive_kpis(warehouse.order_lines(stg), warehouse.return_lines(stg), warehouse.dim_customers(stg))
 
 
