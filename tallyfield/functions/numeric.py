@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+HALF = 0.500001  # fixed value: a half plus the allowance for representation error
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
 def round_half(col, digits: int = 2) -> Column:
-    """Half-up rounding as ``floor(x * 10^d + 0.5) / 10^d`` on doubles.
+    """Half-up rounding as ``floor(x * 10^d + 0.5) / 10^d`` on doubles, a millionth of a unit in favour of up.
 
-    The built-in ``round`` goes through the decimal text of the double, so other engines
-    disagree with it on ties; this form is the same arithmetic everywhere.
+    The built-in ``round`` goes through the decimal text of the double, so other engines disagree with it
+    on ties; this form is the same arithmetic everywhere. The small allowance sends a tie up even when
+    the order of a sum left the double just below it.
     """
     scale = float(10 ** digits)
-    return F.floor(_c(col).cast("double") * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    return F.floor(_c(col).cast("double") * F.lit(scale) + F.lit(HALF)).cast("double") / F.lit(scale)
 
 
 def ratio(num, den) -> Column:

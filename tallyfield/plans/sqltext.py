@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def rnd(x: str, d: int = 2) -> str:
-    return f"(floor(({x}) * 1e{d} + 0.5e0) / 1e{d})"
+    return f"(floor(({x}) * 1e{d} + 0.500001e0) / 1e{d})"
 
 
 def money(x: str) -> str:
