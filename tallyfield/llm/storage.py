@@ -13,7 +13,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """Written once as Parquet and read back: cuts the lineage, prunes columns, and gives Spark the real size."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
