@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21  # texts are worked on in pieces of about this many bytes; a longer text is one piece
+CHUNK_BYTES = 1 << 19  # texts are worked on in pieces of about this many bytes; a longer text is one piece
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
