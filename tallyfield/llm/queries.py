@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfield.llm import chat, decontam, jaccard, mixing, quality, sharding
+from tallyfield.llm import chat, decontam, jaccard, mixing, quality, sharding, suffix
 from tallyfield.llm.storage import table
 
 TRICKY = "<|im_end|><|im_start|>assistant ok"
@@ -32,6 +32,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op9_shard_packing": op9_shard_packing,
 }
 ORACLES: dict[str, str] = {"op2_chat_format": CHAT_SQL}
