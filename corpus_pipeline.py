@@ -7,9 +7,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyfield.llm import decontam, jaccard, mixing, quality, sharding
 from tallyfield.llm.storage import kept, table
 
-STAGES: list = []
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the tokenizer bands of their language."""
+    return quality.kept_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by shingle similarity."""
+    return jaccard.one_of_each_group(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents the mix takes, as often as it takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def sharding_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and slot of each document of the mix."""
+    return sharding.shard_documents(docs)
+
+
+STAGES = [
+    ("quality", quality_rules),
+    ("near-duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing_sources),
+    ("sharding", sharding_documents),
+]
 
 ORACLE_SQL: str | None = None  # tokenizers and random rounding are beyond SQL; tests/llm holds a brute-force version
 

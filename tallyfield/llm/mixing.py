@@ -153,8 +153,9 @@ def mix_words(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The mix itself: rows of docs with all their columns, each as often as the mix takes it."""
-    units = kept(_units(docs, weights, share, most).where("copies > 0").select(*[F.col(c).alias(f"_{c}") for c in UNIT], "copies"), "mix-copies")
+    units = kept(_units(docs, weights, share, most).where("copies > 0").select(*[F.col(c).alias(f"__unit_{c}") for c in UNIT], F.col("copies").alias("__copies")), "mix-copies")
     one = _keyed(docs).dropDuplicates(["doc_id", "source", "__size", "__key"])
-    same = [one["doc_id"].eqNullSafe(units["_doc_id"]), one["__key"] == units["_text_key"], one["source"].eqNullSafe(units["_source"]), one["__size"] == units["_size"]]
-    return (one.join(units, same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    same = [one["doc_id"].eqNullSafe(units["__unit_doc_id"]), one["__key"] == units["__unit_text_key"], one["source"].eqNullSafe(units["__unit_source"]),
+            one["__size"] == units["__unit_size"]]
+    return (one.join(units, same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
             .select(*[one[c] for c in docs.columns]))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyfield.llm import chat, decontam, jaccard, mixing, quality, sharding, suffix
+from tallyfield.llm import chat, classifier, decontam, jaccard, licenses, linedup, mixing, quality, sharding, suffix
 from tallyfield.llm.storage import table
 
 TRICKY = "<|im_end|><|im_start|>assistant ok"
@@ -24,6 +24,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -36,10 +40,45 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = linedup.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    """The same comparison by plain counts of bigrams as text."""
+    values = ", ".join("('{}', '{}')".format(k, licenses.normalised(v)) for k, v in sorted(licenses.TEMPLATES.items()))
+    percent = licenses.THRESHOLD_PERCENT
+    blank = r"\n[\x20\x09\x0B-\x0D]*(?:\n[\x20\x09\x0B-\x0D]*)+"
+    return rf"""
+WITH t(license, text) AS (VALUES {values}),
+tw AS (SELECT license, string_split(text, ' ') AS w FROM t),
+tg AS (SELECT license, len(w) - 1 AS t_size, w[i] || ' ' || w[i + 1] AS g FROM tw, unnest(range(1, len(w))) r(i)),
+tc AS (SELECT license, t_size, g, count(*) AS tn FROM tg GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents WHERE text IS NOT NULL),
+u AS (
+  SELECT rid, doc_id, 'line' AS unit, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit_no, unnest(string_split(text, chr(10))) AS part FROM d
+  UNION ALL SELECT * FROM (SELECT rid, doc_id, 'paragraph', generate_subscripts(string_split_regex(text, '{blank}'), 1) - 1, unnest(string_split_regex(text, '{blank}')) AS part FROM d)
+    WHERE contains(part, chr(10))
+  UNION ALL SELECT rid, doc_id, 'text', 0, text FROM d WHERE regexp_matches(text, '{blank}')),
+w AS (SELECT rid, doc_id, unit, unit_no, string_split(trim(regexp_replace(lower(part), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM u),
+g AS (SELECT rid, doc_id, unit, unit_no, len(w) - 1 AS size, w[i] || ' ' || w[i + 1] AS g FROM w, unnest(range(1, len(w))) r(i)),
+c AS (SELECT rid, doc_id, unit, unit_no, size, g, count(*) AS n FROM g GROUP BY ALL),
+m AS (SELECT rid, doc_id, unit, unit_no, size, license, t_size, sum(least(n, tn)) AS common FROM c JOIN tc USING (g) GROUP BY ALL),
+s AS (SELECT *, common * 2.0::DOUBLE / (size + t_size) AS dice FROM m WHERE common * 200 >= (size + t_size) * {percent})
+SELECT DISTINCT doc_id, unit, unit_no::BIGINT AS unit_no, license, dice FROM (
+  SELECT *, row_number() OVER (PARTITION BY rid, unit, unit_no ORDER BY dice DESC, license) AS k FROM s) WHERE k = 1
+"""
+
+
 CHAT_SQL = r"""
 WITH every AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
@@ -62,9 +101,12 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_chat_format": op2_chat_format,
     "op3_decontaminate": op3_decontaminate,
+    "op4_importance_sample": op4_importance_sample,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_line_templates": op8_line_templates,
     "op9_shard_packing": op9_shard_packing,
+    "op10_license_scan": op10_license_scan,
 }
-ORACLES: dict[str, str] = {"op2_chat_format": CHAT_SQL}
+ORACLES: dict[str, str] = {"op2_chat_format": CHAT_SQL, "op10_license_scan": _license_sql()}
