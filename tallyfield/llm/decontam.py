@@ -46,9 +46,9 @@ def _grams(words: Column, k: int) -> Column:
         F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: _gram(words, i, k)))
 
 
-def _needed(k: Column, length: Column, num: int, den: int) -> Column:
-    """Shingles a window must share with an item of its size: two bags of s shingles with similarity t share at least 2ts / (1 + t)."""
-    return F.ceil((length - k + 1) * F.lit(2 * num) / F.lit(num + den)).cast("int")
+def _needed(window: Column, item: Column, num: int, den: int) -> Column:
+    """Shingles that bags of these sizes must share: similarity num/den means at least num / (num + den) of both sizes together."""
+    return F.ceil((window + item) * F.lit(num) / F.lit(num + den)).cast("int")
 
 
 def _items(items: DataFrame) -> DataFrame:
@@ -93,35 +93,34 @@ def windows_near_items(docs: DataFrame, items: DataFrame, num: int, den: int) ->
         at = at.select("doc_id", "words", F.posexplode("words").alias("pos", "word")).where(F.col("pos") + k <= F.size("words"))
         at = at.select("doc_id", "words", "pos", _gram(F.col("words"), F.col("pos"), k).alias("g"))
         hit = at.join(places.where(F.col("k") == k), "g")
+        # a window that starts in one block of ``length`` words ends in the next: its shared shingles are all at hand under its first block
         block = F.floor(F.col("pos") / F.col("length")).cast("int")
-        low = F.greatest(F.lit(0), (block - 1) * F.col("length"))
-        around = F.slice("words", low + 1, F.col("length") * 3)
-        hit = hit.select("doc_id", "length", "k", low.alias("low"), around.alias("around"), F.size("words").alias("n"), "pos")
+        hit = hit.withColumn("first", F.explode(F.array(block - 1, block))).withColumn("low", F.col("first") * F.col("length"))
+        hit = hit.where((F.col("low") >= 0) & (F.col("low") <= F.greatest(F.lit(0), F.size("words") - F.col("length"))))
+        around = F.slice("words", F.col("low") + 1, F.col("length") * 2)
+        hit = hit.select("doc_id", "length", "k", "low", around.alias("around"), F.size("words").alias("n"), "pos")
         found = hit if found is None else found.union(hit)
     if found is None:
         schema = "doc_id long, length int, k int, start int, grams array<bigint>"
         return docs.sparkSession.createDataFrame([], schema)
-    near = found.groupBy("doc_id", "length", "k", "low", "n", "around").agg(F.array_sort(F.collect_set("pos")).alias("hits"))
-    # places of the neighbouring blocks count too: they are recomputed from the words at hand
-    L, k = F.col("length"), F.col("k")
-    starts = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(F.greatest(F.lit(0), p - L + k), F.greatest(F.lit(0), F.least(p, F.col("n") - L))))))
-    near = near.select("doc_id", "length", "k", "low", "n", "around", F.explode(starts).alias("start"))
+    near = found.groupBy("doc_id", "length", "k", "low", "n", "around").agg(F.collect_set("pos").alias("hits"))
+    L, k, n = F.col("length"), F.col("k"), F.col("n")
+    last = F.least(F.col("low") + L - 1, F.greatest(F.lit(0), n - L))
+    enough = _needed(F.least(n, L) - k + 1, L - k + 1, num, den)
+    starts = F.filter(F.sequence(F.col("low"), last), lambda s: F.size(F.filter("hits", lambda p: (p >= s) & (p <= s + L - k))) >= enough)
+    near = near.select("doc_id", "length", "k", "low", "around", F.explode(starts).alias("start"))
     words = F.slice("around", F.col("start") - F.col("low") + 1, L)
-    near = near.where("start >= low and start + least(length, n) <= low + size(around)").select("doc_id", "length", "k", "start", words.alias("words")).distinct()
+    near = near.select("doc_id", "length", "k", "start", words.alias("words"))
     grams = F.lit(None).cast("array<bigint>")
     for size in range(1, SHINGLE + 1):
         grams = F.when(F.col("k") == size, _grams(F.col("words"), size)).otherwise(grams)
-    return near.select("doc_id", "length", "k", "start", grams.alias("grams"))
+    return near.select("doc_id", "length", "k", "start", grams.alias("grams")).distinct()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_windows): for each document and item it holds, the best (earliest) window."""
     items = kept(_items(benchmark), "decontam-items")
-    shared = items.select("length", F.explode("grams").alias("g")).groupBy("length").agg(F.collect_set("g").alias("known"))
-    near = windows_near_items(docs, items, num, den)
-    near = near.join(kept(shared, "decontam-known"), "length")
-    enough = F.size(F.filter("grams", lambda g: F.array_contains("known", g))) >= _needed(F.col("k"), F.col("length"), num, den)
-    near = kept(near.where(enough).drop("known"), "decontam-windows")
+    near = kept(windows_near_items(docs, items, num, den), "decontam-windows")
 
     item_fp = kept(_fingerprints(items, ["item_id", "length"]), "decontam-item-fp")
     flips = [0, *[sum(1 << b for b in c) for r in range(1, BLOCK_RADIUS + 1) for c in combinations(range(BLOCK_BITS), r)]]
