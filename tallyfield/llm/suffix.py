@@ -1,14 +1,14 @@
 """Suffix-array deduplication: every byte covered by a string of 400 bytes that also starts somewhere else is removed.
 
 1. Equal texts are one class; a text with a copy and at least 400 bytes goes completely.
-2. Each window of 400 bytes has anchors: the 32-byte grams whose hash is least in it. Equal windows have equal anchors, so only places around anchors that occur
-   twice can hold a repeat, and everything in between is never looked at again. An anchor's surroundings (all windows that hold it) are its
-   snippet. Equal snippets around different anchors are repeats as a whole.
+2. Each window of 400 bytes has an anchor: the leftmost 32-byte gram whose hash is least in it. Equal windows have equal anchors, so only windows of anchors that
+   occur twice can be repeats, and everything else is never looked at again. The bytes of an anchor's windows are its snippet. Equal
+   snippets of different anchors are repeats as a whole.
 3. Snippets that share an anchor but differ are sorted: one of each kind goes to the shard of its anchor. Each shard builds a suffix array by induced
    sorting: suffixes are classified, leftmost-smaller substrings sorted and named, the reduced string ranked, all others induced bucket by bucket, which
    is linear and vectorised. Permuted common prefixes of neighbours that reach the length mark the repeated windows.
 4. An anchor with more kinds of snippets than fit in a shard (a passage in a large part of all documents) has its windows counted by
-   128-bit fingerprints instead, an aggregate that is combined before the shuffle.
+   128-bit fingerprints instead, in blocks that are cut smaller only where needed; counts are combined before the shuffle.
 5. Covered ranges of a text are joined and cut out.
 
 Matches never cross documents; copies within one document count, also overlapping ones.
@@ -65,8 +65,11 @@ def _hash_between(sums: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarr
 
 
 def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(row, position in the row, hash of the anchor's gram, hash of its snippet) of all anchors."""
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    """(row, position in the row, hash of the anchor's gram, hash of its snippet, first and last window it owns) of all anchors.
+
+    A window belongs to the leftmost of its least grams, which depends on the window's bytes alone. The snippet spans the windows owned.
+    """
+    none = (*[np.zeros(0, np.int64)] * 2, *[np.zeros(0, np.uint64)] * 2, *[np.zeros(0, np.int64)] * 2)
     width = length - GRAM + 1
     if buf.size < length:
         return none
@@ -84,11 +87,31 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple
     padded = np.zeros(least.size + 2 * (width - 1), dtype=np.uint64)
     padded[width - 1:width - 1 + least.size] = least
     pos = np.flatnonzero(_sliding(padded, width, False)[:grams] == h)
+    # windows come in runs with one least hash; an anchor owns those of its run that start after the previous equal gram and no later than itself
+    cut = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (whole[1:] != whole[:-1])])
+    stop = np.r_[cut[1:], least.size] - 1
+    real = whole[cut]
+    cut, stop = cut[real], stop[real]
+    values, of_anchor = np.unique(h[pos], return_inverse=True)
+    span = buf.size + 1
+    keys = of_anchor * span + pos
+    order = np.argsort(keys, kind="stable")
+    before = np.full(pos.size, -1, dtype=np.int64)
+    same = of_anchor[order][1:] == of_anchor[order][:-1]
+    before[order[1:][same]] = pos[order[:-1][same]]
+    run_keys = np.searchsorted(values, least[cut]) * span + cut
+    run_order = np.argsort(run_keys, kind="stable")
+    found = np.searchsorted(run_keys[run_order], keys, side="right") - 1
+    run = run_order[np.maximum(found, 0)]
+    ok = (found >= 0) & (least[cut[run]] == h[pos]) if cut.size else np.zeros(pos.size, dtype=bool)
+    first = np.maximum(cut[run], before + 1) if cut.size else pos
+    last = np.minimum(stop[run], pos) if cut.size else pos
+    ok &= (first <= last) & (first >= pos - (length - GRAM))
+    pos, first, last = pos[ok], first[ok], last[ok]
     row = np.searchsorted(offsets, pos, side="right") - 1
-    first = np.maximum(pos - (length - GRAM), offsets[row])
-    last = np.minimum(pos + length, offsets[row + 1])
-    snippet = mix(_hash_between(sums, down, first, last) ^ mix((pos - first).astype(np.uint64)))
-    return row, pos - offsets[row], h[pos], snippet
+    snippet = mix(_hash_between(sums, down, first, last + length) ^ mix((pos - first).astype(np.uint64)))
+    base = offsets[row]
+    return row, pos - base, h[pos], snippet, first - base, last - base
 
 
 def _text_anchors(buf: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -100,9 +123,9 @@ def _text_anchors(buf: np.ndarray, offsets: np.ndarray, length: int) -> Iterator
     for r, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
         for start in range(a, b, PIECE):
             low, high = max(a, start - margin), min(b, start + PIECE + margin)
-            _, pos, h, s = anchors(buf[low:high], np.array([0, high - low]), length)
+            _, pos, h, s, first, last = anchors(buf[low:high], np.array([0, high - low]), length)
             own = (pos + low >= start) & (pos + low < start + PIECE)
-            yield np.full(int(own.sum()), r), pos[own] + low - a, h[own], s[own]
+            yield np.full(int(own.sum()), r), pos[own] + low - a, h[own], s[own], first[own] + low - a, last[own] + low - a
 
 
 def _anchor_rows(length: int):
@@ -110,9 +133,9 @@ def _anchor_rows(length: int):
         for batch in batches:
             digests = batch.column(0)
             for first, buf, offsets in chunks(batch.column(1)):
-                for row, pos, h, s in _text_anchors(buf, offsets, length):
-                    yield pa.RecordBatch.from_arrays([digests.take(pa.array(row + first)), pa.array(pos, pa.int64()), pa.array(h.view(np.int64)),
-                                                      pa.array(s.view(np.int64))], names=["digest", "pos", "hash", "kind"])
+                for row, pos, h, s, a, b in _text_anchors(buf, offsets, length):
+                    yield pa.RecordBatch.from_arrays([digests.take(pa.array(row + first)), *[pa.array(c, pa.int64()) for c in (pos, a, b)],
+                                                      pa.array(h.view(np.int64)), pa.array(s.view(np.int64))], names=["digest", "pos", "a", "b", "hash", "kind"])
     return run
 
 
@@ -268,10 +291,10 @@ def _cuts(length: int):
             for digest, text, wanted in zip(batch.column(0), batch.column(1), batch.column(2)):
                 raw = text.as_buffer().to_pybytes()
                 for w in wanted.as_py():
-                    a, b = max(0, w["pos"] - (length - GRAM)), min(len(raw), w["pos"] + length)
-                    out.append((digest.as_py(), a, w["hash"], w["several"], raw[a:b]))
-                    size += b - a
-                    if size > (1 << 23):
+                    snippet = raw[w["a"]:w["b"] + length]
+                    out.append((digest.as_py(), w["a"], w["pos"], w["hash"], w["several"], snippet))
+                    size += len(snippet)
+                    if size > (1 << 22):
                         yield _snippets(out)
                         out, size = [], 0
             if out:
@@ -279,10 +302,12 @@ def _cuts(length: int):
     return run
 
 
+SNIPPETS = "digest binary, start long, pos long, hash long, several boolean, snippet binary"
+
+
 def _snippets(rows: list[tuple]) -> pa.RecordBatch:
-    digest, start, h, several, snippet = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(start, pa.int64()), pa.array(h, pa.int64()), pa.array(several, pa.bool_()),
-                                       pa.array(snippet, pa.binary())], names=["digest", "start", "hash", "several", "snippet"])
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in SNIPPETS.split(", ")])
 
 
 def _found(rows: list[tuple]) -> pa.RecordBatch:
@@ -316,26 +341,70 @@ def _sorted_shards(length: int):
     return run
 
 
-def _fingerprints(length: int):
-    """Snippets -> a 128-bit fingerprint of each window."""
+def _block_codes(length: int, step: int):
+    """Snippets with ranges [s, e) of window starts -> blocks of at most ``step`` windows, aligned at the anchor.
+
+    ``core`` is what all windows of the whole block have in common, ``union`` what the windows present cover.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for digest, start, several, snippet in zip(*(batch.column(c) for c in ("digest", "start", "several", "snippet"))):
-                raw = np.frombuffer(snippet.as_buffer(), dtype=np.uint8)
-                n = raw.size - length + 1
-                if n < 1:
+            out: list[list] = [[] for _ in range(8)]
+            for i, (start, pos, ranges) in enumerate(zip(batch.column("start").to_pylist(), batch.column("pos").to_pylist(), batch.column("ranges").to_pylist())):
+                raw = np.frombuffer(batch.column("snippet")[i].as_buffer(), dtype=np.uint8)
+                s, e = [], []
+                for r in ranges:
+                    edges = np.arange(pos + (r["s"] - pos) // step * step, r["e"] + step, step)
+                    low, high = np.maximum(edges[:-1], r["s"]), np.minimum(edges[1:], r["e"])
+                    s.append(low[low < high])
+                    e.append(high[low < high])
+                if not s:
                     continue
-                at = np.arange(n)
-                codes = []
-                for bits in (raw, raw ^ 0x5A):
+                s, e = np.concatenate(s) - start, np.concatenate(e) - start
+                block = (s + start - pos) // step * step + pos - start
+                inner, outer = (block + step - 1, block + length), (s, e - 1 + length)
+                for j, (bits, salt) in enumerate(((raw, 0), (raw ^ 0x5A, 0x6A09E667F3BCC909))):
                     sums, down = _running(bits)
-                    codes.append(_hash_between(sums, down, at, at + length).view(np.int64))
-                second = mix(codes[1].view(np.uint64) ^ np.uint64(0x6A09E667F3BCC909)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(codes[0]), pa.array(second), pa.array([digest.as_py()] * n, pa.binary()),
-                                                  pa.array(at + start.as_py()), pa.array([several.as_py()] * n)], names=["x", "y", "digest", "at", "several"])
+                    for k, (x, y) in enumerate((inner, outer)):
+                        out[2 * k + j].append(mix(_hash_between(sums, down, x, y) ^ np.uint64(salt)).view(np.int64))
+                out[4].append(s + start)
+                out[5].append(e + start)
+                out[6].append(np.full(s.size, i))
+            if not out[4]:
+                continue
+            cols = [np.concatenate(c) for c in out[:7]]
+            rows = pa.array(cols[6])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols[:6]], *[batch.column(c).take(rows) for c in ("digest", "start", "several")]],
+                                             names=["cx", "cy", "ux", "uy", "s", "e", "digest", "start", "several"])
     return run
 
 
+def _by_counting(snippets: DataFrame, length: int) -> DataFrame:
+    """Repeated byte ranges (digest, a, b) of snippets of anchors with very many kinds, by counts of 128-bit fingerprints.
+
+    A block whose union is repeated is repeated as a whole, a block whose core is not cannot hold a repeat, others are cut into
+    smaller blocks, down to single windows.
+    """
+    ranges = F.array(F.struct(F.col("start").alias("s"), (F.col("start") + F.octet_length("snippet") - length + 1).cast("long").alias("e")))
+    left = snippets.withColumn("ranges", ranges)
+    out = None
+    for step in (48, 6, 1):
+        blocks = left.select("digest", "start", "pos", "several", "snippet", "ranges").mapInArrow(
+            _block_codes(length, step), "cx long, cy long, ux long, uy long, s long, e long, digest binary, start long, several boolean")
+        blocks = kept(blocks.withColumn("place", F.xxhash64("digest", "s")), "suffix-blocks")
+        seen = blocks.groupBy("ux", "uy").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.max("several").alias("any"))
+        unions = kept(seen.where("lo <> hi or any").select("ux", "uy", "lo"), "suffix-unions")
+        hit = blocks.where("not several").join(unions, ["ux", "uy"], "left_semi").select("digest", F.col("s").alias("a"), (F.col("e") - 1 + length).alias("b"))
+        out = hit if out is None else out.union(hit)
+        if step > 1:
+            # one block stands for each repeated union, so that blocks of another shape still find it
+            open_blocks = blocks.join(unions, ["ux", "uy"], "left").where("lo is null or lo = place")
+            open_blocks = kept(open_blocks.withColumn("several", F.col("several") | F.col("lo").isNotNull()), "suffix-open")
+            cores = open_blocks.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.min("several").alias("settled")).where("n > 1 and not settled")
+            again = open_blocks.join(cores, ["cx", "cy"], "left_semi").groupBy("digest", "start", "several").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+            left = snippets.drop("several").join(kept(again, "suffix-again"), ["digest", "start"])
+    return out
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with repeated ranges -> bytes removed, runs removed, digest of what is left."""
     for batch in batches:
@@ -366,37 +435,29 @@ def removed_ranges(texts: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
     """For texts(digest, text): repeated byte ranges (digest, a, b) outside whole copies, and the texts (digest, text) concerned, once each."""
     spark = texts.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = texts.mapInArrow(_anchor_rows(length), "digest binary, pos long, hash long, kind long")
+    found = texts.mapInArrow(_anchor_rows(length), "digest binary, pos long, a long, b long, hash long, kind long")
     # copies of a text have the same anchors: they count once
-    found = kept(found.groupBy("hash", "kind", "digest", "pos").agg(F.count(F.lit(1)).alias("n")).drop("n"), "suffix-anchors")
-    kinds = kept(found.groupBy("hash", "kind").agg(F.count(F.lit(1)).alias("places"), F.min(F.struct("digest", "pos")).alias("one")), "suffix-kinds")
+    found = kept(found.groupBy("hash", "kind", "digest", "pos", "a", "b").agg(F.count(F.lit(1)).alias("n")).drop("n"), "suffix-anchors")
+    kinds = kept(found.groupBy("hash", "kind").agg(F.count(F.lit(1)).alias("places"), F.min(F.struct("digest", "pos", "a", "b")).alias("one")), "suffix-kinds")
     groups = kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("n_kinds"), F.sum("places").alias("n_places")).where("n_places > 1")
     groups = kept(groups, "suffix-groups")
     repeated = kinds.where("places > 1").select("hash", "kind")
-    whole = found.join(repeated, ["hash", "kind"], "left_semi").select("digest", "pos")
-    sent = (kinds.join(groups.where("n_kinds > 1").select("hash", "n_kinds"), "hash")
-            .select("one.digest", F.struct(F.col("one.pos").alias("pos"), "hash", (F.col("places") > 1).alias("several"), "n_kinds").alias("w")))
-    wanted = sent.groupBy("digest").agg(F.collect_list("w").alias("wanted"))
-    concerned = whole.select("digest").union(sent.select("digest")).distinct()
+    whole = kept(found.join(repeated, ["hash", "kind"], "left_semi").select("digest", "a", (F.col("b") + length).alias("b")), "suffix-whole")
+    sent = (kinds.join(groups.where("n_kinds > 1").select("hash"), "hash", "left_semi")
+            .select("one.digest", F.struct("one.pos", "one.a", "one.b", "hash", (F.col("places") > 1).alias("several")).alias("w")))
+    wanted = kept(sent.groupBy("digest").agg(F.collect_list("w").alias("wanted")), "suffix-wanted")
+    concerned = whole.select("digest").union(wanted.select("digest")).distinct()
     once = kept(texts.join(concerned, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")), "suffix-texts")
-    cut = once.join(wanted, "digest").select("digest", "text", F.transform("wanted", lambda w: w.dropFields("n_kinds")).alias("wanted"))
-    snippets = cut.mapInArrow(_cuts(length), "digest binary, start long, hash long, several boolean, snippet binary")
-    snippets = kept(snippets.join(groups.select("hash", "n_kinds"), "hash"), "suffix-snippets")
+    cut = once.join(wanted, "digest").select("digest", "text", "wanted")
+    snippets = kept(cut.mapInArrow(_cuts(length), SNIPPETS).join(groups.select("hash", "n_kinds"), "hash"), "suffix-snippets")
     total = snippets.agg(F.coalesce(F.sum(F.octet_length("snippet")), F.lit(0)).alias("b")).first().b
     shards = max(1, -(-total // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("hash"), F.lit(shards)).alias("shard")
     ordered = (snippets.where(F.col("n_kinds") <= SHARD_KINDS).select(shard, "digest", "start", "several", "snippet")
                .repartition(width, "shard").sortWithinPartitions("shard", "digest", "start"))
     by_sorting = ordered.mapInArrow(_sorted_shards(length), "digest binary, a long, b long")
-    windows = snippets.where(F.col("n_kinds") > SHARD_KINDS).mapInArrow(_fingerprints(length), "x long, y long, digest binary, at long, several boolean")
-    windows = kept(windows, "suffix-windows")
-    counted = windows.groupBy("x", "y").agg(F.min(F.struct("digest", "at")).alias("lo"), F.max(F.struct("digest", "at")).alias("hi"), F.max("several").alias("any"))
-    again = counted.where("lo <> hi or any").select("x", "y")
-    by_counting = windows.where("not several").join(again, ["x", "y"], "left_semi").select("digest", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
-    size = once.select("digest", F.octet_length("text").cast("long").alias("bytes"))
-    around = whole.join(size, "digest").select("digest", F.greatest(F.lit(0).cast("long"), F.col("pos") - (length - GRAM)).alias("a"), F.least(F.col("bytes"), F.col("pos") + length).alias("b"))
-    ranges = by_sorting.union(by_counting).union(around.where(F.col("b") - F.col("a") >= length))
-    return ranges, once
+    by_counting = _by_counting(snippets.where(F.col("n_kinds") > SHARD_KINDS), length)
+    return by_sorting.union(by_counting).union(whole), once
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
