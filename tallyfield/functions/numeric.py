@@ -5,22 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-HALF = 0.500001  # fixed value: a half plus the allowance for representation error
-
-
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
 def round_half(col, digits: int = 2) -> Column:
-    """Half-up rounding as ``floor(x * 10^d + 0.5) / 10^d`` on doubles, a millionth of a unit in favour of up.
+    """SQL ``round`` of a double as column stores compute it: scaled, rounded half away from zero, scaled back.
 
-    The built-in ``round`` goes through the decimal text of the double, so other engines disagree with it
-    on ties; this form is the same arithmetic everywhere. The small allowance sends a tie up even when
-    the order of a sum left the double just below it.
+    The built-in ``round(x, d)`` works on the decimal text of x instead, and so differs where x times 10^d is a tie that x itself is not.
     """
     scale = float(10 ** digits)
-    return F.floor(_c(col).cast("double") * F.lit(scale) + F.lit(HALF)).cast("double") / F.lit(scale)
+    return F.round(_c(col).cast("double") * F.lit(scale)) / F.lit(scale)
 
 
 def ratio(num, den) -> Column:
@@ -28,16 +23,13 @@ def ratio(num, den) -> Column:
     return _c(num).cast("double") / F.nullif(_c(den).cast("double"), F.lit(0.0))
 
 
-def money_sum(col, narrow: bool = False) -> Column:
-    """Sum of amounts counted in 1/10000 units: exact, so the same in any row order.
+def money_sum(col) -> Column:
+    """Sum of amounts in decimals of 8 places: the same in any row order, and nothing is rounded to cents before the end.
 
-    Sums of doubles differ in the last bits from run to run, and an average of a few cents amounts sits
-    on a rounding tie often enough for that to show. ``narrow`` keeps a bigint buffer, for groups such
-    as one invoice; the wide form cannot overflow.
+    Sums of doubles differ in the last bits from run to run, and an average of a few amounts in cents sits
+    on a rounding tie often enough for that to show.
     """
-    units = F.floor(_c(col).cast("double") * F.lit(10000.0) + F.lit(0.5))
-    total = F.sum(units) if narrow else F.sum(units.cast("decimal(19,0)"))
-    return total.cast("double") / F.lit(10000.0)
+    return F.sum(_c(col).cast("double").cast("decimal(26,8)")).cast("double")
 
 
 def pct_error(pred, actual) -> Column:

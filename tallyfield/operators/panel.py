@@ -59,7 +59,7 @@ def eligible_weekly(weekly: DataFrame, t0: str) -> DataFrame:
 def pre_invoices(lines: DataFrame, t0: str) -> DataFrame:
     return (lines.where(F.col("invoice_date") < F.lit(t0).cast("timestamp_ntz"))
             .groupBy("customer_id", "invoice_no", "invoice_date")
-            .agg(money_sum("line_total", narrow=True).alias("order_val")))
+            .agg(money_sum("line_total").alias("order_val")))
 
 
 def pre_summary(lines: DataFrame, t0: str) -> DataFrame:

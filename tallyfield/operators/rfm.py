@@ -49,10 +49,10 @@ def holdout_split(lines: DataFrame, calibration_end: str, holdout_end: str | Non
               .withColumn("__cal", F.col("invoice_date") <= _ts(calibration_end))
               .groupBy("customer_id", "invoice_no")
               .agg(F.min(F.when(F.col("__cal"), F.col("invoice_date"))).alias("order_date"),
-                   money_sum(F.when(F.col("__cal"), F.col("line_total")), narrow=True).alias("order_value"),
+                   money_sum(F.when(F.col("__cal"), F.col("line_total"))).alias("order_value"),
                    F.max((~F.col("__cal") & (F.col("invoice_date") <= _ts(holdout_end))).cast("int")).alias("h"),
                    money_sum(F.when(~F.col("__cal") & (F.col("invoice_date") <= _ts(holdout_end)),
-                                    F.col("line_total")), narrow=True).alias("h_value")))
+                                    F.col("line_total"))).alias("h_value")))
     per = orders.groupBy("customer_id").agg(
         F.count("order_date").alias("total_orders"),
         F.min("order_date").alias("__first"), F.max("order_date").alias("__last"),

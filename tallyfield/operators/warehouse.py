@@ -95,7 +95,7 @@ def return_lines(stg: DataFrame) -> DataFrame:
 
 def order_grain(lines: DataFrame, *extra_keys: str) -> DataFrame:
     return lines.groupBy("customer_id", "invoice_no", *extra_keys).agg(
-        F.min("invoice_date").alias("order_date"), money_sum("line_total", narrow=True).alias("order_value"))
+        F.min("invoice_date").alias("order_date"), money_sum("line_total").alias("order_value"))
 
 
 def customer_rfm(stg: DataFrame) -> DataFrame:
@@ -151,9 +151,9 @@ def dim_customers(stg: DataFrame) -> DataFrame:
         any_of(~F.col("is_return")).alias("bought"), any_of(F.col("is_return")).alias("returned"),
         F.sum(F.when(q > 0, q).otherwise(0)).alias("items_in"),
         F.sum(F.when(q < 0, F.abs(q)).otherwise(0)).alias("items_out"),
-        money_sum(F.when(q > 0, amount).otherwise(0.0), narrow=True).alias("gross"),
-        money_sum(F.when(q < 0, F.abs(amount)).otherwise(0.0), narrow=True).alias("refund"),
-        money_sum(amount, narrow=True).alias("net"),
+        money_sum(F.when(q > 0, amount).otherwise(0.0)).alias("gross"),
+        money_sum(F.when(q < 0, F.abs(amount)).otherwise(0.0)).alias("refund"),
+        money_sum(amount).alias("net"),
         F.count(F.when(q > 0, amount)).alias("in_lines"))
     per = per_invoice.groupBy("customer_id").agg(
         F.min("lo").alias("first_purchase_date"),
@@ -172,11 +172,11 @@ def dim_customers(stg: DataFrame) -> DataFrame:
 
 def dim_products(stg: DataFrame) -> DataFrame:
     per_invoice = stg.groupBy("stock_code", "invoice_no").agg(
-        F.sum("unit_price").alias("price"),
+        money_sum("unit_price").alias("price"),
         F.count("unit_price").alias("lines"), any_of(~F.col("is_return")).alias("bought"),
-        F.sum("quantity").alias("quantity"), money_sum("line_total", narrow=True).alias("net"))
+        F.sum("quantity").alias("quantity"), money_sum("line_total").alias("net"))
     per = per_invoice.groupBy("stock_code").agg(
-        round_half(ratio(F.sum("price"), F.sum("lines")), MONEY).alias("avg_unit_price"),
+        round_half(ratio(money_sum("price"), F.sum("lines")), MONEY).alias("avg_unit_price"),
         F.sum("bought").alias("total_orders"),
         F.sum("quantity").alias("total_quantity_sold"),
         round_half(money_sum("net"), MONEY).alias("total_revenue"))

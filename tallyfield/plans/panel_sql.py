@@ -21,9 +21,9 @@ pre AS (SELECT customer_id, {money('order_val')} AS pre_spend, count(*) AS pre_o
   CAST(date_trunc('week', min(invoice_date)) AS DATE) AS first_week, quantile_cont(order_val, 0.5) AS median_order_val,
   min(invoice_date) AS first_date FROM pre_inv GROUP BY customer_id),
 growth AS (SELECT p.customer_id,
-  CAST(sum(CASE WHEN late THEN 0 ELSE order_val END) AS DOUBLE) AS early_spend,
-  CAST(sum(CASE WHEN late THEN order_val ELSE 0 END) AS DOUBLE) AS late_spend
-  FROM (SELECT i.customer_id, CAST(order_val AS DECIMAL(18,4)) AS order_val,
+  coalesce({money('CASE WHEN NOT late THEN order_val END')}, 0) AS early_spend,
+  coalesce({money('CASE WHEN late THEN order_val END')}, 0) AS late_spend
+  FROM (SELECT i.customer_id, order_val,
           (epoch_us(invoice_date) - epoch_us(first_date)) * 2 >= epoch_us(TIMESTAMP '{t0}') - epoch_us(first_date) AS late
         FROM pre_inv i JOIN pre ON i.customer_id = pre.customer_id) p GROUP BY p.customer_id),
 rates AS (SELECT pre.*, greatest(1, date_diff('day', first_week, CAST(date_trunc('week', DATE '{t0}') AS DATE)) // 7) AS pre_weeks,

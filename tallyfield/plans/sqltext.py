@@ -4,12 +4,12 @@ from __future__ import annotations
 
 
 def rnd(x: str, d: int = 2) -> str:
-    return f"(floor(({x}) * 1e{d} + 0.500001e0) / 1e{d})"
+    return f"round(CAST({x} AS DOUBLE), {d})"
 
 
 def money(x: str) -> str:
-    """Exact sum of amounts in 1/10000 units, as a double."""
-    return f"CAST(sum(CAST({x} AS DECIMAL(18,4))) AS DOUBLE)"
+    """Exact sum of amounts, as the nearest double (a cast from DECIMAL straight to DOUBLE is not)."""
+    return f"CAST(CAST(sum(CAST({x} AS DECIMAL(38,8))) AS VARCHAR) AS DOUBLE)"
 
 
 def u01(*parts: str) -> str:
@@ -31,12 +31,12 @@ RAW = """raw AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
        JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey)"""
 
-STG = RAW + """, stg AS (
-  SELECT Invoice AS invoice_no, StockCode AS stock_code, trim(Description) AS description, Quantity AS quantity,
-         InvoiceDate AS invoice_date, Price AS unit_price, "Customer ID" AS customer_id, Country AS country,
-         CAST(Quantity AS DOUBLE) * Price AS line_total,
-         (Invoice LIKE 'C%' OR Quantity < 0) AS is_cancelled, (Invoice LIKE 'C%' OR Quantity < 0) AS is_return
-  FROM raw WHERE "Customer ID" IS NOT NULL AND Price > 0)"""
+STG = RAW + """, kept AS (
+  FROM raw SELECT *, starts_with(Invoice, 'C') OR Quantity < 0 AS back WHERE Price > 0 AND "Customer ID" IS NOT NULL),
+stg AS (
+  SELECT back AS is_return, back AS is_cancelled, "Customer ID" AS customer_id, Country AS country, Invoice AS invoice_no, InvoiceDate AS invoice_date,
+         StockCode AS stock_code, trim(Description) AS description, Quantity AS quantity, Price AS unit_price, Quantity::DOUBLE * Price AS line_total
+  FROM kept)"""
 
 LINES = STG + ", lines AS (SELECT * FROM stg WHERE NOT is_return)"
 
@@ -45,43 +45,50 @@ INT_ORDERS = STG + """, int_orders AS (
               unit_price, country, line_total, is_cancelled, is_return) AS BIGINT) AS transaction_id, *
   FROM stg)"""
 
-DIM_CUSTOMERS = f"""dim_customers AS (
-  SELECT customer_id, max(country) AS country, min(invoice_date) AS first_purchase_date,
-         max(invoice_date) AS last_purchase_date,
-         count(DISTINCT CASE WHEN NOT is_return THEN invoice_no END) AS total_orders,
-         count(DISTINCT CASE WHEN is_return THEN invoice_no END) AS total_return_orders,
-         CAST(sum(CASE WHEN quantity > 0 THEN quantity ELSE 0 END) AS BIGINT) AS total_items_purchased,
-         CAST(sum(CASE WHEN quantity < 0 THEN abs(quantity) ELSE 0 END) AS BIGINT) AS total_items_returned,
-         {rnd(money("CASE WHEN quantity > 0 THEN line_total ELSE 0.0e0 END"))} AS gross_spend,
-         {rnd(money("CASE WHEN quantity < 0 THEN abs(line_total) ELSE 0.0e0 END"))} AS return_spend,
-         {rnd(money("line_total"))} AS total_spend,
-         {rnd(money("CASE WHEN quantity > 0 THEN line_total END") + " / nullif(count(CASE WHEN quantity > 0 THEN 1 END), 0)")} AS avg_line_item_value,
-         {rnd(money("line_total") + " / nullif(count(DISTINCT CASE WHEN NOT is_return THEN invoice_no END), 0)")} AS avg_order_value
-  FROM stg GROUP BY customer_id)"""
-
-DIM_PRODUCTS = f"""dim_products AS (
-  SELECT stock_code, max(description) AS description, {rnd("avg(unit_price)")} AS avg_unit_price,
-         count(DISTINCT CASE WHEN NOT is_return THEN invoice_no END) AS total_orders,
-         CAST(sum(quantity) AS BIGINT) AS total_quantity_sold, {rnd(money("line_total"))} AS total_revenue
-  FROM stg GROUP BY stock_code)"""
+# invoice grain first: an invoice is either all returns or none, so its kind can be read from any of its lines
+INVOICES = f"""invoices AS (
+  SELECT customer_id, invoice_no, bool_or(is_return) AS back, min(invoice_date) AS lo, max(invoice_date) AS hi, max(country) AS country,
+         coalesce(sum(quantity) FILTER (quantity > 0), 0) AS units_out, coalesce(-sum(quantity) FILTER (quantity < 0), 0) AS units_back,
+         count(*) FILTER (quantity > 0) AS lines_out, {money("line_total")} AS net,
+         coalesce({money("CASE WHEN quantity > 0 THEN line_total END")}, 0) AS taken,
+         coalesce({money("CASE WHEN quantity < 0 THEN -line_total END")}, 0) AS refunded
+  FROM stg GROUP BY ALL)"""
+
+DIM_CUSTOMERS = INVOICES + f""", per_customer AS (
+  SELECT customer_id, max(country) AS country, min(lo) AS lo, max(hi) AS hi, count(*) FILTER (NOT back) AS bought, count(*) FILTER (back) AS brought,
+         sum(units_out) AS units_out, sum(units_back) AS units_back, sum(lines_out) AS lines_out,
+         {money("net")} AS net, {money("taken")} AS taken, {money("refunded")} AS refunded
+  FROM invoices GROUP BY customer_id),
+dim_customers AS (
+  SELECT customer_id, country, lo AS first_purchase_date, hi AS last_purchase_date, bought AS total_orders, brought AS total_return_orders,
+         units_out::BIGINT AS total_items_purchased, units_back::BIGINT AS total_items_returned,
+         {rnd("taken")} AS gross_spend, {rnd("refunded")} AS return_spend, {rnd("net")} AS total_spend,
+         {rnd("taken / nullif(lines_out, 0)")} AS avg_line_item_value, {rnd("net / nullif(bought, 0)")} AS avg_order_value
+  FROM per_customer)"""
+
+DIM_PRODUCTS = f"""sold AS (
+  SELECT stock_code, description, invoice_no, is_return, {money("unit_price")} AS prices, count(*) AS lines, sum(quantity) AS units, {money("line_total")} AS net
+  FROM stg GROUP BY ALL),
+dim_products AS (
+  SELECT stock_code, max(description) AS description, {rnd(money("prices") + " / sum(lines)")} AS avg_unit_price,
+         count(DISTINCT invoice_no) FILTER (NOT is_return) AS total_orders, sum(units)::BIGINT AS total_quantity_sold, {rnd(money("net"))} AS total_revenue
+  FROM sold GROUP BY stock_code)"""
 
 
 def rfm(name: str, source: str, where: str, end: str) -> str:
     """RFM columns from ``source`` rows satisfying ``where``; ``end`` is a timestamp expression."""
-    return f"""{name}_orders AS (
-  SELECT customer_id, invoice_no, min(invoice_date) AS order_date, {money("line_total")} AS order_value
-  FROM {source} WHERE {where} GROUP BY customer_id, invoice_no),
-{name}_sum AS (
-  SELECT customer_id, count(*) AS n, min(order_date) AS f, max(order_date) AS l,
-         {money("order_value")} AS s, min(order_value) AS mn FROM {name}_orders GROUP BY customer_id),
+    days = "date_diff('day', days[1], days[-1])::DOUBLE"
+    return f"""{name}_baskets AS (
+  SELECT customer_id, min(invoice_date) AS bought_at, {money("line_total")} AS worth FROM {source} WHERE {where} GROUP BY customer_id, invoice_no),
+{name}_lists AS (
+  SELECT customer_id, list(bought_at ORDER BY bought_at) AS days, list(worth ORDER BY worth) AS worths, {money("worth")} AS total
+  FROM {name}_baskets GROUP BY customer_id),
 {name} AS (
-  SELECT customer_id, n - 1 AS frequency, greatest(0.0e0, CAST(date_diff('day', f, l) AS DOUBLE)) AS recency,
-         greatest(CAST(date_diff('day', f, {end}) AS DOUBLE),
-                  greatest(0.0e0, CAST(date_diff('day', f, l) AS DOUBLE))) AS T,
-         {rnd("s / n")} AS monetary_value,
-         {rnd("CASE WHEN n > 1 THEN (s - mn) / (n - 1) ELSE 0.0e0 END")} AS monetary_value_repeat,
-         n AS total_orders, {rnd("s")} AS total_monetary
-  FROM {name}_sum)"""
+  SELECT customer_id, len(days) - 1 AS frequency, {days} AS recency, greatest({days}, date_diff('day', days[1], {end})::DOUBLE) AS T,
+         {rnd("total / len(days)")} AS monetary_value,
+         {rnd("coalesce((total - worths[1]) / nullif(len(days) - 1, 0), 0)")} AS monetary_value_repeat,
+         len(days) AS total_orders, {rnd("total")} AS total_monetary
+  FROM {name}_lists)"""
 
 
 def holdout(name: str, cal: str, end: str, lines: str = "lines") -> str:
