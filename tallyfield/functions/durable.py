@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyfield-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()

@@ -13,7 +13,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyfield.functions.durable import durable
+from tallyfield.functions.durable import durable, stored
 
 _PART = "__part"
 _ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row index in the low 33 bits
@@ -63,7 +63,8 @@ def group_row_number(df: DataFrame, groups: Sequence[str], order_by: Sequence[st
     Positions come from one total order; each group's start is subtracted afterwards.
     """
     ranked = with_row_number(df, [*groups, *order_by], out="__pos")
-    bounds = ranked.groupBy(*groups).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__size"))
+    # one row for each group, written out so that its size is known: few groups are then broadcast and a hot one is not gathered
+    bounds = stored(ranked.groupBy(*groups).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__size")), "group-bounds")
     joined = (ranked.join(bounds, list(groups), "inner")
               .withColumn(out, F.col("__pos") - F.col("__first") + F.lit(1)).drop("__pos", "__first"))
     return joined.withColumnRenamed("__size", size_out) if size_out else joined.drop("__size")
@@ -82,7 +83,7 @@ def value_ranks(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFr
     if not groups:
         total = ranked.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n"))
         return ranked.withColumn("n", total.scalar()).withColumnRenamed("__below", "below")
-    bounds = ranked.groupBy(*groups).agg(F.min("__below").alias("__first"), F.sum("cnt").alias("n"))
+    bounds = stored(ranked.groupBy(*groups).agg(F.min("__below").alias("__first"), F.sum("cnt").alias("n")), "group-bounds")
     return (ranked.join(bounds, groups, "inner")
             .withColumn("below", F.col("__below") - F.col("__first"))
             .drop("__below", "__first"))
@@ -109,18 +110,6 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float], groups
     return picked.select(*groups, *cols)
 
 
-def group_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, out: str,
-                     hot_rows: int = 1_000_000) -> DataFrame:
-    """Exact percentile per key for many small groups, with the hot ones split off.
-
-    A key with at most ``hot_rows`` rows fits an aggregation buffer. Larger keys (at most
-    rows / hot_rows of them, so the list stays small) go through the distributed ranks.
-    """
-    keys = list(keys)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(*keys)
-    plain = F.percentile(F.col(value), F.lit(float(p))).alias(out)
-    if hot.isEmpty():
-        return df.groupBy(*keys).agg(plain)
-    small = df.join(hot, keys, "left_anti").groupBy(*keys).agg(plain)
-    large = exact_percentiles(df.join(hot, keys, "left_semi"), value, {out: p}, keys)
-    return small.unionByName(large)
+def group_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, out: str) -> DataFrame:
+    """Exact percentile per key, for many small keys and hot ones alike: ranks in one total order with the key leading."""
+    return exact_percentiles(df, value, {out: p}, list(keys))

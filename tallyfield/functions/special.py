@@ -24,6 +24,19 @@ def lgamma(z) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2.0 * math.pi) + tail * inv - np.log(shift)
 
 
+def lrising(z, k) -> np.ndarray:
+    """log of Gamma(z + k) / Gamma(z) for k >= 0 without the cancellation of two large log-gammas."""
+    z, k = np.broadcast_arrays(np.asarray(z, dtype=float), np.asarray(k, dtype=float))
+    big = z > 64.0
+    safe = np.where(big, z, 65.0)
+    tail = np.zeros_like(safe)
+    for j, c in enumerate(STIRLING):
+        tail = tail + c * ((safe + k) ** -(2 * j + 1.0) - safe ** -(2 * j + 1.0))
+    far = (safe + k - 0.5) * np.log1p(k / safe) + k * np.log(safe) - k + tail
+    small = np.where(big, 1.0, z)
+    return np.where(big, far, lgamma(small + k) - lgamma(small))
+
+
 def lbeta(a, b) -> np.ndarray:
     return lgamma(a) + lgamma(b) - lgamma(np.asarray(a, dtype=float) + b)
 
@@ -34,17 +47,24 @@ def unit_gauss_legendre(n: int) -> tuple[np.ndarray, np.ndarray]:
     return 0.5 * (x + 1.0), 0.5 * w
 
 
-def hyp2f1_series(a, b, c, z, tol: float = 1e-14, max_terms: int = 20_000) -> np.ndarray:
-    """Gauss power series for 0 <= z < 1, summed until every element has converged."""
-    a, b, c, z = np.broadcast_arrays(*[np.asarray(v, dtype=float) for v in (a, b, c, z)])
-    total = np.ones(z.shape)
-    term = np.ones(z.shape)
-    for n in range(max_terms):
+def hyp2f1_series(a, b, c, z, tol: float = 1e-14) -> np.ndarray:
+    """Gauss power series for 0 <= z < 1. Each element is summed until it has converged and then leaves the loop."""
+    a, b, c, z = (np.array(v, dtype=float) for v in np.broadcast_arrays(a, b, c, z))
+    shape = z.shape
+    a, b, c, z = (v.ravel() for v in (a, b, c, z))
+    out = np.ones(z.size)
+    at = np.arange(z.size)
+    total, term, n = np.ones(z.size), np.ones(z.size), 0
+    while at.size:
         term = term * ((a + n) * (b + n) / ((c + n) * (1.0 + n))) * z
         total = total + term
-        if not np.any(np.abs(term) > tol * (1.0 - z) * np.abs(total)):
-            break
-    return total
+        n += 1
+        # past its peak the series falls at least like z^n, so the rest is below term / (1 - z)
+        left = np.abs(term) > tol * (1.0 - z) * np.abs(total)
+        if not left.all():
+            out[at[~left]] = total[~left]
+            at, a, b, c, z, total, term = (v[left] for v in (at, a, b, c, z, total, term))
+    return out.reshape(shape)
 
 
 def normal_two_sided(z: float) -> float:

@@ -224,7 +224,7 @@ def discounted(path: Column, months: int, rate: float) -> Column:
 def score_customers(rfm: DataFrame, model: BetaGeometric, values: GammaGamma, settings: Settings = DEFAULTS,
                     horizons: Sequence[int] | None = None) -> DataFrame:
     """P(alive), expected order value, expected purchases and discounted value per horizon (months)."""
-    horizons = [m for m in (horizons or settings.horizons) if m in (12, 24)] or [12, 24]
+    horizons = sorted(set(horizons or settings.horizons))
     longest = max(horizons)
     days = [settings.days_per_month * k for k in range(1, longest + 1)]
     df = with_unified_value(with_expected_order_value(rfm, values, settings=settings), values, "__value", settings)

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyfield.config import DEFAULTS, Settings
+from tallyfield.functions.durable import stored
 from tallyfield.functions.numeric import decile_label, pct_error, qcut_bin, ratio
 from tallyfield.functions.ordering import exact_percentiles, group_row_number, value_ranks
 from tallyfield.operators.scoring import (BetaGeometric, GammaGamma, ParetoNbd, expected_order_value, expected_purchases,
@@ -35,8 +36,8 @@ def with_baselines(frames: DataFrame, keys: Sequence[str] = ("cutoff",), setting
     """Carry-forward forecasts of purchases. ``frames`` holds holdout splits with ``holdout_duration_days``."""
     days = F.col("holdout_duration_days").cast("double")
     f = F.col("frequency").cast("double")
-    f0 = (frames.where(F.col("frequency") == 0).groupBy(*keys)
-          .agg(F.avg(F.col("actual_holdout_purchases").cast("double")).alias("__f0")))
+    f0 = stored(frames.where(F.col("frequency") == 0).groupBy(*keys)
+                .agg(F.avg(F.col("actual_holdout_purchases").cast("double")).alias("__f0")), "f0-rates")  # one row for each key, of known size
     linear = f / F.greatest(F.lit(1.0), F.col("T")) * days
     rate = F.coalesce(F.col("__f0") / days, F.lit(settings.fallback_f0_rate))
     return (frames.join(f0, list(keys), "left")
@@ -196,10 +197,10 @@ def matched_targeting(preds: DataFrame, days: Sequence[int] = INACTIVITY_DAYS) -
     """Recency rule against the same number of customers picked by P(alive): precision and recall of both."""
     bought = (F.col("actual_purchases") > 0).cast("bigint")
     idle = F.col("T") - F.col("recency")
-    sizes = preds.groupBy("cutoff").agg(
+    sizes = stored(preds.groupBy("cutoff").agg(
         F.count(F.lit(1)).alias("n"), F.sum(bought).alias("positives"),
         *[F.count(F.when(idle <= d, 1)).alias(f"k{d}") for d in days],
-        *[F.sum(F.when(idle <= d, bought).otherwise(0)).alias(f"tp{d}") for d in days])
+        *[F.sum(F.when(idle <= d, bought).otherwise(0)).alias(f"tp{d}") for d in days]), "cutoff-sizes")
     ranked = group_row_number(preds.select(
         "cutoff", "customer_id", bought.alias("b"), (-F.col("p_alive")).alias("__a"), (-F.col("predicted_purchases")).alias("__p")),
         ["cutoff"], ["__a", "__p", "customer_id"], out="__rn")
@@ -238,8 +239,8 @@ def model_comparison(preds: DataFrame) -> DataFrame:
         (F.avg((F.col("a") > 0.8).cast("double")) * F.lit(100.0)).alias("share_alive_pct"))
 
 
-def holdout_record(preds: DataFrame, calibration_end: str, holdout_end: str, correlation: float | Column = 0.0,
-                   p_value: float | Column = 1.0, settings: Settings = DEFAULTS) -> DataFrame:
+def holdout_record(preds: DataFrame, calibration_end: str, holdout_end: str, correlation: float | Column,
+                   p_value: float | Column, settings: Settings = DEFAULTS) -> DataFrame:
     """The one-row validation record of a single cutoff."""
     ap = F.col("actual_purchases").cast("double")
     aggs = [F.max("holdout_duration_days").alias("holdout_days"), F.sum(ap).alias("total_actual_purchases"),
@@ -266,7 +267,7 @@ def tenure_calibration(preds: DataFrame, keys: Sequence[str] = ("cutoff",), bins
     """One-time buyers in quantile bins of age: mean actual against mean predicted purchases."""
     keys = list(keys)
     once = preds.where(F.col("frequency") == 0)
-    edges = exact_percentiles(once, "T", {f"e{i}": i / bins for i in range(1, bins)}, keys)
+    edges = stored(exact_percentiles(once, "T", {f"e{i}": i / bins for i in range(1, bins)}, keys), "tenure-edges")
     bin_no = F.lit(1)
     for i in range(1, bins):
         bin_no = bin_no + (F.col("T") > F.col(f"e{i}")).cast("int")
@@ -309,7 +310,7 @@ def value_histogram(scores: DataFrame, column: str = "clv_12m", quantile: float
 # fixed values: frequency bins (label, low, high) and recency bins (label, upper day)
 FREQUENCY_BINS = (("0", 0, 0), ("1", 1, 1), ("2", 2, 2), ("3–5", 3, 5), ("6–10", 6, 10), ("11–25", 11, 25),
                   ("26–50", 26, 50), ("51+", 51, None))
-RECENCY_BINS = (("0–60d", 60), ("61–150d", 150), ("151–300d", 300), ("301–450d", 450), ("451–600d", 600), ("601+d", 800))
+RECENCY_BINS = (("0–60d", 60), ("61–150d", 150), ("151–300d", 300), ("301–450d", 450), ("451–600d", 600), ("601+d", None))
 
 
 def alive_heatmap(scores: DataFrame, recency_bins=RECENCY_BINS) -> DataFrame:
@@ -320,8 +321,8 @@ def alive_heatmap(scores: DataFrame, recency_bins=RECENCY_BINS) -> DataFrame:
         f_bin = F.when((f >= low) if high is None else f.between(low, high), label).otherwise(f_bin)
     r_bin = F.lit(None).cast("string")
     for label, upper in reversed(recency_bins):
-        r_bin = F.when(F.col("recency") <= upper, label).otherwise(r_bin)
-    cells = (scores.withColumn("f_bin", f_bin).withColumn("r_bin", r_bin).where(F.col("r_bin").isNotNull())
+        r_bin = F.lit(label) if upper is None else F.when(F.col("recency") <= upper, label).otherwise(r_bin)
+    cells = (scores.withColumn("f_bin", f_bin).withColumn("r_bin", r_bin)
              .groupBy("f_bin", "r_bin").agg(F.avg("p_alive").alias("mean_p_alive"), F.count(F.lit(1)).alias("customers")))
     grid = scores.sparkSession.createDataFrame(
         [(a[0], b[0]) for a in FREQUENCY_BINS for b in recency_bins], "f_bin string, r_bin string")

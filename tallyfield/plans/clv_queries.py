@@ -130,6 +130,20 @@ def r3(f):
     return rounded(rfm.frequency_monetary_correlation(split), 9)
 
 
+@query("r3_independence_check", f"""WITH {LINES}, {holdout('h', CUTOFFS[0], HOLDOUT_END)},
+  c AS (SELECT count(*) AS n, corr(frequency, monetary_value_repeat) AS r FROM h WHERE frequency > 0 AND monetary_value_repeat > 0),
+  t AS (SELECT n, r, abs(r) * sqrt((n - 2) / (1 - r * r)) AS t FROM c),
+  q AS (SELECT n, r, 1 - 2 * t / 60000 * sum(CASE WHEN i IN (0, 20000) THEN 1 ELSE 2 + 2 * (i % 2) END  -- Simpson's rule over the t density
+          * exp(lgamma((n - 1) / 2.0e0) - lgamma((n - 2) / 2.0e0)) / sqrt((n - 2) * pi()) * pow(1 + pow(t * i / 20000.0e0, 2) / (n - 2), -(n - 1) / 2.0e0)) AS p
+        FROM t, range(0, 20001) g(i) GROUP BY n, r, t)
+  SELECT n, {rnd('r', 9)} AS pearson_r, {rnd('p', 7)} AS p_value, p > 0.05 OR abs(r) < 0.2 AS independent FROM q""")
+def r3p(f):
+    """With the two-sided p-value and the verdict."""
+    found = rfm.independence_check(splits(f).where(F.col("cutoff") == CUTOFFS[0]))
+    row = f.spark.createDataFrame([tuple(found.values())], "n long, pearson_r double, p_value double, independent boolean")
+    return row.withColumns({"pearson_r": round_half("pearson_r", 9), "p_value": round_half("p_value", 7)})
+
+
 # ------------------------------------------------------------------ fits (checked by tests, not by SQL)
 
 def _fit_query(name, model):
@@ -396,7 +410,8 @@ def _record_sql():
 def r25(f):
     one = preds(f).where(F.col("cutoff") == CUTOFFS[0])
     corr = rfm.frequency_monetary_correlation(one).select("pearson_r").scalar()
-    rec = validation.holdout_record(one, CUTOFFS[0], HOLDOUT_END, corr).drop("freq_monetary_pval")
+    p_value = rfm.independence_check(splits(f).where(F.col("cutoff") == CUTOFFS[0]))["p_value"]  # its value is checked by r3_independence_check
+    rec = validation.holdout_record(one, CUTOFFS[0], HOLDOUT_END, corr, p_value).drop("freq_monetary_pval")
 
     def digits(c):
         if c == "freq_monetary_corr":
@@ -446,11 +461,11 @@ def r29v(f):
     return validation.value_histogram(scores(f))
 
 
-_RBINS = (("0–60d", 60), ("61–150d", 150), ("151–300d", 300), ("301–450d", 450), ("451–600d", 600), ("601+d", 2600))
+_RBINS = (("0–60d", 60), ("61–150d", 150), ("151–300d", 300), ("301–450d", 450), ("451–600d", 600), ("601+d", None))
 
 
 @query("r30_alive_heatmap", f"""WITH {cs.SCORES}, fb(f_bin, lo, hi) AS (VALUES {', '.join(f"('{a}', {b}, {c if c is not None else 1000000})" for a, b, c in validation.FREQUENCY_BINS)}),
-  rb(r_bin, lo, hi) AS (VALUES {', '.join(f"('{lab}', {-1 if i == 0 else _RBINS[i - 1][1]}, {up})" for i, (lab, up) in enumerate(_RBINS))})
+  rb(r_bin, lo, hi) AS (VALUES {', '.join(f"('{lab}', {-1 if i == 0 else _RBINS[i - 1][1]}, {1000000 if up is None else up})" for i, (lab, up) in enumerate(_RBINS))})
   SELECT f_bin, r_bin, {rnd('avg(p_alive)', 7)} AS mean_p_alive, count(p_alive) AS customers FROM fb CROSS JOIN rb
   LEFT JOIN scores ON frequency BETWEEN fb.lo AND fb.hi AND recency > rb.lo AND recency <= rb.hi GROUP BY f_bin, r_bin""")
 def r30(f):
@@ -465,6 +480,12 @@ def r31(f):
     return validation.customer_horizons(scores(f))
 
 
+@query("r31_customer_bounds")
+def r31b(f):
+    """The same lookup with bootstrap bounds."""
+    return validation.customer_horizons(scoring.bootstrap_bounds(scores(f), bootstrap(f)[2]))
+
+
 # ------------------------------------------------------------------ checks and facts that need scores
 
 @query("q9_prediction_validity", f"""WITH {cs.PREDS}, st AS (SELECT cutoff, predicted_purchases AS v, 'all' AS stratum FROM preds UNION ALL

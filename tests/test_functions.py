@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions import special
 from tallyfield.functions.durable import shared_dir
-from tallyfield.functions.numeric import hash_uniform, qcut_bin, round_half, week_of
+from tallyfield.functions.numeric import hash_uniform, money_sum, qcut_bin, round_half, week_of
 from tallyfield.functions.ordering import (exact_percentiles, group_percentile, group_row_number, value_ranks,
                                            with_prefix_sum, with_row_number)
 
@@ -59,12 +59,11 @@ def test_percentiles_match_numpy(spark, p):
     assert by[0] == pytest.approx(np.quantile(x[::2], p)) and by[1] == pytest.approx(np.quantile(x[1::2], p))
 
 
-def test_group_percentile_with_hot_key_takes_both_paths(spark):
+def test_group_percentile_with_hot_key(spark):
     pdf = pd.DataFrame({"k": [1] * 40 + [2] * 3 + [3], "v": [float(i * 7 % 41) for i in range(40)] + [4.0, 1.0, 2.0, 8.0]})
     df = spark.createDataFrame(pdf)
-    for limit in (1_000_000, 10):
-        got = group_percentile(df, ["k"], "v", 0.5, "m", hot_rows=limit).toPandas().set_index("k")["m"].to_dict()
-        assert got == pytest.approx(pdf.groupby("k")["v"].median().to_dict())
+    got = group_percentile(df, ["k"], "v", 0.5, "m").toPandas().set_index("k")["m"].to_dict()
+    assert got == pytest.approx(pdf.groupby("k")["v"].median().to_dict())
 
 
 @pytest.mark.parametrize("n,q", [(1, 5), (2, 5), (11, 5), (427, 10), (23, 10)])
@@ -88,3 +87,25 @@ def test_rounding_and_weeks_and_draws(spark):
 def test_shared_folder_prefers_the_cluster_setting(spark):
     first = shared_dir(spark)
     assert shared_dir(spark) == first
+
+
+def test_round_is_half_away_from_zero_on_the_scaled_value(spark):
+    df = spark.createDataFrame([(-1.125,), (1.125,), (2.67499999,), (-0.005,), (None,)], "v double")
+    assert [r[0] for r in df.select(round_half("v", 2)).collect()] == [-1.13, 1.13, 2.67, -0.01, None]
+
+
+def test_many_small_amounts_add_up(spark):
+    df = spark.range(300_000).select(F.lit(0.00195).alias("v"))
+    assert df.agg(money_sum("v")).first()[0] == pytest.approx(585.0, abs=1e-9)
+
+
+def test_hypergeometric_series_near_one():
+    # 2F1(1, b; b; z) = 1 / (1 - z)
+    z = np.array([0.1, 0.9, 0.9999])
+    assert special.hyp2f1_series(1.0, 2.5, 2.5, z) == pytest.approx(1 / (1 - z), rel=1e-9)
+
+
+def test_rising_factorial_logarithm():
+    z = np.array([0.5, 3.0, 70.0, 1e7])
+    want = [np.sum(np.log(v + np.arange(5))) for v in z]
+    assert special.lrising(z, 5.0) == pytest.approx(want, rel=1e-12)
