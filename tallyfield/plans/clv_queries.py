@@ -8,7 +8,7 @@ from tallyfield.config import DEFAULTS
 from tallyfield.functions.numeric import round_half
 from tallyfield.operators import fitting, quality, reporting, rfm, scoring, validation, warehouse
 from tallyfield.plans import clv_sql as cs
-from tallyfield.plans.frames import CUTOFFS, HOLDOUT_END, Frames, mart
+from tallyfield.plans.frames import CUTOFFS, HOLDOUT_END, Frames, input_version, mart
 from tallyfield.plans.panel_queries import rounded
 from tallyfield.plans.sqltext import DIM_CUSTOMERS, LINES, holdout, qcut, rnd
 from tallyfield.plans.sqltext import rfm as rfm_sql
@@ -77,7 +77,7 @@ def fitted(f: Frames) -> dict[str, dict]:
 
 def bootstrap(f: Frames):
     """Point fit and bootstrap refits of the whole table, once per session."""
-    key = (f.spark.sparkContext.applicationId, f.sf_dir, "bootstrap")
+    key = (f.spark.sparkContext.applicationId, f.sf_dir, input_version(f.spark, f.sf_dir), "bootstrap")
     if key not in _FITS:
         _FITS[key] = fitting.fit_bootstrap(full_rfm(f), DEFAULTS.n_bootstraps, DEFAULTS.seed)
     return _FITS[key]

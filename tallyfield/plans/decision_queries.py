@@ -10,7 +10,7 @@ from tallyfield.plans import clv_sql as cs
 from tallyfield.plans import panel_sql as ps
 from tallyfield.plans.causal_queries import _COHORT_SRC, ESTIMATES, srnd, twfe_sql
 from tallyfield.plans.clv_queries import scores
-from tallyfield.plans.frames import T0, Frames, mart
+from tallyfield.plans.frames import T0, Frames, code_version, mart
 from tallyfield.plans.panel_queries import customers, policy_panel, rounded, weekly
 from tallyfield.plans.sqltext import rnd, u01
 
@@ -135,7 +135,7 @@ def e21(f):
 def e22(f):
     parts = None
     for mode in ("stratified_random", "confounded"):
-        one = evaluation.assignment_benchmark(policy_panel(f, "baseline", mode), T0, mode, "0000000", "benchmark")
+        one = evaluation.assignment_benchmark(policy_panel(f, "baseline", mode), T0, mode, code_version(), "benchmark")
         one = one.withColumn("mode", F.lit(mode))
         parts = one if parts is None else parts.unionByName(one)
     return parts

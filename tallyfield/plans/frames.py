@@ -6,8 +6,10 @@ session to the shared folder, the way a warehouse run materializes its marts.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -25,9 +27,26 @@ HOME_COUNTRY = "NATION_0"
 _MARTS: dict[tuple, DataFrame] = {}
 
 
+def code_version() -> str:
+    """Digest of the library's sources: the version a record carries."""
+    digest = hashlib.sha1()
+    root = Path(__file__).resolve().parent.parent
+    for part in ("functions", "operators", "plans", "sources"):
+        for source in sorted((root / part).glob("*.py")):
+            digest.update(source.read_bytes())
+    return digest.hexdigest()[:12]
+
+
+def input_version(spark: SparkSession, sf_dir: str) -> int:
+    """Changes when a file of the folder does: names, sizes and times as the storage itself lists them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return hash(tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)))
+
+
 def mart(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Build once per (application, data folder), kept as Parquet in the shared folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """Build once per (application, state of the data folder), kept as Parquet in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, input_version(spark, sf_dir), name)
     if key not in _MARTS:
         _MARTS[key] = stored(build(), name)
     return _MARTS[key]
