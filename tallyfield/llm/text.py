@@ -7,7 +7,6 @@ loops over words or characters in Python.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +33,34 @@ BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF
 STEP_CODES = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
-@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         up, down = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, b, dtype=np.uint64)]) for b in (_BASE, _BASE_INVERSE))
     return up, down
 
 
+class _PowerTable:
+    """Powers of the hash base and of its inverse modulo 2^64. It travels empty and is filled once in each task."""
+
+    def __init__(self) -> None:
+        self.size, self.tables = -1, None
+
+    def __reduce__(self):
+        return _PowerTable, ()
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > self.size:
+            self.size = max(CHUNK_BYTES * 2, 1 << max(n, 1).bit_length())
+            self.tables = _powers(self.size)
+        return self.tables
+
+
+_POWER_TABLE = _PowerTable()
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2^64, at least n + 1 of each."""
-    return _powers(max(CHUNK_BYTES * 2, 1 << max(n, 1).bit_length()))
+    """At least n + 1 powers of the hash base and of its inverse."""
+    return _POWER_TABLE.upto(n)
 
 
 def chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
