@@ -288,7 +288,7 @@ def test_importance_sampling_ranks_held_out_documents(spark, nothing):
 
 def test_line_templates(spark, nothing):
     rng = random.Random(4)
-    docs = [(i, f"{prose(rng, 12)}\nUser agent{i} signed in from {rng.choice(['home', 'work', 'cafe' + str(i)])} today\n\n  Page {i} of 99 \nend {prose(rng, 3)}") for i in range(12)]
+    docs = [(i, f"{prose(rng, 12)}\nUser agent{i} signed in from {rng.choice(['home', 'work', 'cafe' + str(i)])} today\n\n  Page {i} of 99 \nend {prose(rng, 3)}") for i in range(30)]
     docs += [(50, docs[0][1]), (51, None), (52, ""), (53, "User nobody walked along the bank"), (54, "Page x of y"), (None, docs[1][1])]
     got = {(r.doc_id, r.text): r for r in linedup.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string").withColumn("lines", F.lit(0))).collect()}
     want = {}
