@@ -3,7 +3,8 @@
 Lines are parsed by a tree of fixed depth: number of tokens, then the two leading tokens, tokens with a digit masked. Lines of one leaf are generalised:
 a token stays where enough texts have it at that position of the leaf, everything else is a variable field ``<*>``. A template counts
 when at least ``constant`` of its tokens stay. Lines whose template (or whose own masked form) recurs in ``min_texts``
-different texts are dropped from every document.
+different texts are dropped from every document. A form with over ``long_words`` tokens that are not masked is no chance recurrence: two different
+texts are enough.
 
 Lines that are mostly variable fields have no template and are never dropped. Copies of a text count once, so a text does not lose its lines because it was copied as a whole. DataFrame functions only; leaves are not collected,
 they are keys of counts. Lines, forms and templates are carried as 128-bit digests.
@@ -21,6 +22,7 @@ from tallyfield.llm.storage import kept
 MASK = "<*>"
 SPACE = r"[\x20\x09-\x0D]+"
 LEADING = 2
+LONG_WORDS, LONG_TEXTS = 50, 2
 
 
 def _digest(text: Column) -> Column:
@@ -34,25 +36,27 @@ def _form(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(digest, line_no, form, leaf) of every line that is not blank."""
+    """(digest, line_no, form, leaf) of every line that is not blank, its tokens, and how many of them are not masked."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = docs.select(_digest(text).alias("digest"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     lines = lines.select("digest", "line_no", _form(F.col("line")).alias("form")).where("form <> ''")
     tokens = F.length("form") - F.length(F.replace(F.col("form"), F.lit(" "), F.lit(""))) + 1
     masked = F.size(F.filter(F.split("form", " "), lambda w: w == MASK))
-    return lines.withColumn("tokens", tokens).withColumn("share", (tokens - masked) / tokens).withColumn("leaf", F.xxhash64("tokens", F.substring_index("form", " ", LEADING)))
+    return lines.withColumn("tokens", tokens).withColumn("constants", tokens - masked).withColumn("leaf", F.xxhash64("tokens", F.substring_index("form", " ", LEADING)))
 
 
-def recurring_forms(docs: DataFrame, min_texts: int, constant: float) -> tuple[DataFrame, DataFrame]:
+def recurring_forms(docs: DataFrame, min_texts: int, constant: float, long_words: int) -> tuple[DataFrame, DataFrame]:
     """Lines (digest, line_no, key) and the keys of forms to drop (key, template)."""
-    lines = kept(_lines(docs).select("digest", "line_no", _digest(F.col("form")).alias("key"), "leaf", (F.col("share") >= constant).alias("fixed")), "line-keys")
-    seen = lines.select("key", "leaf", "fixed", "digest").distinct()
-    forms = kept(seen.groupBy("key", "leaf", "fixed").agg(F.count(F.lit(1)).alias("texts")), "line-forms")
+    # texts that the form needs to be dropped by itself; NULL where too few of its tokens are constant
+    needed = F.when(F.col("constants") > long_words, F.lit(min(LONG_TEXTS, min_texts))).when(F.col("constants") >= F.col("tokens") * constant, F.lit(min_texts))
+    lines = kept(_lines(docs).select("digest", "line_no", _digest(F.col("form")).alias("key"), "leaf", needed.alias("needed")), "line-keys")
+    seen = lines.select("key", "leaf", "needed", "digest").distinct()
+    forms = kept(seen.groupBy("key", "leaf", "needed").agg(F.count(F.lit(1)).alias("texts")), "line-forms")
     leaves = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("forms"), F.sum("texts").alias("texts"))
     leaves = kept(leaves.where((F.col("forms") > 1) & (F.col("texts") >= min_texts)).select("leaf"), "line-leaves")
     # forms of leaves that can generalise, read again from the texts, once each
     open_forms = (_lines(docs).join(leaves, "leaf", "left_semi").select(_digest(F.col("form")).alias("key"), "form", "leaf")
-                  .groupBy("key", "leaf").agg(F.first("form").alias("form")).join(forms.drop("fixed"), ["key", "leaf"]))
+                  .groupBy("key", "leaf").agg(F.first("form").alias("form")).join(forms.drop("needed"), ["key", "leaf"]))
     open_forms = kept(open_forms, "line-open-forms")
     tokens = open_forms.select("key", "leaf", "texts", F.posexplode(F.split("form", " ")).alias("at", "token"))
     common = tokens.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("support")).where(F.col("support") >= min_texts)
@@ -66,14 +70,14 @@ def recurring_forms(docs: DataFrame, min_texts: int, constant: float) -> tuple[D
     shaped = kept(shaped.where(F.col("share") >= constant).select("key", "leaf", template.alias("template")), "line-templates")
     members = lines.join(shaped, ["key", "leaf"]).select("leaf", "template", "digest").distinct()
     often = members.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_texts).select("leaf", "template")
-    dropped = (forms.where(F.col("fixed") & (F.col("texts") >= min_texts)).select("key", F.lit(None).cast("string").alias("template"))
+    dropped = (forms.where(F.col("texts") >= F.col("needed")).select("key", F.lit(None).cast("string").alias("template"))
                .union(shaped.join(often, ["leaf", "template"]).select("key", "template")))
     return lines, kept(dropped.groupBy("key").agg(F.max("template").alias("template")), "line-dropped")
 
 
-def drop_recurring_lines(docs: DataFrame, min_texts: int = 5, constant: float = 0.5) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_texts: int = 5, constant: float = 0.5, long_words: int = LONG_WORDS) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped) for every row of docs(doc_id, text): text without its recurring lines."""
-    lines, dropped = recurring_forms(docs, min_texts, constant)
+    lines, dropped = recurring_forms(docs, min_texts, constant, long_words)
     gone = lines.join(dropped.select("key"), "key", "left_semi").select("digest", "line_no").distinct()
     gone = kept(gone.groupBy("digest").agg(F.array_sort(F.collect_list("line_no")).alias("gone")), "line-gone")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
