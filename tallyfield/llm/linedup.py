@@ -1,8 +1,9 @@
 """Line deduplication by a log-template tree.
 
 Lines are parsed by a tree of fixed depth: number of tokens, then the two leading tokens, tokens with a digit masked. Lines of one leaf are generalised:
-a token stays where enough texts have it at that position of the leaf, everything else is a variable field ``<*>``. A template counts
-when at least ``constant`` of its tokens stay. Lines whose template (or whose own masked form) recurs in ``min_texts``
+a token stays where at least half of the leaf has it at that position, everything else is a variable field ``<*>``. A leaf is
+measured in its forms, each once for every text that holds it, so shares do not grow with the corpus. A template counts when at least ``constant`` of its
+tokens behind the leading ones stay: the leading ones are the same throughout a leaf and say nothing. Lines whose template (or whose own masked form) recurs in ``min_texts``
 different texts are dropped from every document. A form with over ``long_words`` tokens that are not masked is no chance recurrence: two different
 texts are enough.
 
@@ -22,6 +23,7 @@ from tallyfield.llm.storage import kept
 MASK = "<*>"
 SPACE = r"[\x20\x09-\x0D]+"
 LEADING = 2
+STAYS_PERCENT = 50
 LONG_WORDS, LONG_TEXTS = 50, 2
 
 
@@ -53,19 +55,19 @@ def recurring_forms(docs: DataFrame, min_texts: int, constant: float, long_words
     seen = lines.select("key", "leaf", "needed", "digest").distinct()
     forms = kept(seen.groupBy("key", "leaf", "needed").agg(F.count(F.lit(1)).alias("texts")), "line-forms")
     leaves = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("forms"), F.sum("texts").alias("texts"))
-    leaves = kept(leaves.where((F.col("forms") > 1) & (F.col("texts") >= min_texts)).select("leaf"), "line-leaves")
+    leaves = kept(leaves.where((F.col("forms") > 1) & (F.col("texts") >= min_texts)).select("leaf", F.col("texts").alias("leaf_texts")), "line-leaves")
     # forms of leaves that can generalise, read again from the texts, once each
-    open_forms = (_lines(docs).join(leaves, "leaf", "left_semi").select(_digest(F.col("form")).alias("key"), "form", "leaf")
+    open_forms = (_lines(docs).where(F.col("tokens") > LEADING).join(leaves.select("leaf"), "leaf", "left_semi").select(_digest(F.col("form")).alias("key"), "form", "leaf")
                   .groupBy("key", "leaf").agg(F.first("form").alias("form")).join(forms.drop("needed"), ["key", "leaf"]))
     open_forms = kept(open_forms, "line-open-forms")
     tokens = open_forms.select("key", "leaf", "texts", F.posexplode(F.split("form", " ")).alias("at", "token"))
-    common = tokens.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("support")).where(F.col("support") >= min_texts)
-    common = common.select("leaf", "at", "token", F.lit(True).alias("stays"))
+    common = tokens.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("support"))
+    common = common.join(leaves, "leaf").where(F.col("support") * 100 >= F.col("leaf_texts") * STAYS_PERCENT).select("leaf", "at", "token", F.lit(True).alias("stays"))
     marked = tokens.join(common, ["leaf", "at", "token"], "left")
     stays = F.coalesce("stays", F.lit(False)) & (F.col("token") != MASK)
     shaped = marked.groupBy("key", "leaf").agg(
         F.array_sort(F.collect_list(F.struct("at", F.when(stays, F.col("token")).otherwise(F.lit(MASK)).alias("token")))).alias("parts"),
-        F.avg(stays.cast("double")).alias("share"))
+        F.avg(F.when(F.col("at") >= LEADING, stays.cast("double"))).alias("share"))
     template = F.array_join(F.transform("parts", lambda p: p["token"]), " ")
     shaped = kept(shaped.where(F.col("share") >= constant).select("key", "leaf", template.alias("template")), "line-templates")
     members = lines.join(shaped, ["key", "leaf"]).select("leaf", "template", "digest").distinct()
