@@ -7,7 +7,8 @@ tokens behind the leading ones stay: the leading ones are the same throughout a
 different texts are dropped from every document. A form with over ``long_words`` tokens that are not masked is no chance recurrence: two different
 texts are enough.
 
-Lines that are mostly variable fields have no template and are never dropped. Copies of a text count once, so a text does not lose its lines because it was copied as a whole. DataFrame functions only; leaves are not collected,
+Lines that are mostly variable fields have no template. Whatever the tokens, a line that recurs word by word in ``min_texts`` different texts (over
+``long_words`` tokens: in two) is dropped. A leaf of several templates, none of them in half of it, has no template: only its recurring forms and lines go. Copies of a text count once, so a text does not lose its lines because it was copied as a whole. DataFrame functions only; leaves are not collected,
 they are keys of counts. Lines, forms and templates are carried as 128-bit digests.
 
 Defined results: NULL texts read as empty: one blank line; blank lines are never dropped; repeated rows and equal texts get the same result; NULL ids come
@@ -31,27 +32,36 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def _form(line: Column) -> Column:
-    """The line with single blanks and every token that has a digit masked; empty for a blank line."""
-    single = F.trim(F.regexp_replace(line, SPACE, " "))
+def _single(line: Column) -> Column:
+    """The line with single blanks; empty for a blank line."""
+    return F.trim(F.regexp_replace(line, SPACE, " "))
+
+
+def _form(single: Column) -> Column:
+    """The line with every token that has a digit masked."""
     return F.when(single.rlike("[0-9]"), F.regexp_replace(single, r"[^ ]*[0-9][^ ]*", MASK)).otherwise(single)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(digest, line_no, form, leaf) of every line that is not blank, its tokens, and how many of them are not masked."""
+    """(digest, line_no, single, form, leaf) of every line that is not blank, its tokens, and how many of them are not masked."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = docs.select(_digest(text).alias("digest"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    lines = lines.select("digest", "line_no", _form(F.col("line")).alias("form")).where("form <> ''")
+    lines = lines.select("digest", "line_no", _single(F.col("line")).alias("single")).where("single <> ''").withColumn("form", _form(F.col("single")))
     tokens = F.length("form") - F.length(F.replace(F.col("form"), F.lit(" "), F.lit(""))) + 1
     masked = F.size(F.filter(F.split("form", " "), lambda w: w == MASK))
     return lines.withColumn("tokens", tokens).withColumn("constants", tokens - masked).withColumn("leaf", F.xxhash64("tokens", F.substring_index("form", " ", LEADING)))
 
 
-def recurring_forms(docs: DataFrame, min_texts: int, constant: float, long_words: int) -> tuple[DataFrame, DataFrame]:
-    """Lines (digest, line_no, key) and the keys of forms to drop (key, template)."""
+def recurring_forms(docs: DataFrame, min_texts: int, constant: float, long_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines (digest, line_no, key, exact), the keys of forms to drop (key, template), and the keys of masked lines that recur word by word (exact)."""
+    few = min(LONG_TEXTS, min_texts)
     # texts that the form needs to be dropped by itself; NULL where too few of its tokens are constant
-    needed = F.when(F.col("constants") > long_words, F.lit(min(LONG_TEXTS, min_texts))).when(F.col("constants") >= F.col("tokens") * constant, F.lit(min_texts))
-    lines = kept(_lines(docs).select("digest", "line_no", _digest(F.col("form")).alias("key"), "leaf", needed.alias("needed")), "line-keys")
+    needed = F.when(F.col("constants") > long_words, F.lit(few)).when(F.col("constants") >= F.col("tokens") * constant, F.lit(min_texts))
+    lines = kept(_lines(docs).select("digest", "line_no", _digest(F.col("form")).alias("key"), "leaf", needed.alias("needed"),
+                                    F.when(F.col("constants") < F.col("tokens"), _digest(F.col("single"))).alias("exact"), (F.col("tokens") > long_words).alias("long")), "line-keys")
+    # a form without masked tokens is its line
+    exact = lines.where("exact is not null").select("exact", "long", "digest").distinct().groupBy("exact", "long").agg(F.count(F.lit(1)).alias("texts"))
+    exact = kept(exact.where(F.col("texts") >= F.when(F.col("long"), F.lit(few)).otherwise(F.lit(min_texts))).select("exact"), "line-exact")
     seen = lines.select("key", "leaf", "needed", "digest").distinct()
     forms = kept(seen.groupBy("key", "leaf", "needed").agg(F.count(F.lit(1)).alias("texts")), "line-forms")
     leaves = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("forms"), F.sum("texts").alias("texts"))
@@ -74,13 +84,14 @@ def recurring_forms(docs: DataFrame, min_texts: int, constant: float, long_words
     often = members.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_texts).select("leaf", "template")
     dropped = (forms.where(F.col("texts") >= F.col("needed")).select("key", F.lit(None).cast("string").alias("template"))
                .union(shaped.join(often, ["leaf", "template"]).select("key", "template")))
-    return lines, kept(dropped.groupBy("key").agg(F.max("template").alias("template")), "line-dropped")
+    return lines, kept(dropped.groupBy("key").agg(F.max("template").alias("template")), "line-dropped"), exact
 
 
 def drop_recurring_lines(docs: DataFrame, min_texts: int = 5, constant: float = 0.5, long_words: int = LONG_WORDS) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped) for every row of docs(doc_id, text): text without its recurring lines."""
-    lines, dropped = recurring_forms(docs, min_texts, constant, long_words)
-    gone = lines.join(dropped.select("key"), "key", "left_semi").select("digest", "line_no").distinct()
+    lines, dropped, exact = recurring_forms(docs, min_texts, constant, long_words)
+    gone = lines.join(dropped.select("key"), "key", "left_semi").select("digest", "line_no")
+    gone = gone.union(lines.join(exact, "exact", "left_semi").select("digest", "line_no")).distinct()
     gone = kept(gone.groupBy("digest").agg(F.array_sort(F.collect_list("line_no")).alias("gone")), "line-gone")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), _digest(text).alias("digest")).join(gone, "digest", "left")
