@@ -6,7 +6,9 @@ characters (the byte fallback of a byte-level vocabulary), and the entropy of th
 
 A document is rejected when a measure leaves the band of its language. Bands are multiples of the language's median over all documents that
 passed the base rules; medians come from exact counts on a grid of 1/1000, so they do not depend on row order. Documents without a language
-use the dominant script of their letters instead.
+use the dominant script of their letters instead. Entropy grows with the length of a text, so its median is that of the texts of the language within the
+same power of two of tokens. Lengths with too few texts take the nearest shorter median (a longer text holds no less), or where there is none the nearest
+longer one, scaled by the bits that so few tokens can hold.
 
 Defined results: NULL and empty texts have no words and fail the base rules; NULL ids are kept as they are; repeated rows each get
 the same verdict; a band with one document is centred on that document; an empty table gives an empty result; extra
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyfield.llm.storage import kept
 from tallyfield.llm.text import chunks, mix, sequence_hashes, span_hashes, word_bounds
@@ -44,6 +46,7 @@ class Bands:
     chars_high: float = 1.20
     bytes_above: float = 0.10
     entropy_low: float = 0.82
+    like_length: int = 20  # texts that make a median of their length; the best filled length of a language always does
 
 
 class Vocabulary:
@@ -191,25 +194,46 @@ def _derived(measured: DataFrame, bands: Bands) -> DataFrame:
             .withColumn("__band", m["band"]))
 
 
-def medians(derived: DataFrame) -> DataFrame:
-    """Lower median of each fertility measure and band, on a grid of 1/1000, over the documents that passed the base rules."""
-    entropy = F.col("__measures")["token_entropy"]
-    pairs = F.array(*[F.struct(F.lit(i).alias("k"), F.floor(c * GRID).cast("long").alias("v")) for i, c in enumerate((F.col("__chars"), F.col("__bytes"), entropy))])
-    counted = (derived.where(~F.col("__failed")).select("__band", F.explode(pairs).alias("p")).select("__band", "p.k", "p.v")
-               .groupBy("__band", "k", "v").agg(F.count(F.lit(1)).alias("c")))
-    by_value = Window.partitionBy("__band", "k").orderBy("v")  # one row for each value of the grid, not for each document
-    ranked = counted.withColumn("upto", F.sum("c").over(by_value)).withColumn("total", F.sum("c").over(Window.partitionBy("__band", "k")))
-    middle = ranked.where("upto * 2 >= total").groupBy("__band", "k").agg((F.min("v") / F.lit(float(GRID))).alias("m"))
-    return middle.groupBy("__band").agg(*[F.max(F.when(F.col("k") == i, F.col("m"))).alias(f"__m{i}") for i in range(3)])
+def _octave(tokens: Column) -> Column:
+    return F.floor(F.log2(F.greatest(tokens, F.lit(1)).cast("double"))).cast("int")
+
+
+def medians(derived: DataFrame, like_length: int) -> DataFrame:
+    """Lower median of chars and bytes for each band, on a grid of 1/1000, over the documents that passed the base rules; ``__curve`` holds
+    those of the entropy as (octave of tokens, median) of lengths with enough texts."""
+    m = F.col("__measures")
+    measures = ((F.col("__chars"), F.lit(-1)), (F.col("__bytes"), F.lit(-1)), (m["token_entropy"], _octave(m["n_tokens"])))
+    pairs = F.array(*[F.struct(F.lit(i).alias("k"), o.alias("o"), F.floor(c * GRID).cast("long").alias("v")) for i, (c, o) in enumerate(measures)])
+    counted = (derived.where(~F.col("__failed")).select("__band", F.explode(pairs).alias("p")).select("__band", "p.k", "p.o", "p.v")
+               .groupBy("__band", "k", "o", "v").agg(F.count(F.lit(1)).alias("c")))
+    by_value = Window.partitionBy("__band", "k", "o").orderBy("v")  # one row for each value of the grid, not for each document
+    ranked = counted.withColumn("upto", F.sum("c").over(by_value)).withColumn("total", F.sum("c").over(Window.partitionBy("__band", "k", "o")))
+    middle = ranked.where("upto * 2 >= total").groupBy("__band", "k", "o").agg((F.min("v") / F.lit(float(GRID))).alias("m"), F.first("total").alias("total"))
+    # at most one row for each power of two of tokens
+    most = F.max("total").over(Window.partitionBy("__band", "k"))
+    middle = middle.withColumn("most", most).where(F.col("total") >= F.least(F.col("most"), F.lit(like_length)))
+    curve = F.array_sort(F.collect_list(F.when(F.col("k") == 2, F.struct("o", "m"))))
+    return middle.groupBy("__band").agg(*[F.max(F.when(F.col("k") == i, F.col("m"))).alias(f"__m{i}") for i in range(2)], curve.alias("__curve"))
+
+
+def _expected_entropy() -> Column:
+    """Entropy of a text of the document's length, from ``__curve``."""
+    tokens = F.col("__measures")["n_tokens"]
+    own = _octave(tokens)
+    shorter = F.filter("__curve", lambda p: p["o"] <= own)
+    longer = F.get("__curve", F.lit(0))
+    # bits for each bit that the tokens can hold fall with length: no more than a text of this length has
+    scaled = longer["m"] * F.log2(F.greatest(tokens, F.lit(1)).cast("double")) / (longer["o"] + 1)
+    return F.when(F.size(shorter) > 0, F.get(shorter, F.size(shorter) - 1)["m"]).otherwise(scaled)
 
 
 def _verdicts(docs: DataFrame, keep: Sequence[str], bands: Bands, vocabulary: str) -> DataFrame:
     derived = _derived(kept(measure(docs, keep, vocabulary), "quality-measures"), bands)
-    middle = kept(medians(derived), "quality-medians").withColumnRenamed("__band", "__own")
+    middle = kept(medians(derived, bands.like_length), "quality-medians").withColumnRenamed("__band", "__own")
     joined = derived.join(middle, F.col("__band") == F.col("__own"), "left")
     entropy = F.col("__measures")["token_entropy"]
     fits = ((F.col("__chars") >= F.col("__m0") * bands.chars_low) & (F.col("__chars") <= F.col("__m0") * bands.chars_high)
-            & (F.col("__bytes") <= F.col("__m1") + bands.bytes_above) & (entropy >= F.col("__m2") * bands.entropy_low))
+            & (F.col("__bytes") <= F.col("__m1") + bands.bytes_above) & (entropy >= _expected_entropy() * bands.entropy_low))
     return joined.withColumn("__kept", ~F.col("__failed") & F.coalesce(fits, F.lit(False)))
 
 
