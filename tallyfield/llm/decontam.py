@@ -13,6 +13,8 @@ smaller over the sum of the larger shingle counts, is at least 0.75.
 
 DataFrame functions only. Item tables are joined by whatever join their size calls for; nothing is broadcast by hint.
 
+Items are told apart by their words, not by their ids: different texts under one id, or under none, have a fingerprint each.
+
 Defined results: NULL or empty texts and items match nothing; an item shorter than five words is one shingle of that many words; repeated rows or
 equal items give one result for each (doc_id, item_id); rows with a NULL id are reported under NULL; empty tables give an empty
 result; extra columns are ignored.
@@ -51,13 +53,19 @@ def _needed(window: Column, item: Column, num: int, den: int) -> Column:
     return F.ceil((window + item) * F.lit(num) / F.lit(num + den)).cast("int")
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def _items(items: DataFrame) -> DataFrame:
+    """(item_id, item_key, length, k, grams): the key is a digest of the words."""
     w = items.select("item_id", _words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    w = w.withColumn("item_key", _digest(F.array_join("words", " ")))
     w = w.withColumn("length", F.size("words")).withColumn("k", F.least(F.col("length"), F.lit(SHINGLE)))
     grams = F.lit(None).cast("array<bigint>")
     for k in range(1, SHINGLE + 1):
         grams = F.when(F.col("k") == k, _grams(F.col("words"), k)).otherwise(grams)
-    return w.select("item_id", "length", "k", grams.alias("grams"))
+    return w.select("item_id", "item_key", "length", "k", grams.alias("grams"))
 
 
 def _lane_table() -> list[int]:
@@ -119,24 +127,25 @@ def windows_near_items(docs: DataFrame, items: DataFrame, num: int, den: int) ->
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_windows): for each document and item it holds, the best (earliest) window."""
-    items = kept(_items(benchmark), "decontam-items")
+    rows = kept(_items(benchmark), "decontam-items")
+    items = rows.select("item_key", "length", "k", "grams").distinct()
     near = kept(windows_near_items(docs, items, num, den), "decontam-windows")
 
-    item_fp = kept(_fingerprints(items, ["item_id", "length"]), "decontam-item-fp")
+    item_fp = kept(_fingerprints(items, ["item_key", "length"]), "decontam-item-fp")
     flips = [0, *[sum(1 << b for b in c) for r in range(1, BLOCK_RADIUS + 1) for c in combinations(range(BLOCK_BITS), r)]]
     variants = F.explode(F.array(*[F.lit(v).cast("long") for v in flips])).alias("flip")
-    index = item_fp.select("item_id", "length", "fp", F.posexplode(F.array(*[_block(F.col("fp"), b) for b in range(BLOCKS)])).alias("block", "value"))
-    index = index.select("item_id", "length", F.col("fp").alias("item_fp"), "block", "value", variants)
-    index = index.select("item_id", "length", "item_fp", "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+    index = item_fp.select("item_key", "length", "fp", F.posexplode(F.array(*[_block(F.col("fp"), b) for b in range(BLOCKS)])).alias("block", "value"))
+    index = index.select("item_key", "length", F.col("fp").alias("item_fp"), "block", "value", variants)
+    index = index.select("item_key", "length", "item_fp", "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
     index = kept(index, "decontam-index")
     probe = _fingerprints(near.withColumn("wid", F.xxhash64("grams")), ["doc_id", "length", "start", "wid"])
     probe = kept(probe, "decontam-probe")
     keyed = probe.select("doc_id", "length", "start", "wid", "fp", F.posexplode(F.array(*[_block(F.col("fp"), b) for b in range(BLOCKS)])).alias("block", "value"))
     pairs = (keyed.join(index, ["length", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-             .select("doc_id", "length", "start", "wid", "item_id").distinct())
+             .select("doc_id", "length", "start", "wid", "item_key").distinct())
     left = near.select(F.col("doc_id").alias("d"), F.col("length").alias("l"), F.col("start").alias("s"), F.xxhash64("grams").alias("w"), F.col("grams").alias("window"))
     both = pairs.join(left, pairs.doc_id.eqNullSafe(F.col("d")) & (pairs.length == F.col("l")) & (pairs.start == F.col("s")) & (pairs.wid == F.col("w")))
-    both = both.join(items.select("item_id", F.col("length").alias("il"), F.col("grams").alias("item")), "item_id").where("il = length")
+    both = both.join(items.select("item_key", F.col("length").alias("il"), F.col("grams").alias("item")), "item_key").where("il = length")
 
     def times(array: str, g: Column) -> Column:
         return F.size(F.filter(array, lambda x: x == g))
@@ -144,6 +153,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, num: int = 75, den: int =
     scored = both.withColumn("common", common).withColumn("union", F.size("window") + F.size("item") - F.col("common"))
     leaks = scored.where(F.col("common") * den >= F.col("union") * num).withColumn("similarity", F.col("common") / F.col("union"))
     best = F.min(F.struct((-F.col("similarity")).alias("low"), "start").alias("b"))
+    leaks = leaks.select("doc_id", "item_key", "similarity", "start").join(rows.select("item_id", "item_key").distinct(), "item_key")
     grouped = leaks.groupBy("doc_id", "item_id").agg(best.alias("b"), F.count_distinct("start").alias("n_windows"))
     return grouped.select("doc_id", "item_id", (-F.col("b.low")).alias("similarity"), F.col("b.start").cast("long").alias("start_word"), "n_windows")
 
