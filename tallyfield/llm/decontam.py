@@ -16,7 +16,7 @@ DataFrame functions only. Item tables are joined by whatever join their size cal
 Items are told apart by their words, not by their ids: different texts under one id, or under none, have a fingerprint each.
 
 Defined results: NULL or empty texts and items match nothing; an item shorter than five words is one shingle of that many words; repeated rows or
-equal items give one result for each (doc_id, item_id); rows with a NULL id are reported under NULL; empty tables give an empty
+equal items give one result for each (doc_id, item_id); a text is removed for what it holds, not for its id; rows with a NULL id are reported under NULL; empty tables give an empty
 result; extra columns are ignored.
 """
 
@@ -92,41 +92,41 @@ def _block(fp: Column, b: int) -> Column:
 
 
 def windows_near_items(docs: DataFrame, items: DataFrame, num: int, den: int) -> DataFrame:
-    """(doc_id, length, k, start, grams): windows of item sizes with enough shingles of items of that size."""
+    """(text_key, length, k, start, grams): windows of item sizes with enough shingles of items of that size."""
     places = items.select("length", "k", F.explode("grams").alias("g")).distinct()
     places = kept(places, "decontam-places")
     found = None
     for k in [r.k for r in places.select("k").distinct().collect()]:  # at most five values
-        at = docs.select("doc_id", _words(F.col("text")).alias("words"))
-        at = at.select("doc_id", "words", F.posexplode("words").alias("pos", "word")).where(F.col("pos") + k <= F.size("words"))
-        at = at.select("doc_id", "words", "pos", _gram(F.col("words"), F.col("pos"), k).alias("g"))
+        at = docs.select(_digest(F.col("text").cast("string")).alias("text_key"), _words(F.col("text")).alias("words"))
+        at = at.select("text_key", "words", F.posexplode("words").alias("pos", "word")).where(F.col("pos") + k <= F.size("words"))
+        at = at.select("text_key", "words", "pos", _gram(F.col("words"), F.col("pos"), k).alias("g"))
         hit = at.join(places.where(F.col("k") == k), "g")
         # a window that starts in one block of ``length`` words ends in the next: its shared shingles are all at hand under its first block
         block = F.floor(F.col("pos") / F.col("length")).cast("int")
         hit = hit.withColumn("first", F.explode(F.array(block - 1, block))).withColumn("low", F.col("first") * F.col("length"))
         hit = hit.where((F.col("low") >= 0) & (F.col("low") <= F.greatest(F.lit(0), F.size("words") - F.col("length"))))
         around = F.slice("words", F.col("low") + 1, F.col("length") * 2)
-        hit = hit.select("doc_id", "length", "k", "low", around.alias("around"), F.size("words").alias("n"), "pos")
+        hit = hit.select("text_key", "length", "k", "low", around.alias("around"), F.size("words").alias("n"), "pos")
         found = hit if found is None else found.union(hit)
     if found is None:
-        schema = "doc_id long, length int, k int, start int, grams array<bigint>"
+        schema = "text_key binary, length int, k int, start int, grams array<bigint>"
         return docs.sparkSession.createDataFrame([], schema)
-    near = found.groupBy("doc_id", "length", "k", "low", "n", "around").agg(F.collect_set("pos").alias("hits"))
+    near = found.groupBy("text_key", "length", "k", "low", "n", "around").agg(F.collect_set("pos").alias("hits"))
     L, k, n = F.col("length"), F.col("k"), F.col("n")
     last = F.least(F.col("low") + L - 1, F.greatest(F.lit(0), n - L))
     enough = _needed(F.least(n, L) - k + 1, L - k + 1, num, den)
     starts = F.filter(F.sequence(F.col("low"), last), lambda s: F.size(F.filter("hits", lambda p: (p >= s) & (p <= s + L - k))) >= enough)
-    near = near.select("doc_id", "length", "k", "low", "around", F.explode(starts).alias("start"))
+    near = near.select("text_key", "length", "k", "low", "around", F.explode(starts).alias("start"))
     words = F.slice("around", F.col("start") - F.col("low") + 1, L)
-    near = near.select("doc_id", "length", "k", "start", words.alias("words"))
+    near = near.select("text_key", "length", "k", "start", words.alias("words"))
     grams = F.lit(None).cast("array<bigint>")
     for size in range(1, SHINGLE + 1):
         grams = F.when(F.col("k") == size, _grams(F.col("words"), size)).otherwise(grams)
-    return near.select("doc_id", "length", "k", "start", grams.alias("grams")).distinct()
+    return near.select("text_key", "length", "k", "start", grams.alias("grams")).distinct()
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
-    """(doc_id, item_id, similarity, start_word, n_windows): for each document and item it holds, the best (earliest) window."""
+def _leaks(docs: DataFrame, benchmark: DataFrame, num: int, den: int) -> DataFrame:
+    """(text_key, item_id, similarity, start): every window of a text that holds an item."""
     rows = kept(_items(benchmark), "decontam-items")
     items = rows.select("item_key", "length", "k", "grams").distinct()
     near = kept(windows_near_items(docs, items, num, den), "decontam-windows")
@@ -138,13 +138,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, num: int = 75, den: int =
     index = index.select("item_key", "length", F.col("fp").alias("item_fp"), "block", "value", variants)
     index = index.select("item_key", "length", "item_fp", "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
     index = kept(index, "decontam-index")
-    probe = _fingerprints(near.withColumn("wid", F.xxhash64("grams")), ["doc_id", "length", "start", "wid"])
+    probe = _fingerprints(near.withColumn("wid", F.xxhash64("grams")), ["text_key", "length", "start", "wid"])
     probe = kept(probe, "decontam-probe")
-    keyed = probe.select("doc_id", "length", "start", "wid", "fp", F.posexplode(F.array(*[_block(F.col("fp"), b) for b in range(BLOCKS)])).alias("block", "value"))
+    keyed = probe.select("text_key", "length", "start", "wid", "fp", F.posexplode(F.array(*[_block(F.col("fp"), b) for b in range(BLOCKS)])).alias("block", "value"))
     pairs = (keyed.join(index, ["length", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-             .select("doc_id", "length", "start", "wid", "item_key").distinct())
-    left = near.select(F.col("doc_id").alias("d"), F.col("length").alias("l"), F.col("start").alias("s"), F.xxhash64("grams").alias("w"), F.col("grams").alias("window"))
-    both = pairs.join(left, pairs.doc_id.eqNullSafe(F.col("d")) & (pairs.length == F.col("l")) & (pairs.start == F.col("s")) & (pairs.wid == F.col("w")))
+             .select("text_key", "length", "start", "wid", "item_key").distinct())
+    left = near.select(F.col("text_key").alias("d"), F.col("length").alias("l"), F.col("start").alias("s"), F.xxhash64("grams").alias("w"), F.col("grams").alias("window"))
+    both = pairs.join(left, (pairs.text_key == F.col("d")) & (pairs.length == F.col("l")) & (pairs.start == F.col("s")) & (pairs.wid == F.col("w")))
     both = both.join(items.select("item_key", F.col("length").alias("il"), F.col("grams").alias("item")), "item_key").where("il = length")
 
     def times(array: str, g: Column) -> Column:
@@ -152,13 +152,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, num: int = 75, den: int =
     common = F.aggregate(F.array_intersect("window", "item"), F.lit(0), lambda acc, g: acc + F.least(times("window", g), times("item", g)))
     scored = both.withColumn("common", common).withColumn("union", F.size("window") + F.size("item") - F.col("common"))
     leaks = scored.where(F.col("common") * den >= F.col("union") * num).withColumn("similarity", F.col("common") / F.col("union"))
+    leaks = kept(leaks.select("text_key", "item_key", "similarity", "start").distinct(), "decontam-leaks")
+    return leaks.join(rows.select("item_id", "item_key").distinct(), "item_key").select("text_key", "item_id", "similarity", "start")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
+    """(doc_id, item_id, similarity, start_word, n_windows): for each document and item it holds, the best (earliest) window."""
+    rows = docs.select("doc_id", _digest(F.col("text").cast("string")).alias("text_key"))
+    leaks = rows.join(_leaks(docs, benchmark, num, den), "text_key")
     best = F.min(F.struct((-F.col("similarity")).alias("low"), "start").alias("b"))
-    leaks = leaks.select("doc_id", "item_key", "similarity", "start").join(rows.select("item_id", "item_key").distinct(), "item_key")
     grouped = leaks.groupBy("doc_id", "item_id").agg(best.alias("b"), F.count_distinct("start").alias("n_windows"))
     return grouped.select("doc_id", "item_id", (-F.col("b.low")).alias("similarity"), F.col("b.start").cast("long").alias("start_word"), "n_windows")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
-    """The rows of docs whose id has no leak."""
-    leaked = kept(find_leaks(docs, benchmark, num, den).select(F.col("doc_id").alias("__leaked")).distinct(), "decontam-leaked")
-    return docs.join(leaked, docs.doc_id.eqNullSafe(F.col("__leaked")), "left_anti")
+    """The rows of docs whose text has no leak."""
+    leaked = kept(_leaks(docs, benchmark, num, den).select(F.col("text_key").alias("__leaked")).distinct(), "decontam-leaked")
+    return docs.join(leaked, _digest(docs.text.cast("string")) == F.col("__leaked"), "left_anti")

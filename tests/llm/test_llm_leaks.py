@@ -18,3 +18,12 @@ def test_items_without_an_id_or_under_one_id_are_found(spark):
     assert {(d, i) for d, i, *_ in got} == {(d, None) for d in range(5)} | {(d, 4) for d in range(5, 10)} | {(10, 8), (10, 9)} and len(got) == 12
     assert all(s == 1.0 and at == 20 for _, _, s, at, _ in got)
     assert [r.doc_id for r in decontam.clean_documents(docs, bench).collect()] == [11]
+
+
+def test_a_leak_removes_its_text_only(spark):
+    rng = random.Random(8)
+    item = words(rng, 30)
+    leak = f"{words(rng, 9)} {item}"
+    docs = [(None, leak), (None, words(rng, 40)), (None, None), (3, words(rng, 40)), (3, leak), (4, "")]
+    clean = decontam.clean_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(tuple, clean.collect()), key=str) == sorted([d for d in docs if d[1] != leak], key=str)
