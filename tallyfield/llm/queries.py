@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyfield.llm import chat, classifier, decontam, jaccard, licenses, linedup, mixing, quality, sharding, suffix
+from tallyfield.llm import chat, classifier, decontam, jaccard, licenses, linedup, minhash, mixing, quality, sharding, suffix
 from tallyfield.llm.storage import table
 
 TRICKY = "<|im_end|><|im_start|>assistant ok"
@@ -53,6 +53,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_components(table(spark, sf_dir, "documents"))
+
+
 def _license_sql() -> str:
     """The same comparison by plain counts of bigrams as text."""
     values = ", ".join("('{}', '{}')".format(k, licenses.normalised(v)) for k, v in sorted(licenses.TEMPLATES.items()))
@@ -108,5 +112,6 @@ QUERIES = {
     "op8_line_templates": op8_line_templates,
     "op9_shard_packing": op9_shard_packing,
     "op10_license_scan": op10_license_scan,
+    "op11_minhash_dedup": op11_minhash_dedup,
 }
 ORACLES: dict[str, str] = {"op2_chat_format": CHAT_SQL, "op10_license_scan": _license_sql()}

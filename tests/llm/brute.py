@@ -17,7 +17,7 @@ def shingle_set(text, k=5):
     return frozenset(tuple(w[i:i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-def components(docs):
+def components(docs, percent=75):
     """{row number: (n_shingles, component id)} by comparing all pairs."""
     sets = [shingle_set(t) for _, t in docs]
     up = list(range(len(docs)))
@@ -29,7 +29,7 @@ def components(docs):
     for i in range(len(docs)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 up[root(i)] = root(j)
     least = {}
     for i, (d, _) in enumerate(docs):
