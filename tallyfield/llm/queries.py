@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyfield.llm import chat, classifier, decontam, jaccard, licenses, linedup, minhash, mixing, quality, sharding, suffix
+from tallyfield.llm import alignment, chat, classifier, decontam, jaccard, licenses, linedup, minhash, mixing, quality, sharding, spelling, suffix
 from tallyfield.llm.storage import table
 
 TRICKY = "<|im_end|><|im_start|>assistant ok"
@@ -57,6 +57,14 @@ def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.minhash_components(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def _license_sql() -> str:
     """The same comparison by plain counts of bigrams as text."""
     values = ", ".join("('{}', '{}')".format(k, licenses.normalised(v)) for k, v in sorted(licenses.TEMPLATES.items()))
@@ -101,6 +109,39 @@ grouped AS (
 SELECT conv_id, n_turns, turns_sha256, length(trained)::BIGINT AS loss_chars, sha256(trained) AS loss_sha256, formatted_chars FROM grouped
 """
 
+# checksums bit by bit through a table made here; near words through deletions at the same place
+SPELLING_SQL = rf"""
+WITH RECURSIVE
+crc AS (SELECT list(list_reduce(list_concat([x], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY x) AS t FROM range(256) r(x)),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[{spelling.LETTERS}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+bytes AS (
+  SELECT doc_id, run, c, flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''),
+    lambda s: CASE WHEN unicode(s) < 128 THEN [unicode(s)::BIGINT] ELSE [(192 + (unicode(s) >> 6))::BIGINT, (128 + (unicode(s) & 63))::BIGINT] END)) AS b FROM runs),
+hashed AS (SELECT doc_id, run, c, xor(list_reduce(list_concat([4294967295], b), lambda h, x: xor(h >> 8, t[(xor(h, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+vocabulary AS (
+  SELECT word, sum(c)::BIGINT AS n
+  FROM (SELECT CASE WHEN doc_id IS NOT NULL AND h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+less AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM vocabulary, unnest(range(length(word))) r(i)),
+pairs AS (
+  SELECT x.word AS word, y.word AS other FROM less x JOIN less y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION SELECT l.word, v.word FROM less l JOIN vocabulary v ON l.rest = v.word
+  UNION SELECT v.word, l.word FROM less l JOIN vocabulary v ON l.rest = v.word),
+ranked AS (
+  SELECT p.word, p.other, v.n, count(*) OVER (PARTITION BY p.word) AS n_near, row_number() OVER (PARTITION BY p.word ORDER BY v.n DESC, p.other) AS k
+  FROM pairs p JOIN vocabulary v ON v.word = p.other),
+forms AS (
+  SELECT v.word, v.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.n >= 10 * v.n THEN r.other END AS form, CASE WHEN r.n >= 10 * v.n THEN r.n END AS form_n
+  FROM vocabulary v LEFT JOIN (SELECT * FROM ranked WHERE k = 1) r USING (word)),
+chain AS (
+  SELECT word, word AS last FROM forms
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.last WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.last AS root
+FROM forms f JOIN chain c USING (word) JOIN forms e ON e.word = c.last AND e.form IS NULL
+"""
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_chat_format": op2_chat_format,
@@ -113,5 +154,7 @@ QUERIES = {
     "op9_shard_packing": op9_shard_packing,
     "op10_license_scan": op10_license_scan,
     "op11_minhash_dedup": op11_minhash_dedup,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLES: dict[str, str] = {"op2_chat_format": CHAT_SQL, "op10_license_scan": _license_sql()}
+ORACLES: dict[str, str] = {"op2_chat_format": CHAT_SQL, "op10_license_scan": _license_sql(), "op13_spelling_variants": SPELLING_SQL}
