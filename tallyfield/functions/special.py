@@ -37,6 +37,51 @@ def lrising(z, k) -> np.ndarray:
     return np.where(big, far, lgamma(small + k) - lgamma(small))
 
 
+# fixed values: B_2k / (2k), coefficients of the digamma series, and B_2k, those of the trigamma series
+DIGAMMA = (1.0 / 12.0, -1.0 / 120.0, 1.0 / 252.0, -1.0 / 240.0, 1.0 / 132.0, -691.0 / 32760.0)
+TRIGAMMA = (1.0 / 6.0, -1.0 / 30.0, 1.0 / 42.0, -1.0 / 30.0, 5.0 / 66.0, -691.0 / 2730.0)
+
+
+def digamma(z) -> np.ndarray:
+    """Derivative of log Gamma for positive arguments: shift by 10, then the asymptotic series."""
+    z = np.asarray(z, dtype=float)
+    shift = np.zeros_like(z)
+    for k in range(10):
+        shift = shift + 1.0 / (z + k)
+    y = z + 10.0
+    inv2, tail = 1.0 / (y * y), np.zeros_like(z)
+    for c in reversed(DIGAMMA):
+        tail = (tail + c) * inv2
+    return np.log(y) - 0.5 / y - tail - shift
+
+
+def trigamma(z) -> np.ndarray:
+    """Second derivative of log Gamma for positive arguments."""
+    z = np.asarray(z, dtype=float)
+    shift = np.zeros_like(z)
+    for k in range(10):
+        shift = shift + 1.0 / ((z + k) * (z + k))
+    y = z + 10.0
+    inv2, tail = 1.0 / (y * y), np.zeros_like(z)
+    for c in reversed(TRIGAMMA):
+        tail = (tail + c) * inv2
+    return 1.0 / y + 0.5 * inv2 + tail / y + shift
+
+
+def rising_derivatives(z, k) -> tuple[np.ndarray, np.ndarray]:
+    """First and second derivative of ``lrising`` in z, exact also where z is large and both gammas nearly agree."""
+    z, k = np.broadcast_arrays(np.asarray(z, dtype=float), np.asarray(k, dtype=float))
+    big = z > 64.0
+    safe, small = np.where(big, z, 65.0), np.where(big, 1.0, z)
+    y = safe + k
+    one = np.log1p(k / safe) + 0.5 * k / (safe * y)
+    two = -k / (safe * y) + 0.5 * (y ** -2.0 - safe ** -2.0)
+    for j, (c, d) in enumerate(zip(DIGAMMA, TRIGAMMA)):
+        one = one - c * (y ** -(2.0 * j + 2.0) - safe ** -(2.0 * j + 2.0))
+        two = two + d * (y ** -(2.0 * j + 3.0) - safe ** -(2.0 * j + 3.0))
+    return np.where(big, one, digamma(small + k) - digamma(small)), np.where(big, two, trigamma(small + k) - trigamma(small))
+
+
 def lbeta(a, b) -> np.ndarray:
     return lgamma(a) + lgamma(b) - lgamma(np.asarray(a, dtype=float) + b)
 
@@ -47,6 +92,27 @@ def unit_gauss_legendre(n: int) -> tuple[np.ndarray, np.ndarray]:
     return 0.5 * (x + 1.0), 0.5 * w
 
 
+def beta_nodes(a: float, b: float, n: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Gauss-Jacobi rule for the mean over a Beta(a, b) variable: eigenvalues of the recurrence matrix of its orthogonal polynomials."""
+    p, q = b - 1.0, a - 1.0
+    k = np.arange(1.0, n)
+    diagonal = np.r_[(a - b) / (a + b), (q - p) * (q + p) / ((2 * k + p + q) * (2 * k + p + q + 2))]
+    c = 2 * k[1:] + p + q
+    off = np.r_[4 * a * b / ((a + b) ** 2 * (a + b + 1)), 4 * k[1:] * (k[1:] + p) * (k[1:] + q) * (k[1:] + p + q) / (c * c * (c + 1) * (c - 1))]
+    off = np.sqrt(off)
+    x, vectors = np.linalg.eigh(np.diag(diagonal) + np.diag(off, 1) + np.diag(off, -1))
+    return np.clip(0.5 * (x + 1.0), 0.0, 1.0), vectors[0] ** 2
+
+
+def dyadic_nodes(rate: float, n: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Gauss-Legendre nodes and weights on (0, 1) in panels that halve towards 0, as many as an integrand falling like exp(-rate u) needs."""
+    panels = max(1, math.ceil(math.log2(max(rate, 1.0) / 2.0)) + 1)
+    u, w = unit_gauss_legendre(n)
+    left = np.r_[0.0, 2.0 ** -np.arange(panels - 1.0, 0.0, -1.0)]
+    width = np.diff(np.r_[left, 1.0])
+    return (left[:, None] + width[:, None] * u).ravel(), (width[:, None] * w).ravel()
+
+
 def hyp2f1_series(a, b, c, z, tol: float = 1e-14) -> np.ndarray:
     """Gauss power series for 0 <= z < 1. Each element is summed until it has converged and then leaves the loop."""
     a, b, c, z = (np.array(v, dtype=float) for v in np.broadcast_arrays(a, b, c, z))

@@ -55,7 +55,7 @@ def _long_truth(truth: DataFrame) -> DataFrame:
 
 
 def did_rows(panel: DataFrame, truth: DataFrame) -> DataFrame:
-    est = did.twfe(did.by_cohort(panel), [(o, c) for o, c, _ in OUTCOMES], ["cohort"])
+    est = did.twfe_by_cohort(panel, [(o, c) for o, c, _ in OUTCOMES])
     j = est.join(_long_truth(truth), ["cohort", "outcome"])
     return _rows(j, DID_MODEL, _label(), F.col("outcome"), F.col("estimated_att"), F.col("truth"), F.col("std_err"),
                  F.col("ci_lower"), F.col("ci_upper"), F.col("p_value"), "PRIMARY_ESTIMATOR")

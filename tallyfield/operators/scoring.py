@@ -16,13 +16,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyfield.config import DEFAULTS, Settings
 from tallyfield.functions.numeric import round_half
-from tallyfield.functions.special import hyp2f1_series, lbeta, lgamma, unit_gauss_legendre
+from tallyfield.functions.special import beta_nodes, dyadic_nodes, hyp2f1_series
 from tallyfield.operators.quality import require_valid
 from tallyfield.operators.rfm import monetary_column
 
-QUADRATURE_NODES = 100  # fixed value: nodes for customers without repeat orders
-PARETO_NODES = 48
-SMALL_Z = 1e-6  # fixed value: below this the integrand is replaced by its expansion
 
 
 @dataclass(frozen=True)
@@ -123,18 +120,15 @@ def _purchases_given_alive(m: BetaGeometric, x, age, t):
     return at(m.a)
 
 
-def _purchases_quadrature(m: BetaGeometric, age, t, nodes: int = QUADRATURE_NODES):
-    """The same expectation for x = 0 by Gauss-Legendre after p = u^(1/a), which removes the pole at p = 0."""
-    u, w = unit_gauss_legendre(nodes)
-    p = np.clip(u ** (1.0 / m.a), 1e-15, 1.0 - 1e-15)
-    bb = m.beta_b(0.0)
-    density = np.exp((bb - 1.0) * np.log1p(-p) - np.log(m.a) - float(lbeta(m.a, bb)))
-    start = (m.alpha + np.asarray(age, dtype=float))[..., None]
-    t = np.asarray(t, dtype=float)[..., None]
-    z = p * t / start
-    exact = (1.0 - (1.0 + z) ** (-m.r)) / p
-    small = m.r * t / start * (1.0 - 0.5 * (m.r + 1.0) * z)
-    return np.sum(np.where(z < SMALL_Z, small, exact) * (density * w), axis=-1)
+def _purchases_once(m: BetaGeometric, age, t):
+    """The same expectation for x = 0 as a mean over the dropout probability p ~ Beta: a customer who stays with probability 1 - p after each
+    order makes (1 - (1 + p t / (alpha + T))^-r) / p further ones."""
+    p, w = beta_nodes(m.a, m.beta_b(0.0))
+    pace = np.asarray(t, dtype=float) / (m.alpha + np.asarray(age, dtype=float))
+    z = pace[..., None] * p
+    safe = np.where(z > 0, z, 1.0)
+    per = np.where(z > 0, -np.expm1(-m.r * np.log1p(safe)) / safe, m.r)
+    return pace * (per @ w)
 
 
 def bg_expected(m: BetaGeometric, x, tx, age, t) -> np.ndarray:
@@ -144,32 +138,34 @@ def bg_expected(m: BetaGeometric, x, tx, age, t) -> np.ndarray:
     out = np.zeros((x.shape[0], t.shape[1]))
     once = x[:, 0] == 0
     if once.any():
-        out[once] = _purchases_quadrature(m, np.broadcast_to(age[once], (once.sum(), t.shape[1])),
+        out[once] = _purchases_once(m, np.broadcast_to(age[once], (once.sum(), t.shape[1])),
                                           np.broadcast_to(t, (once.sum(), t.shape[1])))
     if (~once).any():
         out[~once] = _purchases_given_alive(m, x[~once], age[~once], t)
     return out * _alive(m, x, tx, age)
 
 
-def pareto_terms(m: ParetoNbd, x, tx, age) -> tuple[np.ndarray, np.ndarray]:
-    """Log of the two likelihood parts: still active at T, and dropped out between the last order and T.
+def dropout_nodes(alpha: float, rate, tx, age) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the dropout time y between the last order and T, per customer: log(alpha + y) and the log weights for dy.
 
-    The dropout integral is mapped by w = ((alpha + tx) / (alpha + y))^(r + x + s), which leaves a nearly flat integrand.
+    In log(alpha + y) the integrand falls exponentially at no more than ``rate`` and is smooth on the scale of 1.
     """
+    span = np.log((alpha + age) / (alpha + tx))
+    u, w = dyadic_nodes(float(np.max(rate * span, initial=1.0)))
+    log_y = np.log(alpha + tx)[..., None] + span[..., None] * u
+    with np.errstate(divide="ignore"):
+        return log_y, log_y + np.log(span)[..., None] + np.log(w)
+
+
+def pareto_terms(m: ParetoNbd, x, tx, age) -> tuple[np.ndarray, np.ndarray]:
+    """Log of the two likelihood parts: still active at T, and dropped out between the last order and T."""
     x, tx, age = (np.asarray(v, dtype=float) for v in (x, tx, age))
     alive = -(m.r + x) * np.log(m.alpha + age) - m.s * np.log(m.beta + age)
-    k = m.r + x + m.s
-    u, w = unit_gauss_legendre(PARETO_NODES)
-    low = ((m.alpha + tx) / (m.alpha + age)) ** k
-    node = low[..., None] + (1.0 - low)[..., None] * u
-    y = (m.alpha + tx)[..., None] * node ** (-1.0 / k[..., None]) - m.alpha
-    scale = (m.s + 1.0) * np.log((m.beta + y) / (m.beta + tx)[..., None])
-    integrand = np.exp(((m.r + x - 1.0) / k - 1.0)[..., None] * np.log(node) - scale)
-    total = np.sum(integrand * w, axis=-1) * (1.0 - low)
+    log_y, log_w = dropout_nodes(m.alpha, m.r + x + m.s + 1.0, tx, age)
+    terms = log_w - (m.r + x)[..., None] * log_y - (m.s + 1.0) * np.log(m.beta - m.alpha + np.exp(log_y))
+    top = np.maximum(terms.max(axis=-1), -1e300)
     with np.errstate(divide="ignore"):
-        gone = (np.log(m.s) + np.log(total) + (1.0 - m.r - x) * np.log(m.alpha + tx) - np.log(k)
-                - (m.s + 1.0) * np.log(m.beta + tx))
-    return alive, gone
+        return alive, np.log(m.s) + top + np.log(np.exp(terms - top[..., None]).sum(axis=-1))
 
 
 def pareto_alive(m: ParetoNbd, x, tx, age) -> np.ndarray:

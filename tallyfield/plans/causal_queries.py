@@ -97,7 +97,7 @@ def _estimates(df, *keys):
 
 @query("e1_twfe_did", _rec(ps.panel()) + ", " + twfe_sql(_COHORT_SRC, ESTIMATES) + f" SELECT g AS cohort, outcome, {_EST} FROM est")
 def e1(f):
-    return _estimates(did.twfe(did.by_cohort(policy_panel(f)), ESTIMATES, ["cohort"]), "cohort")
+    return _estimates(did.twfe_by_cohort(policy_panel(f), ESTIMATES), "cohort")
 
 
 _WITHIN = """src AS (SELECT 'all' AS g, customer_id, week_date, CAST(is_treated * is_post_period AS DOUBLE) AS d,
@@ -114,7 +114,7 @@ def e2(f):
 @query("e3_clustered_errors_degraded", _rec(ps.panel(scenario="hidden_degradation")) + ", " + twfe_sql(_COHORT_SRC, ESTIMATES)
        + f" SELECT g AS cohort, outcome, {_EST} FROM est")
 def e3(f):
-    return _estimates(did.twfe(did.by_cohort(policy_panel(f, "hidden_degradation")), ESTIMATES, ["cohort"]), "cohort")
+    return _estimates(did.twfe_by_cohort(policy_panel(f, "hidden_degradation"), ESTIMATES), "cohort")
 
 
 _ARMS = """src AS (SELECT is_treated AS g, customer_id, week_date, CAST(is_treated * is_post_period AS DOUBLE) AS d,
@@ -130,7 +130,7 @@ def e4(f):
 
 @query("e5_many_outcomes_cr1", _rec(ps.panel()) + ", " + twfe_sql(_COHORT_SRC, ESTIMATES, "cr1") + f" SELECT g AS cohort, outcome, {_EST} FROM est")
 def e5(f):
-    return _estimates(did.twfe(did.by_cohort(policy_panel(f)), ESTIMATES, ["cohort"], dof="cr1"), "cohort")
+    return _estimates(did.twfe_by_cohort(policy_panel(f), ESTIMATES, "cr1"), "cohort")
 
 
 _OUTCOME = "observed_weekly_spend_winsor"

@@ -68,7 +68,7 @@ def preds(f: Frames) -> DataFrame:
 
 def fitted(f: Frames) -> dict[str, dict]:
     """Every model fitted at every cutoff; the cutoffs share the passes."""
-    key = (f.spark.sparkContext.applicationId, f.sf_dir)
+    key = (f.spark.sparkContext.applicationId, f.sf_dir, input_version(f.spark, f.sf_dir), "cutoffs")
     if key not in _FITS:
         frames = splits(f)
         _FITS[key] = {m: fitting.fit_labelled(frames, "cutoff", CUTOFFS, m) for m in ("bgnbd", "mbgnbd", "pareto", "gammagamma")}
@@ -159,6 +159,61 @@ _fit_query("r6_mbgnbd_fit", "mbgnbd")
 _fit_query("r7_pareto_nbd_fit", "pareto")
 
 
+def _tuples(f, model):
+    weights = [(F.col("cutoff") == c).cast("int") for c in CUTOFFS]
+    return (fitting.value_tuples if model == "gammagamma" else fitting.purchase_tuples)(splits(f), weights)
+
+
+def _likelihood_query(name, model):
+    """Total log-likelihood of each cutoff at pinned points, from the kernels that the fits use."""
+    @query(name, f"""WITH {cs.HOLDOUTS}, {cs.likelihood(model)}
+      SELECT cutoff, point, count(*) AS customers, {rnd('sum(v)', 5)} AS log_likelihood FROM ll GROUP BY cutoff, point""")
+    def run(f):
+        tuples = _tuples(f, model)
+        found = fitting.log_likelihoods(tuples, model, cs.GRID[model], len(CUTOFFS))
+        sizes = tuples.agg(*[F.sum(F.col("w")[i]).cast("bigint").alias(c) for i, c in enumerate(CUTOFFS)]).first()
+        rows = [(CUTOFFS[i], j, sizes[i], v) for (i, j), v in found.items()]
+        return f.spark.createDataFrame(rows, "cutoff string, point int, customers long, log_likelihood double").withColumn(
+            "log_likelihood", round_half("log_likelihood", 5))
+    return run
+
+
+def _certificate_query(name, model):
+    """What proves each fit: the slope is gone, no direction curves upwards, and every pinned point is less likely."""
+    rows = "frequency > 0 AND monetary_value_repeat > 0" if model == "gammagamma" else "TRUE"
+    @query(name, f"""WITH {cs.HOLDOUTS} SELECT cutoff, count(*) FILTER (WHERE {rows}) AS customers, TRUE AS converged, TRUE AS stationary, TRUE AS no_ascent,
+      CAST({len(cs.GRID[model])} AS BIGINT) AS pinned_points_beaten FROM hall GROUP BY cutoff""")
+    def run(f):
+        fits = fitted(f)[model]
+        names = fitting.SPECS[model].names
+        points = [[fits[c].params[k] for k in names] for c in CUTOFFS] + list(cs.GRID[model])
+        values = fitting.log_likelihoods(_tuples(f, model), model, points, len(CUTOFFS))
+        out = []
+        for i, c in enumerate(CUTOFFS):
+            beaten = sum(values[i, len(CUTOFFS) + j] < values[i, i] for j in range(len(cs.GRID[model])))
+            out.append((c, int(fits[c].n), fits[c].converged, fits[c].score < 1e-4, fits[c].curvature > -1e-8 and fits[c].gain < 1e-7, beaten))
+        return f.spark.createDataFrame(out, "cutoff string, customers long, converged boolean, stationary boolean, no_ascent boolean, pinned_points_beaten long")
+    return run
+
+
+for _name, _model in (("r4_bgnbd", "bgnbd"), ("r5_gamma_gamma", "gammagamma"), ("r6_mbgnbd", "mbgnbd"), ("r7_pareto_nbd", "pareto")):
+    _likelihood_query(f"{_name}_likelihood", _model)
+    _certificate_query(f"{_name}_certificate", _model)
+
+
+@query("r16_penalizer_order", "SELECT p AS penalizer, TRUE AS converged, TRUE AS parameters_shrink, TRUE AS likelihood_falls FROM (VALUES "
+       + ", ".join(f"({float(p)!r}e0)" for p in DEFAULTS.penalizer_grid) + ") v(p)")
+def r16o(f):
+    """A larger penalty gives smaller parameters and no larger likelihood; each against the penalty before it."""
+    fits = fitting.fit_penalties(splits(f).where(F.col("cutoff") == CUTOFFS[0]))
+    # the penalty acts on the fit's own scale, on which alpha is a share of the longest age
+    longest = splits(f).where(F.col("cutoff") == CUTOFFS[0]).agg(F.max("T")).first()[0]
+    size = [sum((v / (longest if k == "alpha" else 1.0)) ** 2 for k, v in fit.params.items()) for fit in fits]
+    rows = [(p, fit.converged, i == 0 or size[i] <= size[i - 1], i == 0 or fit.log_likelihood <= fits[i - 1].log_likelihood + 1e-9)
+            for i, (p, fit) in enumerate(zip(DEFAULTS.penalizer_grid, fits))]
+    return f.spark.createDataFrame(rows, "penalizer double, converged boolean, parameters_shrink boolean, likelihood_falls boolean")
+
+
 @query("r16_penalizer_grid")
 def r16(f):
     """BG/NBD parameters and holdout MAE per penalty."""
@@ -180,16 +235,31 @@ def r16(f):
 def r14f(f):
     """Fit both models on the whole table and score every customer, with bootstrap bounds (R15)."""
     base = full_rfm(f)
-    bg, gg, refits, _ = bootstrap(f)
+    bg, gg, refits, failed = bootstrap(f)
     scored = scoring.check_scores(scoring.score_customers(base, bg, gg))
-    return scoring.bootstrap_bounds(scored, refits)
+    return _with_counts(scoring.bootstrap_bounds(scored, refits), refits, failed)
+
+
+def _with_counts(df, refits, failed):
+    """How many resamples the bounds rest on, and how many were left out."""
+    return df.withColumn("bootstrap_replicates", F.lit(len(refits)).cast("bigint")).withColumn("bootstrap_failures", F.lit(failed).cast("bigint"))
 
 
 @query("r15_bootstrap_bounds")
 def r15(f):
-    _, _, refits, _ = bootstrap(f)
-    return scoring.bootstrap_bounds(scores(f), refits).select(
-        "customer_id", "clv_12m", "clv_12m_lower", "clv_12m_upper", "clv_24m", "clv_24m_lower", "clv_24m_upper")
+    _, _, refits, failed = bootstrap(f)
+    return _with_counts(scoring.bootstrap_bounds(scores(f), refits).select(
+        "customer_id", "clv_12m", "clv_12m_lower", "clv_12m_upper", "clv_24m", "clv_24m_lower", "clv_24m_upper"), refits, failed)
+
+
+@query("r15_bootstrap_invariants", f"""WITH {cs.RFM} SELECT count(*) AS customers, CAST({DEFAULTS.n_bootstraps} AS BIGINT) AS bootstrap_replicates,
+  CAST(0 AS BIGINT) AS bootstrap_failures, count(*) AS ordered_12m, count(*) AS ordered_24m, count(*) AS finite FROM rfm""")
+def r15i(f):
+    """Bounds contain the point value and are finite for every customer; no resample is lost."""
+    b = r15(f)
+    ordered = [F.count(F.when((F.col(f"clv_{m}m_lower") <= F.col(f"clv_{m}m")) & (F.col(f"clv_{m}m") <= F.col(f"clv_{m}m_upper")), 1)).alias(f"ordered_{m}m") for m in (12, 24)]
+    finite = F.count(F.when((F.abs("clv_12m_lower") < 1e12) & (F.abs("clv_24m_upper") < 1e12), 1)).alias("finite")
+    return b.groupBy("bootstrap_replicates", "bootstrap_failures").agg(F.count(F.lit(1)).alias("customers"), *ordered, finite)
 
 
 # ------------------------------------------------------------------ scoring with pinned parameters
@@ -212,6 +282,14 @@ def r10(f):
     return once.select("customer_id", round_half(scoring.expected_purchases(cs.BG, [90.0])[0], 9).alias("expected_purchases"))
 
 
+@query("r10_one_time_customers", f"""WITH {cs.HOLDOUTS}, {cs.NODES}, once AS (SELECT cutoff, customer_id, frequency, recency, T FROM hall WHERE frequency = 0),
+  {cs.purchases('e', 'once', cs.BG, '365.0e0')} SELECT cutoff, customer_id, {rnd('E', 9)} AS expected_purchases FROM e""")
+def r10r(f):
+    """The same branch for the customers who really had one order at a cutoff."""
+    once = splits(f).where(F.col("frequency") == 0)
+    return once.select("cutoff", "customer_id", round_half(scoring.expected_purchases(cs.BG, [365.0])[0], 9).alias("expected_purchases"))
+
+
 @query("r11_expected_order_value", f"WITH {cs.SCORES} SELECT customer_id, {rnd('aov', 4)} AS expected_avg_order_value FROM val")
 def r11(f):
     df = scoring.with_expected_order_value(full_rfm(f), cs.GG)
@@ -286,7 +364,10 @@ _METRICS = f"""fc AS ({' UNION ALL '.join(f"SELECT cutoff, '{n}' AS model, CAST(
   {rnd('m.rp', 6)} AS rmse_purchases, {rnd('m.mr', 2)} AS mae_revenue, {rnd('m.rr', 2)} AS rmse_revenue, {rnd('m.c', 7)} AS pearson_r,
   {rnd('m.ta', 3)} AS total_actual_purchases, {rnd('m.tp', 3)} AS total_predicted_purchases,
   {rnd('(m.tp - m.ta) / greatest(1.0e0, m.ta) * 100.0e0', 5)} AS purchases_error_pct,
-  {rnd('(m.tr - m.tar) / greatest(1.0e0, m.tar) * 100.0e0', 5)} AS revenue_error_pct,
+  {rnd('(m.tr - m.tar) / greatest(1.0e0, m.tar) * 100.0e0', 5)} AS revenue_error_pct, {rnd('m.tar', 1)} AS total_actual_revenue,
+  {rnd('m.tr', 1)} AS total_predicted_revenue,
+  CASE WHEN m.model <> 'BG/NBD' THEN {rnd('(1.0e0 - b.rp / greatest(1e-5, m.rp)) * 100.0e0', 4)} END AS rmse_purchases_gain_pct,
+  CASE WHEN m.model <> 'BG/NBD' THEN {rnd('(1.0e0 - b.mr / greatest(1e-5, m.mr)) * 100.0e0', 4)} END AS mae_revenue_gain_pct,
   CASE WHEN m.model <> 'BG/NBD' THEN {rnd('(1.0e0 - b.mp / greatest(1e-5, m.mp)) * 100.0e0', 4)} END AS mae_purchases_gain_pct,
   CASE WHEN m.model <> 'BG/NBD' THEN {rnd('(1.0e0 - b.rr / greatest(1e-5, m.rr)) * 100.0e0', 4)} END AS rmse_revenue_gain_pct
   FROM mt m JOIN mt b ON m.cutoff = b.cutoff AND b.model = 'BG/NBD'""")
@@ -294,7 +375,7 @@ def r19(f):
     m = validation.error_metrics(preds(f))
     digits = {"mae_purchases": 6, "rmse_purchases": 6, "mae_revenue": 2, "rmse_revenue": 2, "pearson_r": 7, "total_actual_purchases": 3,
               "total_predicted_purchases": 3, "purchases_error_pct": 5, "revenue_error_pct": 5, "mae_purchases_gain_pct": 4,
-              "rmse_revenue_gain_pct": 4}
+              "rmse_revenue_gain_pct": 4, "total_actual_revenue": 1, "total_predicted_revenue": 1, "rmse_purchases_gain_pct": 4, "mae_revenue_gain_pct": 4}
     return m.select("cutoff", "model", "customers", *[round_half(c, d).alias(c) for c, d in digits.items()])
 
 
@@ -483,7 +564,8 @@ def r31(f):
 @query("r31_customer_bounds")
 def r31b(f):
     """The same lookup with bootstrap bounds."""
-    return validation.customer_horizons(scoring.bootstrap_bounds(scores(f), bootstrap(f)[2]))
+    _, _, refits, failed = bootstrap(f)
+    return _with_counts(validation.customer_horizons(scoring.bootstrap_bounds(scores(f), refits)), refits, failed)
 
 
 # ------------------------------------------------------------------ checks and facts that need scores

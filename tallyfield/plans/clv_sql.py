@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from tallyfield.functions.special import unit_gauss_legendre
-from tallyfield.operators.scoring import PARETO_NODES, QUADRATURE_NODES, BetaGeometric, GammaGamma, ParetoNbd
+from tallyfield.operators.scoring import BetaGeometric, GammaGamma, ParetoNbd
 from tallyfield.plans.frames import CUTOFFS, HOLDOUT_END
 from tallyfield.plans.sqltext import LINES, holdout, rfm, rnd
 
@@ -19,9 +18,10 @@ def d(v: float) -> str:
     return f"{v!r}e0"
 
 
-def nodes(name: str, n: int) -> str:
-    u, w = unit_gauss_legendre(n)
-    return f"{name}(u, w) AS (VALUES " + ", ".join(f"({d(float(a))}, {d(float(b))})" for a, b in zip(u, w)) + ")"
+def nodes(name: str, steps: int = 48, h: float = 0.08) -> str:
+    """Double-exponential rule on (0, 1): u = 1 / (1 + exp(-pi sinh t)) at equal steps of t. The operators use Gauss-Legendre."""
+    return f"""{name}(u, w) AS (SELECT u, {d(h)} * pi() * cosh(t) * u * (1.0e0 - u) FROM (SELECT t, 1.0e0 / (1.0e0 + exp(-pi() * sinh(t))) AS u
+  FROM (SELECT k * {d(h)} AS t FROM range({-steps}, {steps + 1}) r(k))) WHERE u < 1.0e0)"""
 
 
 def alive(m: BetaGeometric) -> str:
@@ -65,7 +65,7 @@ def pareto(name: str, source: str, m: ParetoNbd, horizon: str) -> str:
 
 
 ORDER_VALUE = f"({d(GG.p)} * ({d(GG.v)} + frequency * monetary_value_repeat) / ({d(GG.p)} * frequency + {d(GG.q - 1)}))"
-NODES = nodes("gl", QUADRATURE_NODES)
+NODES = nodes("gl")
 
 HOLDOUTS = LINES + ", " + ", ".join(holdout(f"h{i}", c, HOLDOUT_END) for i, c in enumerate(CUTOFFS)) + """,
 hall AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS cutoff, * FROM h{i}" for i, c in enumerate(CUTOFFS)) + ")"
@@ -78,7 +78,7 @@ bl AS (SELECT hall.*, frequency / greatest(1.0e0, T) * holdout_duration_days AS
   FROM hall LEFT JOIN f0 ON hall.cutoff = f0.cutoff)"""
 
 _DAYS = "holdout_duration_days"
-PREDS = BASE + f""", {NODES}, {nodes('glp', PARETO_NODES)}, {purchases('b1', 'bl', BG, _DAYS)},
+PREDS = BASE + f""", {NODES}, {nodes('glp')}, {purchases('b1', 'bl', BG, _DAYS)},
 b2s AS (SELECT * EXCLUDE (z, rid, E), E AS e_bg FROM b1), {purchases('b2', 'b2s', MBG, _DAYS)},
 b3s AS (SELECT * EXCLUDE (z, rid, E), E AS e_mbg FROM b2), {pareto('b3', 'b3s', PARETO, _DAYS)},
 ro AS (SELECT *, {rnd('e_bg', 6)} AS predicted_purchases, {rnd(alive(BG), 9)} AS p_alive, {rnd('e_mbg', 6)} AS mbgnbd_predicted_purchases,
@@ -114,3 +114,50 @@ scores AS (SELECT v.customer_id, frequency, recency, T, monetary_value, monetary
   {rnd('e12')} AS expected_purchases_12m, {rnd('uv * d12')} AS clv_12m, {rnd('e24')} AS expected_purchases_24m, {rnd('uv * d24')} AS clv_24m
   FROM val v JOIN cum c ON v.customer_id = c.customer_id)"""
 RFM = _RFM
+
+
+# ------------------------------------------------------------------ log-likelihoods at pinned points
+
+GRID = {
+    "bgnbd": ((2.5, 400.0, 0.6, 6.0), (0.9, 150.0, 1.4, 3.0), (40.0, 9000.0, 0.05, 2.0)),
+    "mbgnbd": ((2.5, 400.0, 0.6, 6.0), (0.9, 150.0, 1.4, 3.0), (40.0, 9000.0, 0.05, 2.0)),
+    "pareto": ((2.5, 400.0, 0.7, 900.0), (0.9, 150.0, 1.4, 300.0), (40.0, 9000.0, 0.05, 2000.0)),
+    "gammagamma": ((6.0, 4.0, 15000.0), (1.5, 2.5, 60000.0), (20.0, 9.0, 30000.0)),
+}
+
+
+def _plus(u: str, v: str) -> str:
+    """log(e^u + e^v)."""
+    return f"(greatest({u}, {v}) + ln(exp({u} - greatest({u}, {v})) + exp({v} - greatest({u}, {v}))))"
+
+
+def likelihood(model: str) -> str:
+    """CTE ll(cutoff, point, v): the log-likelihood of every customer at every pinned point, from the published densities."""
+    names = {"gammagamma": "p, q, v"}.get(model, "r, alpha, s, beta" if model == "pareto" else "r, alpha, a, b")
+    points = ", ".join(f"({i}, {', '.join(d(x) for x in point)})" for i, point in enumerate(GRID[model]))
+    grid = f"pt(point, {names}) AS (VALUES {points})"
+    decay = "(r * ln(alpha) - (r + x) * ln(alpha + {t}))"
+    rows = "cu AS (SELECT cutoff, CAST(frequency AS DOUBLE) AS x, recency AS tx, T AS age, row_number() OVER () AS rid FROM hall)"
+    if model == "gammagamma":
+        return f"""{grid}, cu AS (SELECT cutoff, CAST(frequency AS DOUBLE) AS x, monetary_value_repeat AS m FROM hall WHERE frequency > 0 AND monetary_value_repeat > 0),
+ll AS (SELECT cutoff, point, lgamma(p * x + q) - lgamma(p * x) - lgamma(q) + q * ln(v) + (p * x - 1.0e0) * ln(m) + p * x * ln(x) - (p * x + q) * ln(x * m + v) AS v FROM cu, pt)"""
+    if model == "pareto":
+        return f"""{grid}, {rows}, {nodes('de', 60, 0.06)},
+gone AS (SELECT rid, point, sum(w * span * exp(ln(s) + r * ln(alpha) + s * ln(beta) + (1.0e0 - r - x) * ly - (s + 1.0e0) * ln(beta - alpha + exp(ly)))) AS g
+  FROM (SELECT rid, point, x, r, alpha, s, beta, w, ln((alpha + age) / (alpha + tx)) AS span, ln(alpha + tx) + ln((alpha + age) / (alpha + tx)) * u AS ly FROM cu, pt, de)
+  GROUP BY rid, point),
+ll AS (SELECT cutoff, point, lgamma(r + x) - lgamma(r) + ln(exp({decay.format(t='age')} + s * ln(beta / (beta + age))) + g) AS v
+  FROM cu JOIN gone USING (rid) JOIN pt USING (point))"""
+    if model == "mbgnbd":
+        alive = f"({decay.format(t='age')} + ln(b + x))"
+        gone = f"({decay.format(t='tx')} + ln(a))"
+        rest = "lgamma(b + x) - lgamma(b) - lgamma(a + b + x + 1.0e0) + lgamma(a + b)"
+        value = _plus("la", "lg")
+    else:
+        alive = decay.format(t="age")
+        gone = f"({decay.format(t='tx')} + ln(a) - ln(b + x - 1.0e0))"
+        rest = "lgamma(b + x) - lgamma(b) - lgamma(a + b + x) + lgamma(a + b)"
+        value = f"CASE WHEN x > 0 THEN {_plus('la', 'lg')} ELSE la END"
+    return f"""{grid}, {rows}, lp AS (SELECT cutoff, point, x, {alive} AS la, CASE WHEN x > 0 OR {str(model == 'mbgnbd').upper()} THEN {gone} END AS lg,
+  lgamma(r + x) - lgamma(r) + {rest} AS rest FROM cu, pt),
+ll AS (SELECT cutoff, point, rest + {value} AS v FROM lp)"""

@@ -1,3 +1,4 @@
+import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
@@ -235,7 +236,7 @@ def test_replications_equal_the_plain_estimator(spark, lines):
         rows = [(int(c["customer_id"][k]), first + pd.Timedelta(days=7 * j), int(t[k]), int(j >= weeks - post), int(c["spend_quintile"][k]),
                  *map(float, y[:, k, j])) for k in range(len(c)) for j in range((c["first_week"][k] - first).days // 7, weeks)]
         p = spark.createDataFrame(rows, "customer_id bigint, week_date date, is_treated int, is_post_period int, spend_quintile int, a double, b double, d double")
-        plain = did.twfe(did.by_cohort(p), [("weekly_orders", "a"), ("weekly_spend_winsor", "b"), ("active_last_90d", "d")], ["cohort"], dof="cr1")
+        plain = did.twfe_by_cohort(p, [("weekly_orders", "a"), ("weekly_spend_winsor", "b"), ("active_last_90d", "d")], "cr1")
         want = {(r["cohort"], r["outcome"]): r for r in plain.collect()}
         mine = reps[reps["scenario"] == run.scenario]
         for key, label, members in panel.COHORTS:
@@ -248,3 +249,42 @@ def test_replications_equal_the_plain_estimator(spark, lines):
                 assert got["true_att"] == pytest.approx(e[o, q].mean(), abs=1e-9)
     summary = power.replication_summary(spark.createDataFrame(reps)).toPandas()
     assert (summary["Replications"] == 1).all() and np.allclose(summary["RMSE"], summary["Mean_Bias"].abs())
+
+
+def _long_panel(spark, groups, weeks, customers):
+    rows = spark.range(groups * weeks * customers, numPartitions=8).select(
+        (F.col("id") % customers).alias("c"), (F.floor(F.col("id") / customers) % weeks).cast("int").alias("w"), F.floor(F.col("id") / (customers * weeks)).alias("g"))
+    hit = (F.col("c") < customers / 3) & (F.col("w") >= weeks // 2)
+    return rows.select("g", F.concat_ws("-", "g", "c").alias("customer_id"), F.date_add(F.lit("1900-01-01").cast("date"), F.col("w") * 7).alias("week_date"),
+                       (F.col("c") < customers / 3).cast("int").alias("is_treated"), (F.col("w") >= weeks // 2).cast("int").alias("is_post_period"),
+                       (F.sin(F.col("w") / 50) * 3 + F.col("c") + F.when(hit, 2.5 + F.col("g")).otherwise(0.0)).alias("y"))
+
+
+def test_more_weeks_than_any_calendar(spark):
+    row = did.twfe(_long_panel(spark, 1, 5300, 6), [("y", "y")], ["g"]).first()
+    assert row["estimated_att"] == pytest.approx(2.5, abs=1e-8) and row["n_obs"] == 6 * 5300
+
+
+def test_more_than_two_million_group_weeks(spark):
+    est = did.twfe(_long_panel(spark, 21_000, 100, 2), [("y", "y")], ["g"])
+    row = est.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("estimated_att") - F.col("g") - 2.5)).alias("worst"), F.sum("n_obs").alias("rows")).first()
+    assert row["n"] == 21_000 and row["worst"] < 1e-6 and row["rows"] == 4_200_000
+
+
+def test_pools_are_sums_of_their_groups(spark):
+    """Overlapping pools in one pass equal the estimates of the panels they stand for, with gaps, unequal spans and weeks apart from one another."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for c in range(60):
+        lo, hi = sorted(rng.choice(30, 2, replace=False))
+        for w in range(lo, hi + 1):
+            if rng.random() < 0.8:
+                rows.append((c % 3, c, dt.date(2020, 1, 6) + dt.timedelta(weeks=int(w)), int(c % 2), int(w >= 15), float(rng.normal() + c + w * 0.1)))
+    panel = spark.createDataFrame(rows, "g int, customer_id int, week_date date, is_treated int, is_post_period int, y double")
+    pools = {"all": (0, 1, 2), "first": (0,), "rest": (1, 2)}
+    got = {r["cohort"]: r for r in did.twfe(panel, [("y", "y")], ["g"], pools=pools).collect()}
+    assert set(got) == set(pools)
+    for name, members in pools.items():
+        one = did.twfe(panel.where(F.col("g").isin(*members)), [("y", "y")]).first()
+        for c in ("estimated_att", "std_err", "p_value", "n_obs", "n_customers"):
+            assert got[name][c] == pytest.approx(one[c], rel=1e-9)

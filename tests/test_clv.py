@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tallyfield.functions import special
 from tallyfield.functions.special import lbeta, unit_gauss_legendre
 from tallyfield.operators import fitting, quality, rfm, scoring, validation
 
@@ -31,7 +32,7 @@ def test_series_matches_numeric_integral(x, modified):
 
 @pytest.mark.parametrize("age", [10.0, 30.0, 90.0, 180.0, 365.0])
 def test_one_time_quadrature_matches_series(age):
-    quad = scoring._purchases_quadrature(BG, np.array([age]), np.array([90.0]))[0]
+    quad = scoring._purchases_once(BG, np.array([age]), np.array([90.0]))[0]
     series = scoring._purchases_given_alive(BG, np.array([[0.0]]), np.array([[age]]), np.array([[90.0]]))[0, 0]
     assert quad == pytest.approx(series, abs=1e-5) and quad > 0
     at_one = scoring.BetaGeometric(0.5, 8.0, 1.0, 2.5)
@@ -97,13 +98,75 @@ def test_bgnbd_fit_recovers_parameters_and_is_a_maximum(rfm_frame, simulated):
     scale = simulated["T"].max()
     d = {"x": simulated["frequency"].to_numpy(float), "tx": simulated["recency"].to_numpy() / scale, "age": simulated["T"].to_numpy() / scale}
     best = np.array([model.r, model.alpha / scale, model.a, model.b])
-    top = fitting._ll_bg(best, d).mean()
+    top = fitting._jet_bg(best, d).value.mean()
     assert top == pytest.approx(f.log_likelihood, abs=1e-9)
     for k in range(4):
         for step in (0.99, 1.01):
             moved = best.copy()
             moved[k] *= step
-            assert fitting._ll_bg(moved, d).mean() <= top + 1e-9
+            assert fitting._jet_bg(moved, d).value.mean() <= top + 1e-9
+
+
+THETAS = {"bgnbd": (1.1, 0.7, 0.9, 2.5), "mbgnbd": (90.0, 60.0, 0.02, 3.0), "pareto": (0.8, 0.5, 0.6, 1.7), "gammagamma": (6.0, 4.0, 15.0)}
+
+
+@pytest.mark.parametrize("model", list(THETAS))
+def test_derivatives_match_differences(simulated, model):
+    d = {"x": simulated["frequency"].to_numpy(float), "tx": simulated["recency"].to_numpy() / 700, "age": simulated["T"].to_numpy() / 700,
+         "m": np.maximum(simulated["monetary_value_repeat"].to_numpy(), 1.0)}
+    keep = d["x"] > 0 if model == "gammagamma" else d["x"] >= 0
+    d = {c: v[keep][:400] for c, v in d.items()}
+    kernel, theta = fitting.SPECS[model].kernel, np.array(THETAS[model])
+    jet, h = kernel(theta, d), 1e-4
+    for i in range(theta.size):
+        e = np.zeros(theta.size)
+        e[i] = h * theta[i]
+        up, down = kernel(theta + e, d), kernel(theta - e, d)
+        # in the logarithms of the parameters
+        assert np.allclose((up.value - down.value) / (2 * h), theta[i] * jet.g[i], rtol=1e-6, atol=1e-7)
+        assert np.allclose(theta[:, None] * (up.g - down.g) / (2 * h), theta[i] * theta[:, None] * jet.h[i], rtol=1e-6, atol=1e-6)
+        assert np.allclose(jet.h[i], jet.h[:, i])
+
+
+def test_pareto_likelihood_is_the_integral_over_the_dropout_time(simulated):
+    r, alpha, s, beta = THETAS["pareto"]
+    x, tx, age = 3.0, 0.4, 0.9
+    y, w = special.unit_gauss_legendre(400)
+    y = tx + (age - tx) * y
+    inside = (age - tx) * np.sum(w * s * (alpha + y) ** -(r + x) * (beta + y) ** -(s + 1))
+    want = math.lgamma(r + x) - math.lgamma(r) + r * math.log(alpha) + s * math.log(beta) + math.log((alpha + age) ** -(r + x) * (beta + age) ** -s + inside)
+    d = {"x": np.array([x]), "tx": np.array([tx]), "age": np.array([age])}
+    assert fitting._jet_pareto((r, alpha, s, beta), d).value[0] == pytest.approx(want, abs=1e-11)
+
+
+def test_digamma_and_trigamma():
+    z = np.array([1e-3, 0.4, 1.0, 3.7, 80.0, 1e4])
+    h = 1e-5 * z
+    assert np.allclose(special.digamma(z), [(math.lgamma(v + e) - math.lgamma(v - e)) / (2 * e) for v, e in zip(z, h)], rtol=1e-6)
+    assert np.allclose(special.trigamma(z), (special.digamma(z + h) - special.digamma(z - h)) / (2 * h), rtol=1e-6)
+    assert special.digamma(1.0) == pytest.approx(-0.5772156649015329, abs=1e-13) and special.trigamma(1.0) == pytest.approx(math.pi ** 2 / 6, abs=1e-12)
+    one, two = special.rising_derivatives(np.array([63.9, 64.1, 1e9]), np.array([3.0, 3.0, 2.0]))
+    assert one[:2] == pytest.approx([sum(1 / (v + j) for j in range(3)) for v in (63.9, 64.1)], abs=1e-13) and one[2] == pytest.approx(2e-9, rel=1e-8)
+    assert two[:2] == pytest.approx([-sum((v + j) ** -2 for j in range(3)) for v in (63.9, 64.1)], abs=1e-13) and two[2] == pytest.approx(-2e-18, rel=1e-6)
+
+
+def test_fits_carry_a_certificate(rfm_frame):
+    for f in (fitting.fit_bg(rfm_frame)[1], fitting.fit_mbg(rfm_frame)[1], fitting.fit_pareto(rfm_frame)[1], fitting.fit_gamma_gamma(rfm_frame)[1]):
+        assert f.converged and f.score < 1e-4 and f.gain < 1e-7 and f.curvature > 0 and f.iterations < 40
+
+
+def test_resamples_are_maxima_of_their_own(rfm_frame):
+    weights = [F.lit(1), *fitting.bootstrap_weights(3, 9)]
+    warm = fitting.fit(fitting.purchase_tuples(rfm_frame, weights), "bgnbd", 4, warm=True)
+    cold = fitting.fit(fitting.purchase_tuples(rfm_frame, weights), "bgnbd", 4)
+    for a, b in zip(warm, cold):
+        assert a.converged and a.log_likelihood == pytest.approx(b.log_likelihood, abs=1e-9)
+    assert max(f.iterations for f in warm[1:]) <= min(f.iterations for f in cold)
+
+
+def test_unfinished_fits_are_refused():
+    with pytest.raises(ArithmeticError):
+        fitting._settled(fitting.Fit({}, 0.0, 10.0, 5, False))
 
 
 def test_other_models_fit_and_penalties_shrink(rfm_frame):
