@@ -11,11 +11,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tallyfield.functions.durable import durable, stored
+from tallyfield.functions.durable import stored
 
-_PART = "__part"
+_PART, _AT = "__part", "__at"
 _ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row index in the low 33 bits
 
 
@@ -27,33 +29,44 @@ def _partition_starts(rows, n: int) -> Column:
     return F.split(F.lit(",".join(str(int(s)) for s in starts)), ",").cast("array<bigint>")
 
 
+def _running(weight: str):
+    """Adds the exclusive running total of ``weight`` within a partition."""
+    def run(batches):
+        before = 0
+        for batch in batches:
+            sums = before + np.cumsum(batch.column(weight).to_numpy(zero_copy_only=False).astype(np.int64))
+            yield batch.append_column(_AT, pa.array(np.r_[before, sums[:-1]] if sums.size else sums, pa.int64()))
+            before = int(sums[-1]) if sums.size else before
+    return run
+
+
+def _laid_out(df: DataFrame, order_by: Sequence[str], weight: str | None = None) -> tuple[DataFrame, Column]:
+    """The rows with their partition and position (or running total) in it, stored, and the start of each row's partition."""
+    cut = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    if weight is None:
+        cut = cut.withColumn(_AT, F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)))
+    else:
+        cut = cut.mapInArrow(_running(weight), T.StructType([*cut.schema.fields, T.StructField(_AT, T.LongType())]))
+    kept = stored(cut.withColumn(_PART, F.spark_partition_id()), "ordered")
+    size = F.lit(1) if weight is None else F.col(weight)
+    totals = kept.groupBy(_PART).agg(F.max(F.col(_AT) + size).alias("__total")).collect()
+    n = max((r[_PART] for r in totals), default=-1) + 1
+    return kept, F.get(_partition_starts(totals, max(n, 1)), F.col(_PART))
+
+
 def with_row_number(df: DataFrame, order_by: Sequence[str], out: str = "row_number") -> DataFrame:
     """1-based position in the total order of ``order_by`` (which must identify rows).
 
     One range shuffle; hot leading values are split because the whole key takes part in the cut.
     """
-    cut = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    kept = durable(cut.withColumn(_PART, F.spark_partition_id()))
-    totals = kept.groupBy(_PART).agg(F.count(F.lit(1)).alias("__total")).collect()
-    n = max((r[_PART] for r in totals), default=-1) + 1
-    starts = _partition_starts(totals, max(n, 1))
-    index = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS))
-    return (kept
-            .withColumn(out, F.get(starts, F.col(_PART)) + index + F.lit(1))
-            .drop(_PART))
+    kept, start = _laid_out(df, order_by)
+    return kept.withColumn(out, start + F.col(_AT) + F.lit(1)).drop(_PART, _AT)
 
 
 def with_prefix_sum(df: DataFrame, order_by: Sequence[str], weight: str, out: str = "below") -> DataFrame:
-    """Exclusive running total of an integer ``weight`` in the total order of ``order_by``."""
-    cut = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    kept = durable(cut.withColumn(_PART, F.spark_partition_id()))
-    totals = kept.groupBy(_PART).agg(F.sum(weight).alias("__total")).collect()
-    n = max((r[_PART] for r in totals), default=-1) + 1
-    starts = _partition_starts(totals, max(n, 1))
-    w = Window.partitionBy(_PART).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (kept
-            .withColumn(out, F.get(starts, F.col(_PART)) + F.sum(weight).over(w) - F.col(weight))
-            .drop(_PART))
+    """Exclusive running total of a positive integer ``weight`` in the total order of ``order_by``. One range shuffle."""
+    kept, start = _laid_out(df, order_by, weight)
+    return kept.withColumn(out, start + F.col(_AT)).drop(_PART, _AT)
 
 
 def group_row_number(df: DataFrame, groups: Sequence[str], order_by: Sequence[str],

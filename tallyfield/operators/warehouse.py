@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyfield.functions.numeric import any_of, money_sum, ratio, round_half, week_of
-from tallyfield.functions.ordering import with_prefix_sum
+from tallyfield.functions.ordering import with_row_number
 
 MONEY = 2
 
@@ -48,24 +48,18 @@ def stg_customers(stg: DataFrame) -> DataFrame:
         F.max("hi").alias("last_order_date"))
 
 
-def int_orders(stg: DataFrame, copies_per_task: int = 1_000_000) -> DataFrame:
+def int_orders(stg: DataFrame) -> DataFrame:
     """Lines with a dense surrogate key in (date, customer, stock code) order.
 
-    Ties are broken by the remaining columns. Identical lines are counted map-side, numbered as one
-    row and expanded again in slices, so neither a hot day nor a hot group of copies lands in one task.
+    Ties are broken by the remaining columns, and copies of a line by a salt, so that one range shuffle places every row and neither a
+    hot day nor a hot group of copies lands in one task.
     """
     cols = ["invoice_date", "customer_id", "stock_code",
             *[c for c in stg.columns if c not in ("invoice_date", "customer_id", "stock_code")]]
-    distinct = stg.groupBy(*cols).agg(F.count(F.lit(1)).alias("__copies"))
-    placed = with_prefix_sum(distinct, cols, "__copies", out="__below")
-    slices = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__copies") - 1) / F.lit(copies_per_task)))
-    cut = placed.withColumn("__slice", F.explode(slices))
-    lo = F.col("__slice") * F.lit(copies_per_task)
-    hi = F.least(lo + F.lit(copies_per_task), F.col("__copies")) - F.lit(1)
-    numbered = cut.withColumn("__k", F.explode(F.sequence(lo, hi)))
+    salted = stg.withColumn("__salt", F.monotonically_increasing_id())
+    numbered = with_row_number(salted, [*cols, "__salt"], out="transaction_id")
     return numbered.select(
-        (F.col("__below") + F.col("__k") + F.lit(1)).alias("transaction_id"),
-        "invoice_no", "stock_code", "description", "customer_id", "invoice_date", "quantity", "unit_price",
+        "transaction_id", "invoice_no", "stock_code", "description", "customer_id", "invoice_date", "quantity", "unit_price",
         "line_total", "country", "is_cancelled", "is_return",
         F.when(~F.col("is_return"), F.col("line_total")).otherwise(F.lit(0.0)).alias("gross_line_total"),
         F.when(F.col("is_return"), F.abs("line_total")).otherwise(F.lit(0.0)).alias("return_line_total"))

@@ -38,6 +38,19 @@ def srnd(x: str, key: str = "outcome") -> str:
     return f"CASE WHEN contains({key}, 'spend') THEN {rnd(x, 3)} ELSE {rnd(x, 7)} END"
 
 
+def normal_p(z: str) -> str:
+    """Two-sided normal p-value by Simpson's rule over the density."""
+    t = f"least(abs({z}), 40.0e0)"
+    return (f"(SELECT greatest(0.0e0, 1.0e0 - {t} / 6000.0e0 * sum(CASE WHEN i IN (0, 2000) THEN 1 ELSE 2 + 2 * (i % 2) END * exp(-pow({t} * i / 2000.0e0, 2) / 2.0e0)"
+            f" * sqrt(2.0e0 / pi()))) FROM range(0, 2001) g(i))")
+
+
+def chi2_p(x: str, df: str) -> str:
+    """Upper tail of chi-square by the power series of the incomplete gamma function."""
+    return (f"CASE WHEN {x} > 1000 THEN 0.0e0 ELSE (SELECT greatest(0.0e0, 1.0e0 - sum(exp((({df}) / 2.0e0 + n) * ln(greatest({x}, 1e-300) / 2.0e0) - {x} / 2.0e0"
+            f" - lgamma(({df}) / 2.0e0 + n + 1.0e0)))) FROM range(0, 2000) g(n)) END")
+
+
 def twfe_sql(rows: str, outcomes, dof: str = "absorbed") -> str:
     """Alternating projection on week vectors (panels run from a first week to a common last one).
 
@@ -82,9 +95,10 @@ _COHORT_SRC = """src AS (SELECT c.g, customer_id, week_date, CAST(is_treated * i
   observed_weekly_spend_winsor, observed_active_last_90d FROM panel JOIN (VALUES ('overall', 1, 5), ('q1_to_q4_pooled', 1, 4), ('q5', 5, 5)) c(g, lo, hi)
   ON spend_quintile BETWEEN lo AND hi)"""
 _EST = f"""n_obs, n_customers, {srnd('estimated_att')} AS estimated_att, {srnd('std_err')} AS std_err,
-  {srnd('estimated_att - 1.95996e0 * std_err')} AS ci_lower, {srnd('estimated_att + 1.95996e0 * std_err')} AS ci_upper, degenerate"""
+  {srnd('estimated_att - 1.95996e0 * std_err')} AS ci_lower, {srnd('estimated_att + 1.95996e0 * std_err')} AS ci_upper,
+  {rnd('estimated_att / nullif(std_err, 0.0e0)', 4)} AS t_stat, CASE WHEN std_err > 0 THEN {rnd(normal_p('estimated_att / std_err'), 6)} END AS p_value, degenerate"""
 _VALUES = ("estimated_att", "std_err", "ci_lower", "ci_upper")
-_KEEP = ("outcome", "n_obs", "n_customers", "estimated_att", "std_err", "ci_lower", "ci_upper", "degenerate")
+_KEEP = ("outcome", "n_obs", "n_customers", "estimated_att", "std_err", "ci_lower", "ci_upper", "t_stat", "p_value", "degenerate")
 
 
 def _rec(cte: str) -> str:
@@ -92,7 +106,7 @@ def _rec(cte: str) -> str:
 
 
 def _estimates(df, *keys):
-    return scaled(df, _VALUES).select(*keys, *_KEEP)
+    return scaled(df, _VALUES).withColumns({"t_stat": round_half("t_stat", 4), "p_value": round_half("p_value", 6)}).select(*keys, *_KEEP)
 
 
 @query("e1_twfe_did", _rec(ps.panel()) + ", " + twfe_sql(_COHORT_SRC, ESTIMATES) + f" SELECT g AS cohort, outcome, {_EST} FROM est")
@@ -118,14 +132,14 @@ def e3(f):
 
 
 _ARMS = """src AS (SELECT is_treated AS g, customer_id, week_date, CAST(is_treated * is_post_period AS DOUBLE) AS d,
-  observed_weekly_orders FROM panel)"""
+  observed_weekly_orders, observed_weekly_spend_winsor, observed_active_last_90d FROM panel)"""
 
 
-@query("e4_degenerate_arms", _rec(ps.panel()) + ", " + twfe_sql(_ARMS, ESTIMATES[:1]) + f" SELECT g AS is_treated, outcome, {_EST} FROM est")
+@query("e4_degenerate_arms", _rec(ps.panel()) + ", " + twfe_sql(_ARMS, ESTIMATES) + f" SELECT g AS is_treated, outcome, {_EST} FROM est")
 def e4(f):
     """Inside one arm the treatment is absorbed by the week effects, so nothing can be estimated."""
     p = policy_panel(f).withColumn("arm", F.col("is_treated"))
-    return _estimates(did.twfe(p, ESTIMATES[:1], ["arm"]), "arm").withColumnRenamed("arm", "is_treated")
+    return _estimates(did.twfe(p, ESTIMATES, ["arm"]), "arm").withColumnRenamed("arm", "is_treated")
 
 
 @query("e5_many_outcomes_cr1", _rec(ps.panel()) + ", " + twfe_sql(_COHORT_SRC, ESTIMATES, "cr1") + f" SELECT g AS cohort, outcome, {_EST} FROM est")
@@ -167,13 +181,15 @@ _SUMMARY = f""", cen AS (SELECT sum(diff / v) / sum(1.0e0 / v) AS c FROM dif WHE
   chi AS (SELECT count(*) AS npre, sum((diff - c) * (diff - c) / v) AS x FROM dif, cen WHERE rel_week < 0),
   po AS (SELECT count(*) AS m, avg(diff) AS pg, sum(v) AS sv FROM dif WHERE rel_week >= 0)
   SELECT npre AS n_pre, m AS n_post, {rnd('x', 5)} AS joint_test_stat, npre - 1 AS joint_test_df, {rnd('pg - base', 4)} AS mean_post_att,
-  {rnd('sqrt(sv / (m * m) + vb)', 4)} AS mean_post_se FROM chi, po, bs"""
+  {rnd('sqrt(sv / (m * m) + vb)', 4)} AS mean_post_se, {rnd(chi2_p('x', 'npre - 1'), 7)} AS joint_test_pval, {chi2_p('x', 'npre - 1')} >= 0.05e0 AS parallel_trends_pass
+  FROM chi, po, bs"""
 
 
 def _summary(df):
     return df.select("n_pre", "n_post", round_half("joint_test_stat", 5).alias("joint_test_stat"),
                      F.col("joint_test_df").cast("bigint").alias("joint_test_df"),
-                     round_half("mean_post_att", 4).alias("mean_post_att"), round_half("mean_post_se", 4).alias("mean_post_se"))
+                     round_half("mean_post_att", 4).alias("mean_post_att"), round_half("mean_post_se", 4).alias("mean_post_se"),
+                     round_half("joint_test_pval", 7).alias("joint_test_pval"), "parallel_trends_pass")
 
 
 @query("e8_pretrend_test", f"WITH {cells_sql()}{_SUMMARY}")
@@ -186,9 +202,12 @@ def e8c(f):
     return _summary(event_study.event_summary(cells(f, "confounded")))
 
 
-@query("e9_mean_post_effect")
+@query("e9_mean_post_effect", f"""WITH {cells_sql(scenario='hidden_degradation')}, po AS (SELECT count(*) AS m, avg(diff) AS pg, sum(v) AS sv FROM dif WHERE rel_week >= 0)
+  SELECT m AS n_post, {rnd('pg - base', 5)} AS mean_post_att, {rnd('sqrt(sv / (m * m) + vb)', 5)} AS mean_post_se FROM po, bs""")
 def e9(f):
-    return event_study.event_summary(cells(f))
+    """Mean effect after the policy with its delta-method error, under hidden degradation."""
+    found = event_study.event_summary(event_study.cells(policy_panel(f, "hidden_degradation"), T0, _OUTCOME))
+    return rounded(found.select("n_post", "mean_post_att", "mean_post_se"), 5)
 
 
 _PLACEBO = f"""pp AS (SELECT * FROM panel WHERE week_date < DATE '{T0}'),
@@ -198,10 +217,12 @@ _PLACEBO = f"""pp AS (SELECT * FROM panel WHERE week_date < DATE '{T0}'),
 
 
 @query("e14_placebo_date", _rec(ps.panel()) + ", " + twfe_sql(_PLACEBO, [(_OUTCOME, _OUTCOME)]) + f""" SELECT outcome,
-  {rnd('estimated_att', 3)} AS placebo_att, {rnd('std_err', 3)} AS std_err FROM est""")
+  {rnd('estimated_att', 3)} AS placebo_att, {rnd('std_err', 3)} AS std_err, {rnd(normal_p('estimated_att / std_err'), 6)} AS p_value,
+  {normal_p('estimated_att / std_err')} > 0.05e0 OR abs(estimated_att) < 0.5e0 AS test_passed FROM est""")
 def e14(f):
     est = did.placebo_date(policy_panel(f), T0, _OUTCOME)
-    return rounded(est.select("outcome", "placebo_att", "std_err"), 3)
+    return est.select("outcome", round_half("placebo_att", 3).alias("placebo_att"), round_half("std_err", 3).alias("std_err"),
+                      round_half("p_value", 6).alias("p_value"), "test_passed")
 
 
 _DECILE = f"""ds AS (SELECT customer_id, round(sum(observed_weekly_spend), 4) AS s FROM panel WHERE is_post_period = 0 GROUP BY customer_id),
@@ -216,7 +237,11 @@ _DECILE = f"""ds AS (SELECT customer_id, round(sum(observed_weekly_spend), 4) AS
     avg(CASE WHEN is_treated = 1 AND is_post_period = 1 THEN realized_effect_spend_winsor END) AS ta FROM panel p JOIN dd ON p.customer_id = dd.customer_id GROUP BY g)
   SELECT tr.g AS decile, cc AS customer_count, tc AS treated_count, {rnd('coalesce(ta, 0.0e0)', 3)} AS true_att,
   CASE WHEN tc >= 10 AND tc < cc THEN {rnd('estimated_att', 3)} END AS estimated_did_att,
-  CASE WHEN tc >= 10 AND tc < cc THEN {rnd('std_err', 3)} END AS std_err, NOT (tc >= 10 AND tc < cc AND NOT degenerate) AS degenerate
+  CASE WHEN tc >= 10 AND tc < cc THEN {rnd('std_err', 3)} END AS std_err,
+  CASE WHEN tc >= 10 AND tc < cc THEN {rnd(normal_p('estimated_att / std_err'), 6)} END AS p_value,
+  CASE WHEN tc >= 10 AND tc < cc THEN {rnd(f"least(1.0e0, 10.0e0 * {normal_p('estimated_att / std_err')})", 5)} END AS p_value_bonferroni, NOT (tc >= 10 AND tc < cc AND NOT degenerate) AS degenerate
   FROM tr JOIN est ON tr.g = est.g""")
 def e17(f):
-    return rounded(did.heterogeneity(policy_panel(f)).drop("p_value", "p_value_bonferroni"), 3)
+    h = did.heterogeneity(policy_panel(f))
+    digits = {"true_att": 3, "estimated_did_att": 3, "std_err": 3, "p_value": 6, "p_value_bonferroni": 5}
+    return h.select(*[round_half(c, digits[c]).alias(c) if c in digits else F.col(c) for c in h.columns])

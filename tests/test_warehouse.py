@@ -24,7 +24,7 @@ def test_staging_drops_and_flags(stg):
 
 
 def test_surrogate_key_is_dense_and_ordered(stg):
-    got = warehouse.int_orders(stg, copies_per_task=1).orderBy("transaction_id").collect()
+    got = warehouse.int_orders(stg).orderBy("transaction_id").collect()
     assert [r["transaction_id"] for r in got] == list(range(1, stg.count() + 1))
     keys = [(r["invoice_date"], r["customer_id"], r["stock_code"]) for r in got]
     assert keys == sorted(keys)
