@@ -13,15 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tallyfield.config import DEFAULTS, Settings
 from tallyfield.functions.durable import stored
+from tallyfield.functions.selection import rows_at_ranks
 from tallyfield.operators.did import finish_estimates
 from tallyfield.operators.panel import COHORTS, OUTCOMES, last_week, monday_on_or_after, winsor_limit
 
 HASH_BITS = 52
-BUCKET_BITS = 12
 BLOCK = 4096  # customers handled at once inside a task
 # fixed values: scenarios as (name, cumulative churn, seed offset) and the seed step per replication
 SCENARIOS = (("baseline", 0.20, 0), ("hidden_degradation", 0.40, 1000))
@@ -50,23 +50,14 @@ def _assignment_hash(seed):
 def assignment_cuts(customers: DataFrame, runs: Sequence[Run], settings: Settings = DEFAULTS) -> dict[tuple[int, int], tuple[int, int]]:
     """(run, quintile) -> (hash, id) of the last treated customer, so that exactly round(n * share) are treated.
 
-    A histogram of the hash's leading bits locates the bucket that holds the cut; only that bucket
-    (about 1/4096 of the customers) is sorted. The result has one row per run and quintile.
+    The customer at that rank of the hash order is found by radix selection. The result has one row per run and quintile.
     """
     seeds = F.array(*[F.struct(F.lit(i).alias("run"), F.lit(r.seed).alias("seed")) for i, r in enumerate(runs)])
     drawn = (customers.select("customer_id", "spend_quintile", F.explode(seeds).alias("s"))
-             .select("customer_id", "spend_quintile", F.col("s.run").alias("run"), _assignment_hash(F.col("s.seed")).alias("h"))
-             .withColumn("bucket", F.shiftright("h", HASH_BITS - BUCKET_BITS)))
-    counts = drawn.groupBy("run", "spend_quintile", "bucket").agg(F.count(F.lit(1)).alias("c"))
-    group = Window.partitionBy("run", "spend_quintile")  # at most 4096 buckets each
-    placed = (counts.withColumn("quota", F.rint(F.sum("c").over(group) * F.lit(settings.treatment_share)))
-              .withColumn("upto", F.sum("c").over(group.orderBy("bucket"))))
-    cut = (placed.where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("c") < F.col("quota")))
-           .select("run", "spend_quintile", "bucket", (F.col("quota") - (F.col("upto") - F.col("c"))).alias("need")))
-    inside = drawn.join(cut, ["run", "spend_quintile", "bucket"])
-    order = Window.partitionBy("run", "spend_quintile").orderBy("h", "customer_id")
-    rows = (inside.withColumn("rn", F.row_number().over(order)).where(F.col("rn") == F.col("need"))
-            .select("run", "spend_quintile", "h", "customer_id").collect())
+             .select("customer_id", "spend_quintile", F.col("s.run").alias("run"), _assignment_hash(F.col("s.seed")).alias("h")))
+    quotas = customers.groupBy("spend_quintile").agg(F.rint(F.count(F.lit(1)) * F.lit(settings.treatment_share)).cast("bigint").alias("rank")).where("rank > 0")
+    wanted = quotas.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(len(runs) - 1))))
+    rows = rows_at_ranks(drawn, ["run", "spend_quintile"], "h", HASH_BITS, ["customer_id"], wanted).collect()
     return {(r["run"], r["spend_quintile"]): (r["h"], r["customer_id"]) for r in rows}
 
 

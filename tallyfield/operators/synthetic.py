@@ -63,25 +63,45 @@ def _solve_kkt(kkt: np.ndarray, rhs: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(kkt, rhs, rcond=None)[0]  # more active donors than weeks, or equal donors
 
 
-def simplex_weights(y: np.ndarray, donors: np.ndarray) -> np.ndarray:
-    """Least squares over w >= 0, sum(w) = 1, by an active-set search that ends at the exact optimum."""
+def kkt_residual(gram: np.ndarray, cross: np.ndarray, w: np.ndarray) -> float:
+    """How far w is from the optimum over w >= 0, sum(w) = 1: at the optimum all donors in use have one slope and no other a smaller one."""
+    if not w.size:
+        return 0.0
+    grad = gram @ w - cross
+    level = float(grad @ w)
+    used = w > 0
+    worst = max(float(np.abs(grad[used] - level).max(initial=0.0)), float((level - grad).max(initial=0.0)))
+    return max(worst / max(1.0, float(np.abs(gram).max())), abs(float(w.sum()) - 1.0), float(-w.min()))
+
+
+def simplex_weights(y: np.ndarray, donors: np.ndarray) -> tuple[np.ndarray, float, int]:
+    """Least squares over w >= 0, sum(w) = 1: (weights, KKT residual, rounds).
+
+    An active-set search: each round lets in the donor with the steepest slope and solves on the donors in use, leaving out those that
+    would turn negative. The loss falls in every round, so no set of donors comes twice and the search ends by itself at the optimum; the residual says
+    how exactly.
+    """
     j = donors.shape[1]
     if j == 0:
-        return np.zeros(0)
+        return np.zeros(0), 0.0, 0
     gram, cross = donors.T @ donors, donors.T @ y
     unit = float(np.mean(np.diag(gram))) or 1.0  # keeps the sum constraint on the scale of the rest
     gram, cross = gram / unit, cross / unit
+
+    def loss(w: np.ndarray) -> float:
+        return float(0.5 * w @ gram @ w - cross @ w)
     w = np.zeros(j)
     w[int(np.argmin(np.diag(gram) - 2.0 * cross))] = 1.0
-    slack = 1e-10 * max(1.0, float(np.abs(gram).max()))
-    for _ in range(20 * j + 20):
+    slack = 1e-12 * max(1.0, float(np.abs(gram).max()))
+    rounds, barred = 0, np.zeros(j, dtype=bool)
+    while True:
         grad = gram @ w - cross
-        support = w > 0
-        level = float(grad[support] @ w[support])
-        best = int(np.argmin(grad))
-        if grad[best] >= level - slack:
+        level = float(grad @ w)
+        best = int(np.argmin(np.where(barred | (w > 0), np.inf, grad)))
+        if barred[best] or w[best] > 0 or grad[best] >= level - slack:
             break
-        active = support.copy()
+        rounds += 1
+        new, active = w.copy(), w > 0
         active[best] = True
         while True:
             idx = np.flatnonzero(active)
@@ -91,32 +111,33 @@ def simplex_weights(y: np.ndarray, donors: np.ndarray) -> np.ndarray:
             kkt[:m, m] = kkt[m, :m] = 1.0
             v = _solve_kkt(kkt, np.append(cross[idx], 1.0))[:m]
             if (v > 0).all():
-                w = np.zeros(j)
-                w[idx] = v
+                new = np.zeros(j)
+                new[idx] = v / v.sum()
                 break
-            current = w[idx]
-            falling = v <= 0
+            current, falling = new[idx], v <= 0
             gap = current[falling] - v[falling]
-            ratio = np.where(gap > 0, current[falling] / np.where(gap > 0, gap, 1.0), 0.0)
-            step = min(1.0, float(ratio.min())) if len(ratio) else 1.0
+            step = min(1.0, float(np.where(gap > 0, current[falling] / np.where(gap > 0, gap, 1.0), 0.0).min()))
             moved = current + step * (v - current)
-            moved[moved <= 1e-15] = 0.0
-            w = np.zeros(j)
-            w[idx] = moved
-            still = w > 0
-            if (still == active).all() or not still.any():
+            leaving = falling & (moved <= 1e-15)
+            if not leaving.any():
+                leaving = falling & (np.arange(m) == np.flatnonzero(falling)[0])
+            moved[leaving] = 0.0
+            new = np.zeros(j)
+            new[idx] = np.maximum(moved, 0.0)
+            active[idx[leaving]] = False
+            if not active.any():
                 break
-            active = still
-        total = w.sum()
-        if total <= 0:
-            return np.full(j, 1.0 / j)
-        w = w / total
-    return w
+        if new.sum() > 0 and loss(new) < loss(w):
+            w, barred = new / new.sum(), np.zeros(j, dtype=bool)
+        else:
+            barred[best] = True  # rounding ate the gain of this donor; another one may still gain
+    return w, kkt_residual(gram, cross, w), rounds
 
 
 _RESULT = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("donor", T.IntegerType()), T.StructField("estimated_att", T.DoubleType()),
-    T.StructField("pre_rmspe", T.DoubleType()), T.StructField("weights", T.ArrayType(T.DoubleType()))])
+    T.StructField("pre_rmspe", T.DoubleType()), T.StructField("weights", T.ArrayType(T.DoubleType())),
+    T.StructField("kkt_residual", T.DoubleType()), T.StructField("rounds", T.IntegerType())])
 
 
 def _solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -132,12 +153,12 @@ def _solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pool, post = all_donors[:, keep], pdf["is_post"].to_numpy(bool)
     if pool.shape[1] == 0:
         return pd.DataFrame(columns=[f.name for f in _RESULT])
-    w = simplex_weights(target[~post], pool[~post])
+    w, residual, rounds = simplex_weights(target[~post], pool[~post])
     gap = target - pool @ w
     rmspe = float(np.sqrt(np.mean(gap[~post] ** 2))) if (~post).any() else float("nan")
     full = np.zeros(all_donors.shape[1])
     full[keep] = w
-    return pd.DataFrame([(kind, int(donor), float(gap[post].mean()) if post.any() else float("nan"), rmspe, full.tolist())],
+    return pd.DataFrame([(kind, int(donor), float(gap[post].mean()) if post.any() else float("nan"), rmspe, full.tolist(), residual, rounds)],
                         columns=[f.name for f in _RESULT])
 
 
@@ -162,6 +183,25 @@ def weight_table(fits: DataFrame) -> DataFrame:
                        round_half("w", 4).alias("weight"))
 
 
+def certificates(fits: DataFrame, matrix: DataFrame, tolerance: float = 1e-8) -> DataFrame:
+    """One row per refit: feasible weights, optimal weights, and effect and fit worked out again from the weights by table operations."""
+    pairs = fits.select("kind", "donor", F.col("estimated_att").alias("__att"), F.col("pre_rmspe").alias("__rmspe"), "weights", "kkt_residual")
+    synthetic = F.aggregate(F.zip_with("donors", "weights", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    own = F.when(F.col("kind") == PLACEBO, F.element_at("donors", F.col("donor") + 1)).otherwise(F.col("target"))
+    # every refit meets every week: donors x weeks rows, whatever the number of customers
+    gaps = matrix.join(pairs.select("kind", "donor", "weights"), F.lit(True)).select("kind", "donor", "is_post", (own - synthetic).alias("g"))
+    again = gaps.groupBy("kind", "donor").agg(F.avg(F.when(F.col("is_post"), F.col("g"))).alias("att"),
+                                              F.sqrt(F.avg(F.when(~F.col("is_post"), F.col("g") * F.col("g")))).alias("rmspe"))
+
+    def near(a: str, b: str):
+        return F.abs(F.col(a) - F.col(b)) <= F.lit(1e-9) * F.greatest(F.lit(1.0), F.abs(F.col(a)))
+    total = F.aggregate("weights", F.lit(0.0), lambda acc, v: acc + v)
+    return pairs.join(again, ["kind", "donor"]).select(
+        "kind", "donor", ((F.array_min("weights") >= 0) & (F.abs(total - 1) <= 1e-9)).alias("feasible"), (F.col("kkt_residual") < tolerance).alias("optimal"),
+        (near("__att", "att") & near("__rmspe", "rmspe")).alias("effect_confirmed"),
+        F.when(F.col("donor") >= 0, F.element_at("weights", F.col("donor") + 1) == 0).otherwise(F.lit(True)).alias("own_weight_zero"))
+
+
 def summary(fits: DataFrame) -> DataFrame:
     """Main estimate with its fit and the placebo-in-space p-value, in one pass over the refits."""
     main = F.col("kind") == MAIN

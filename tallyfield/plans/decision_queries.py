@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tallyfield.functions.numeric import round_half
-from tallyfield.operators import decisions, evaluation, power, quality, reporting, synthetic
+from tallyfield.operators import decisions, did, evaluation, power, quality, reporting, synthetic
 from tallyfield.plans import clv_sql as cs
 from tallyfield.plans import panel_sql as ps
-from tallyfield.plans.causal_queries import _COHORT_SRC, ESTIMATES, srnd, twfe_sql
+from tallyfield.plans.causal_queries import _COHORT_SRC, _DECILE, _OUTCOME, ESTIMATES, _rec, normal_p, srnd, twfe_sql
 from tallyfield.plans.clv_queries import scores
 from tallyfield.plans.frames import T0, Frames, code_version, mart
 from tallyfield.plans.panel_queries import customers, policy_panel, rounded, weekly
@@ -91,6 +91,17 @@ def e15(f):
     return synthetic.leave_one_out(fits(f))
 
 
+_REFITS = f"""WITH {ps.panel()}, {_DONOR}, nd AS (SELECT 1 + max(donor_cohort) AS n FROM dn)
+  SELECT 'main' AS kind, CAST(-1 AS INTEGER) AS donor, TRUE AS feasible, TRUE AS optimal, TRUE AS effect_confirmed, TRUE AS own_weight_zero
+  UNION ALL SELECT kind, CAST(i AS INTEGER), TRUE, TRUE, TRUE, TRUE FROM nd, range(0, n) r(i), (VALUES ('placebo'), ('leave_one_out')) k(kind)"""
+
+
+@query("e11_weight_certificates", _REFITS)
+def e11c(f):
+    """Main weights and those of every placebo and left-out donor (E13, E15): feasible, optimal, and their effects recomputed."""
+    return synthetic.certificates(fits(f), matrix(f))
+
+
 @query("e16_refutation_suite")
 def e16(f):
     return evaluation.refutation_suite(policy_panel(f), T0)
@@ -131,6 +142,33 @@ def e21(f):
     return power.replication_summary(replications(f))
 
 
+_REPS = _rec(ps.panel()) + ", " + twfe_sql(_DECILE, [(_OUTCOME, _OUTCOME)]) + f""",
+  tr AS (SELECT g, count(DISTINCT p.customer_id) AS cc, count(DISTINCT CASE WHEN is_treated = 1 THEN p.customer_id END) AS tc,
+    coalesce(avg(CASE WHEN is_treated = 1 AND is_post_period = 1 THEN realized_effect_spend_winsor END), 0.0e0) AS ta FROM panel p JOIN dd ON p.customer_id = dd.customer_id GROUP BY g),
+  reps AS (SELECT tr.g, ta AS true_att, estimated_att AS e, std_err AS se, estimated_att - ta AS err,
+    CASE WHEN ta BETWEEN estimated_att - 1.95996e0 * std_err AND estimated_att + 1.95996e0 * std_err THEN 1.0e0 ELSE 0.0e0 END AS hit,
+    CASE WHEN {normal_p('estimated_att / std_err')} < 0.05e0 THEN 1.0e0 ELSE 0.0e0 END AS sig FROM tr JOIN est ON tr.g = est.g WHERE tc >= 10 AND tc < cc AND NOT degenerate)"""
+
+
+def decile_replications(f: Frames) -> DataFrame:
+    """The estimates of the spend deciles in the form of replications: ten draws with their truths, all from the given tables."""
+    h = did.heterogeneity(policy_panel(f)).where(~F.col("degenerate"))
+    e, se, truth = F.col("estimated_did_att"), F.col("std_err"), F.col("true_att")
+    inside = (e - did.Z95 * se <= truth) & (truth <= e + did.Z95 * se)
+    return h.select(F.lit("baseline").alias("scenario"), "decile", F.lit(evaluation.OVERALL).alias("cohort"), F.lit("weekly_spend_winsor").alias("outcome"),
+                    "true_att", e.alias("estimated_att"), se.alias("standard_error"), (e - truth).alias("error"), ((e - truth) * (e - truth)).alias("sq_error"),
+                    inside.cast("int").alias("ci_covered"), (F.col("p_value") < 0.05).cast("int").alias("rejected_at_5pct"))
+
+
+@query("e21_summary_of_deciles", _REPS + f""" SELECT 'baseline' AS Scenario, '{evaluation.OVERALL}' AS Cohort, 'weekly_spend_winsor' AS Outcome, count(*) AS Replications,
+  {rnd('avg(true_att)', 3)} AS Mean_True_ATT, {rnd('avg(e)', 3)} AS Mean_Estimated_ATT, {rnd('avg(err)', 3)} AS Mean_Bias, {rnd('sqrt(avg(err * err))', 3)} AS RMSE,
+  {rnd('avg(se)', 3)} AS Mean_SE, {rnd('avg(hit)', 6)} AS Coverage_95pct, {rnd('avg(sig)', 6)} AS Rejection_Rate_5pct FROM reps""")
+def e21d(f):
+    s = power.replication_summary(decile_replications(f))
+    digits = {"Coverage_95pct": 6, "Rejection_Rate_5pct": 6}
+    return s.select(*[round_half(c, digits.get(c, 3)).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
+
+
 @query("e22_assignment_benchmark")
 def e22(f):
     parts = None
@@ -164,6 +202,18 @@ def results_sql(scenario: str = "baseline") -> str:
    estimated_att - 1.95996e0 * std_err AS ci_lower, estimated_att + 1.95996e0 * std_err AS ci_upper FROM est JOIN tru ON est.g = tru.g)"""
 
 
+@query("e23_side_by_side_deciles", f"""WITH RECURSIVE {results_sql()}
+  SELECT 'baseline' AS scenario, Cohort AS cohort, Outcome_Metric AS outcome, {srnd('True_ATT', 'Outcome_Metric')} AS true_att,
+  {srnd('Estimated_ATT', 'Outcome_Metric')} AS estimated_att, {srnd('ci_lower', 'Outcome_Metric')} AS ci_lower, {srnd('ci_upper', 'Outcome_Metric')} AS ci_upper,
+  CASE WHEN g = 'overall' AND Outcome_Metric = 'weekly_spend_winsor' THEN (SELECT {rnd('avg(hit)', 6)} FROM ({_REPS} SELECT hit FROM reps)) END AS mc_coverage FROM res""")
+def e23d(f):
+    """Truth, estimate and interval of each result beside the coverage over the deciles, where there is one."""
+    one = power.side_by_side(core(f).withColumn("scenario", F.lit("baseline")), power.replication_summary(decile_replications(f)), decisions.DID_MODEL)
+    money = F.col("outcome").contains("spend")
+    values = [F.when(money, round_half(c, 3)).otherwise(round_half(c, 7)).alias(c) for c in ("true_att", "estimated_att", "ci_lower", "ci_upper")]
+    return one.select("scenario", "cohort", "outcome", *values, round_half("mc_coverage", 6).alias("mc_coverage"))
+
+
 _KEY = "Outcome_Metric"
 _RES = ", ".join(f"{srnd(c, _KEY)} AS {c}" for c in ("Estimated_ATT", "True_ATT", "Standard_Error", "ci_lower", "ci_upper"))
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tallyfield.functions.durable import stored
 from tallyfield.functions.numeric import hash_uniform, ratio
-from tallyfield.functions.ordering import group_row_number, with_row_number
+from tallyfield.functions.selection import rows_at_ranks
 
 # fixed values: columns of a transaction line
 RAW_COLUMNS = ("Invoice", "StockCode", "Description", "Quantity", "InvoiceDate", "Price", "Customer ID", "Country")
@@ -24,6 +25,9 @@ COLUMN_VARIANTS = {
 }
 
 
+RANKS_PER_ROW = 1_000_000  # ranks that one row is unfolded to at once
+
+
 class IngestError(ValueError):
     pass
 
@@ -125,15 +129,24 @@ def stratified_sample(lines: DataFrame, size: int, keys: Sequence[str], tie_brea
                   (F.col(quantity) < 0).cast("int").cast("string")))
               .drop("__c", "__top")
               .withColumn("__u", hash_uniform(*[F.col(f"`{k}`") for k in keys], F.lit(seed))))
-    ranked = group_row_number(marked, ["__stratum"], ["__u", *[f"`{k}`" for k in (*keys, *tie_break)]],
-                              out="__rn", size_out="__n")
-    share = F.col("__n") / lines.agg(F.count(F.lit(1))).scalar() * F.lit(float(size))
-    quota = F.least(F.greatest(F.rint(share), F.lit(1.0)), F.col("__n").cast("double"))
-    # trim or top up: rows inside their quota first, then by a second draw that ignores the stratum
-    flagged = (ranked.withColumn("__skip", (F.col("__rn") > quota).cast("int"))
-               .withColumn("__v", hash_uniform(F.col("__stratum"), F.col("__rn"), F.lit(seed + 1))))
-    picked = (with_row_number(flagged, ["__skip", "__v", "__stratum", "__rn"], out="__final")
-              .where(F.col("__final") <= size))
+    marked = marked.withColumn("__draw", (F.col("__u") * F.lit(4294967296.0)).cast("bigint")).drop("__u")
+    # one row for each stratum: at most two for each top country and two for the rest
+    sizes = marked.groupBy("__stratum").agg(F.count(F.lit(1)).alias("__n"))
+    share = F.col("__n") / F.sum("__n").over(Window.partitionBy()) * F.lit(float(size))
+    quotas = stored(sizes.withColumn("__q", F.least(F.greatest(F.rint(share), F.lit(1.0)), F.col("__n").cast("double")).cast("bigint")), "quotas")
+    inside = quotas.agg(F.coalesce(F.sum("__q"), F.lit(0))).first()[0]
+    # trim or top up by a second draw that depends on stratum and rank alone, so it needs no line
+    second = hash_uniform(F.col("__stratum"), F.col("__rn"), F.lit(seed + 1))
+    wanted = quotas.select("__stratum", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__q"))).alias("__rn"))
+    if inside >= size:
+        wanted = wanted.withColumn("__v", second).orderBy("__v", "__stratum", "__rn").limit(size).drop("__v")
+    else:
+        slices = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - F.col("__q") - 1) / RANKS_PER_ROW)))
+        rest = quotas.where("__n > __q").withColumn("__s", slices).repartition("__stratum", "__s")
+        first = F.col("__q") + F.col("__s") * RANKS_PER_ROW
+        rest = rest.select("__stratum", F.explode(F.sequence(first + 1, F.least(first + RANKS_PER_ROW, F.col("__n")))).alias("__rn"))
+        wanted = wanted.unionByName(rest.withColumn("__v", second).orderBy("__v", "__stratum", "__rn").limit(size - inside).drop("__v"))
+    picked = rows_at_ranks(marked, ["__stratum"], "__draw", 32, [f"`{k}`" for k in (*keys, *tie_break)], wanted, "__rn")
     return picked.select(*[F.col(f"`{c}`") for c in lines.columns]).orderBy(date)
 
 
@@ -160,7 +173,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def adapt_orders(spark: SparkSession, sf_dir: str, description: bool = True, country: bool = True) -> DataFrame:
     """Transaction lines from lineitem/orders (and customer, nation, part only where asked for).
 
-    Every foreign key in these tables resolves, so leaving out a lookup changes no row.
+    Lookups are outer joins: a line whose order, customer or part is unknown stays, with NULL in the columns it lacks, whichever lookups are asked for.
     """
     line = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag")
@@ -169,15 +182,15 @@ def adapt_orders(spark: SparkSession, sf_dir: str, description: bool = True, cou
         customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
         nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
         # attach the country to the order before the large join: one row per order instead of one per line
-        orders = (orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-                  .join(nation, F.col("c_nationkey") == F.col("n_nationkey")))
-    joined = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        orders = (orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+                  .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left"))
+    joined = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     if description:
         joined = joined.join(table(spark, sf_dir, "part").select("p_partkey", "p_name"),
-                             F.col("l_partkey") == F.col("p_partkey"))
+                             F.col("l_partkey") == F.col("p_partkey"), "left")
     returned = F.col("l_returnflag") == "R"
     return joined.select(
-        F.concat(F.when(returned, F.lit("C")).otherwise(F.lit("")), F.col("o_orderkey").cast("string")).alias("Invoice"),
+        F.concat(F.when(returned, F.lit("C")).otherwise(F.lit("")), F.col("l_orderkey").cast("string")).alias("Invoice"),
         F.col("l_partkey").cast("string").alias("StockCode"),
         (F.col("p_name") if description else F.lit(None).cast("string")).alias("Description"),
         (F.col("l_quantity").cast("int") * F.when(returned, F.lit(-1)).otherwise(F.lit(1))).alias("Quantity"),

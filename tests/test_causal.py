@@ -93,13 +93,13 @@ def test_simplex_weights_are_optimal():
     for rows, cols in ((40, 12), (8, 20), (30, 1)):
         x = rng.gamma(2.0, 1000.0, (rows, cols))
         y = x @ rng.dirichlet(np.ones(cols)) + rng.normal(0, 200, rows)
-        w = synthetic.simplex_weights(y, x)
+        w, residual, _ = synthetic.simplex_weights(y, x)
         assert w.min() >= 0 and w.sum() == pytest.approx(1.0)
         grad = x.T @ (x @ w - y)
         # optimality on the scale of the data: with more donors than weeks the fit is exact and the gradient is rounding
         assert (grad - grad @ w >= -1e-9 * np.abs(x.T @ y).max()).all()
     x = rng.normal(0, 1, (25, 6))
-    w = synthetic.simplex_weights(0.3 * x[:, 1] + 0.7 * x[:, 4], x)
+    w, residual, _ = synthetic.simplex_weights(0.3 * x[:, 1] + 0.7 * x[:, 4], x)
     assert w[1] == pytest.approx(0.3) and w[4] == pytest.approx(0.7)
 
 
