@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyfield.functions.durable import stored
 
-LEVEL_BITS = 16  # of the draw that one histogram resolves
-LEVELS = 2       # after 32 bits a prefix holds one row in four billion, and the copies of that row
+LEVELS = (8, 16)  # leading bits of the draw that each histogram resolves: a coarse one over all rows, a fine one inside the prefixes it leaves
 
 
 def rows_at_ranks(df: DataFrame, groups: Sequence[str], draw: str, bits: int, order_by: Sequence[str], wanted: DataFrame, rank: str = "rank") -> DataFrame:
@@ -27,9 +26,9 @@ def rows_at_ranks(df: DataFrame, groups: Sequence[str], draw: str, bits: int, or
         """Rows whose leading bits are those of a wanted rank: at most one prefix for each rank, so the lookup is as small as ``wanted``."""
         some = stored(place.select(*spread).distinct(), "prefixes")
         return df.withColumn("__prefix", F.shiftright(F.col(draw), bits - used)).join(some, spread, "left_semi")
-    for level in range(LEVELS):
-        used = LEVEL_BITS * level
-        step = min(LEVEL_BITS, bits - used)
+    used = 0
+    for level in LEVELS:
+        step = min(level, bits - used)
         if step <= 0:
             break
         next_bits = F.shiftright(F.col(draw), bits - used - step).alias("__next")
@@ -43,7 +42,7 @@ def rows_at_ranks(df: DataFrame, groups: Sequence[str], draw: str, bits: int, or
         located = seen.select(*groups, "__kind", "__rank", F.last("__next", True).over(before).alias("__prefix"),
                               (F.col("__pos") - F.last(F.when(F.col("__kind") == 0, F.col("__pos")), True).over(before)).alias("__at"))
         place = stored(located.where((F.col("__kind") == 1) & F.col("__prefix").isNotNull()).drop("__kind"), "ranks")
-    used = min(bits, LEVEL_BITS * LEVELS)
+        used += step
     names = [f"`{c}`" for c in df.columns]
     counted = inside(used).groupBy(*names, "__prefix").agg(F.count(F.lit(1)).alias("__copies"))
     order = Window.partitionBy(*spread).orderBy(draw, *order_by, *names).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -165,11 +165,13 @@ def last_week(weekly: DataFrame, t0: str) -> DataFrame:
 def balanced_panel(customers: DataFrame, weekly: DataFrame, end: Column) -> DataFrame:
     """Every Monday from a customer's first week to ``end``; weeks without orders are 0.
 
-    A customer has at most one entry per calendar week, so its map is bounded by the calendar.
+    A customer has at most one entry per calendar week, so its map is bounded by the calendar. Customers are dealt evenly over a fixed number of partitions
+    first: adaptive coalescing sees only their few bytes, not the weeks that each of them unfolds to.
     """
     entries = weekly.groupBy("customer_id").agg(F.map_from_entries(F.collect_list(
         F.struct("week_date", F.struct("cf_orders", "cf_spend")))).alias("__weeks"))
     wide = customers.join(entries, "customer_id", "left").withColumn("__end", end)
+    wide = wide.repartition(int(customers.sparkSession.conf.get("spark.sql.shuffle.partitions")), "customer_id")
     grid = wide.withColumn("week_date", F.explode(F.sequence("first_week", "__end", F.expr("INTERVAL 7 DAYS"))))
     cell = F.try_element_at("__weeks", F.col("week_date"))
     return (grid.withColumn("cf_orders", F.coalesce(cell.getField("cf_orders"), F.lit(0)).cast("int"))

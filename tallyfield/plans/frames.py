@@ -71,3 +71,7 @@ class Frames:
     def int_orders(self) -> DataFrame:
         return mart(self.spark, self.sf_dir, "int_orders",
                     lambda: warehouse.int_orders(self.stg()))
+
+    def dim_customers(self) -> DataFrame:
+        """Written once, like the other marts: checks, reports and reconciliations read it."""
+        return mart(self.spark, self.sf_dir, "dim_customers", lambda: warehouse.dim_customers(self.stg()))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.numeric import round_half
 from tallyfield.operators import quality, reporting, rfm, warehouse
-from tallyfield.plans.frames import CUTOFFS, HOLDOUT_END, HOME_COUNTRY, Frames
+from tallyfield.plans.frames import CUTOFFS, HOLDOUT_END, HOME_COUNTRY, Frames, mart
 from tallyfield.plans.sqltext import DIM_CUSTOMERS, DIM_PRODUCTS, INT_ORDERS, LINES, RAW, STG, rnd, u01
 from tallyfield.plans.sqltext import rfm as rfm_sql
 from tallyfield.sources import tables, transactions
@@ -112,7 +112,7 @@ def m5(f):
 
 @query("m6_dim_customers", f"WITH {STG}, {DIM_CUSTOMERS} SELECT * FROM dim_customers")
 def m6(f):
-    return warehouse.dim_customers(f.stg())
+    return f.dim_customers()
 
 
 @query("m7_dim_products", f"WITH {STG}, {DIM_PRODUCTS} SELECT * FROM dim_products")
@@ -138,8 +138,8 @@ def m9(f):
 def _star(f):
     io = f.int_orders()
     stg = f.stg()
-    return dict(stg=stg, stg_cust=warehouse.stg_customers(stg), lines=io, dim_cust=warehouse.dim_customers(stg),
-                dim_prod=warehouse.dim_products(stg), orders=warehouse.fact_orders(io),
+    return dict(stg=stg, stg_cust=mart(f.spark, f.sf_dir, "stg_customers", lambda: warehouse.stg_customers(stg)), lines=io,
+                dim_cust=f.dim_customers(), dim_prod=mart(f.spark, f.sf_dir, "dim_products", lambda: warehouse.dim_products(stg)), orders=warehouse.fact_orders(io),
                 returns=warehouse.fact_returns(io))
 
 
@@ -225,7 +225,7 @@ def q4(f):
   {rnd('gross_spend - return_spend')} AS calculated_net_spend FROM dim_customers
   WHERE abs(total_spend - {rnd('gross_spend - return_spend')}) > 0.01e0""")
 def q5(f):
-    return quality.revenue_identity(warehouse.dim_customers(f.stg()))
+    return quality.revenue_identity(f.dim_customers())
 
 
 @query("q6_table_assertions", f"""WITH {_FACTS}, checks AS (
@@ -252,7 +252,7 @@ def q6(f):
 def q7(f):
     stg = f.stg()
     return quality.revenue_reconciliation(warehouse.order_lines(stg), warehouse.return_lines(stg),
-                                          warehouse.dim_customers(stg))
+                                          f.dim_customers())
 
 
 _ALL_CHECKS = [_nn(*x) for x in _NULLS] + [_uq(*x) for x in _UNIQUE] + [_fk(*x) for x in _KEYS] + [_ACCEPTED, _IDENTITY]
@@ -302,7 +302,7 @@ def q11(f):
   {rnd('(SELECT sum(abs(line_total)) FROM stg WHERE is_return)')} AS returns_value""")
 def o1(f):
     stg = f.stg()
-    return reporting.executive_kpis(warehouse.order_lines(stg), warehouse.return_lines(stg), warehouse.dim_customers(stg))
+    return reporting.executive_kpis(warehouse.order_lines(stg), warehouse.return_lines(stg), f.dim_customers())
 
 
 @query("o2_monthly_revenue", f"""WITH {LINES} SELECT CAST(date_trunc('month', invoice_date) AS TIMESTAMP) AS month,
@@ -316,4 +316,4 @@ def o2(f):
   {rnd('sum(total_spend)')} AS total_spend FROM dim_customers GROUP BY country
   ORDER BY customer_count DESC, country LIMIT 8""")
 def o3(f):
-    return reporting.top_countries(warehouse.dim_customers(f.stg()))
+    return reporting.top_countries(f.dim_customers())
