@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyfield.functions.durable import stored
 
-_PART, _AT = "__part", "__at"
+_PART, _AT = "__ordering_part", "__ordering_at"  # names that no caller uses
 _ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row index in the low 33 bits
 
 

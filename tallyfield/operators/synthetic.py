@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tallyfield.config import DEFAULTS
-from tallyfield.functions.numeric import hash_uniform, round_half
+from tallyfield.functions.numeric import hash_uniform, money_sum, round_half
 from tallyfield.functions.ordering import with_row_number
 
 # fixed values: kinds of refit
@@ -31,11 +31,11 @@ def donor_cohorts(panel: DataFrame, n_donors: int = 50, seed: int = DEFAULTS.see
 
 def trajectories(panel: DataFrame, outcome: str, donors: DataFrame, treatment: str = "is_treated",
                  customer: str = "customer_id", time: str = "week_date") -> DataFrame:
-    """Mean outcome per week of the treated (series -1) and of each donor cohort; weeks x (donors + 1) rows."""
+    """Mean outcome (summed exactly, so it does not depend on row order) per week of the treated (series -1) and of each donor cohort; weeks x (donors + 1) rows."""
     series = F.when(F.col(treatment) == 1, F.lit(-1)).otherwise(F.col("donor_cohort"))
     return (panel.select(customer, time, treatment, outcome).join(donors, customer, "left")
             .groupBy(F.col(time).alias("week_date"), series.alias("series"))
-            .agg(F.avg(F.col(outcome).cast("double")).alias("mean_outcome")))
+            .agg((money_sum(outcome) / F.count(outcome)).alias("mean_outcome")))
 
 
 def donor_matrix(series: DataFrame, t0: str) -> DataFrame:

@@ -48,7 +48,7 @@ def fits(f: Frames) -> DataFrame:
 _DONOR = f"""ctl AS (SELECT customer_id, row_number() OVER (ORDER BY {u01('customer_id', '42')}, customer_id) AS rn, count(*) OVER () AS n
    FROM (SELECT DISTINCT customer_id FROM panel WHERE is_treated = 0)),
  dn AS (SELECT customer_id, CAST((rn - 1) % least({DONORS}, n) AS INTEGER) AS donor_cohort FROM ctl),
- tj AS (SELECT week_date, CASE WHEN is_treated = 1 THEN -1 ELSE donor_cohort END AS series, avg({SPEND}) AS y
+ tj AS (SELECT week_date, CASE WHEN is_treated = 1 THEN -1 ELSE donor_cohort END AS series, CAST(sum(CAST({SPEND} AS DECIMAL(38, 8))) AS DOUBLE) / count({SPEND}) AS y
    FROM panel p LEFT JOIN dn ON p.customer_id = dn.customer_id GROUP BY 1, 2)"""
 
 
