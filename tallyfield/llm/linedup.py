@@ -1,15 +1,18 @@
 """Line deduplication by a log-template tree.
 
-Lines are parsed by a tree of fixed depth: number of tokens, then the two leading tokens, tokens with a digit masked. Lines of one leaf are generalised:
-a token stays where at least half of the leaf has it at that position, everything else is a variable field ``<*>``. A leaf is
-measured in its forms, each once for every text that holds it, so shares do not grow with the corpus. A template counts when at least ``constant`` of its
-tokens behind the leading ones stay: the leading ones are the same throughout a leaf and say nothing. Lines whose template (or whose own masked form) recurs in ``min_texts``
-different texts are dropped from every document. A form with over ``long_words`` tokens that are not masked is no chance recurrence: two different
-texts are enough.
+Lines are parsed by a tree of fixed depth: number of tokens, then the two leading tokens, tokens with a digit masked. A leaf is measured in its forms,
+each once for every text that holds it, so shares do not grow with the corpus. Lines of one group are generalised: a token stays where at least half of
+the group has it at that position, everything else is a variable field ``<*>``. A form with at least ``constant`` of its tokens staying has a template.
+A leaf may hold several: the forms without one are split by the most supported token each of them has, and every part is generalised by itself, ``splits``
+times. Tokens that define a group (the leading ones, those it was split by) are the same throughout and say nothing: they are taken out before the shares
+are formed. Lines whose template recurs in ``min_texts`` different texts are dropped from every document.
 
-Lines that are mostly variable fields have no template. Whatever the tokens, a line that recurs word by word in ``min_texts`` different texts (over
-``long_words`` tokens: in two) is dropped. A leaf of several templates, none of them in half of it, has no template: only its recurring forms and lines go. Copies of a text count once, so a text does not lose its lines because it was copied as a whole. DataFrame functions only; leaves are not collected,
-they are keys of counts. Lines, forms and templates are carried as 128-bit digests.
+Forms, and lines word by word, are dropped by one rule of evidence: the letters of the different tokens that are not masked, times the texts beyond the
+first, must reach ``evidence``; ``min_texts`` texts are enough for any line. So a long line goes from two texts on, a short one from ``min_texts``, without
+an edge at some number of words. Forms of mostly masked tokens need the whole evidence in their letters.
+
+Copies of a text count once, so a text does not lose its lines because it was copied as a whole. DataFrame functions only; leaves and groups are not
+collected, they are keys of counts. Lines and forms are carried as pairs of 64-bit hashes.
 
 Defined results: NULL texts read as empty: one blank line; blank lines are never dropped; repeated rows and equal texts get the same result; NULL ids come
 back; an empty table gives an empty result; extra columns are ignored.
@@ -23,76 +26,103 @@ from tallyfield.llm.storage import kept
 
 MASK = "<*>"
 SPACE = r"[\x20\x09-\x0D]+"
+DIGIT_TOKEN = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 LEADING = 2
 STAYS_PERCENT = 50
-LONG_WORDS, LONG_TEXTS = 50, 2
+EVIDENCE = 128
+SPLITS = 2
+KEY = ["k1", "k2"]
 
 
 def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def _single(line: Column) -> Column:
-    """The line with single blanks; empty for a blank line."""
-    return F.trim(F.regexp_replace(line, SPACE, " "))
+def _pair(text: Column) -> list[Column]:
+    """128 bits of hash, as two columns."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def _form(single: Column) -> Column:
-    """The line with every token that has a digit masked."""
-    return F.when(single.rlike("[0-9]"), F.regexp_replace(single, r"[^ ]*[0-9][^ ]*", MASK)).otherwise(single)
+def _single(line: Column) -> Column:
+    """The line with single blanks; empty for a blank line. Most lines have single blanks already."""
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.trim(F.when(odd, F.regexp_replace(line, SPACE, " ")).otherwise(line))
+
 
+def _line_keys(docs: DataFrame, min_texts: int, constant: float, evidence: int) -> DataFrame:
+    """(digest, line_no, k1, k2, needed, leaf, form) of every line that is not blank: a row for its form, and one for the line itself if it has masked tokens.
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(digest, line_no, single, form, leaf) of every line that is not blank, its tokens, and how many of them are not masked."""
+    ``needed`` are the texts that suffice to drop it, NULL where none do; ``leaf`` and ``form`` are NULL where nothing can be generalised.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = docs.select(_digest(text).alias("digest"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    lines = lines.select("digest", "line_no", _single(F.col("line")).alias("single")).where("single <> ''").withColumn("form", _form(F.col("single")))
-    tokens = F.length("form") - F.length(F.replace(F.col("form"), F.lit(" "), F.lit(""))) + 1
-    masked = F.size(F.filter(F.split("form", " "), lambda w: w == MASK))
-    return lines.withColumn("tokens", tokens).withColumn("constants", tokens - masked).withColumn("leaf", F.xxhash64("tokens", F.substring_index("form", " ", LEADING)))
-
-
-def recurring_forms(docs: DataFrame, min_texts: int, constant: float, long_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lines (digest, line_no, key, exact), the keys of forms to drop (key, template), and the keys of masked lines that recur word by word (exact)."""
-    few = min(LONG_TEXTS, min_texts)
-    # texts that the form needs to be dropped by itself; NULL where too few of its tokens are constant
-    needed = F.when(F.col("constants") > long_words, F.lit(few)).when(F.col("constants") >= F.col("tokens") * constant, F.lit(min_texts))
-    lines = kept(_lines(docs).select("digest", "line_no", _digest(F.col("form")).alias("key"), "leaf", needed.alias("needed"),
-                                    F.when(F.col("constants") < F.col("tokens"), _digest(F.col("single"))).alias("exact"), (F.col("tokens") > long_words).alias("long")), "line-keys")
-    # a form without masked tokens is its line
-    exact = lines.where("exact is not null").select("exact", "long", "digest").distinct().groupBy("exact", "long").agg(F.count(F.lit(1)).alias("texts"))
-    exact = kept(exact.where(F.col("texts") >= F.when(F.col("long"), F.lit(few)).otherwise(F.lit(min_texts))).select("exact"), "line-exact")
-    seen = lines.select("key", "leaf", "needed", "digest").distinct()
-    forms = kept(seen.groupBy("key", "leaf", "needed").agg(F.count(F.lit(1)).alias("texts")), "line-forms")
-    leaves = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("forms"), F.sum("texts").alias("texts"))
-    leaves = kept(leaves.where((F.col("forms") > 1) & (F.col("texts") >= min_texts)).select("leaf", F.col("texts").alias("leaf_texts")), "line-leaves")
-    # forms of leaves that can generalise, read again from the texts, once each
-    open_forms = (_lines(docs).where(F.col("tokens") > LEADING).join(leaves.select("leaf"), "leaf", "left_semi").select(_digest(F.col("form")).alias("key"), "form", "leaf")
-                  .groupBy("key", "leaf").agg(F.first("form").alias("form")).join(forms.drop("needed"), ["key", "leaf"]))
-    open_forms = kept(open_forms, "line-open-forms")
-    tokens = open_forms.select("key", "leaf", "texts", F.posexplode(F.split("form", " ")).alias("at", "token"))
-    common = tokens.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("support"))
-    common = common.join(leaves, "leaf").where(F.col("support") * 100 >= F.col("leaf_texts") * STAYS_PERCENT).select("leaf", "at", "token", F.lit(True).alias("stays"))
-    marked = tokens.join(common, ["leaf", "at", "token"], "left")
-    stays = F.coalesce("stays", F.lit(False)) & (F.col("token") != MASK)
-    shaped = marked.groupBy("key", "leaf").agg(
-        F.array_sort(F.collect_list(F.struct("at", F.when(stays, F.col("token")).otherwise(F.lit(MASK)).alias("token")))).alias("parts"),
-        F.avg(F.when(F.col("at") >= LEADING, stays.cast("double"))).alias("share"))
-    template = F.array_join(F.transform("parts", lambda p: p["token"]), " ")
-    shaped = kept(shaped.where(F.col("share") >= constant).select("key", "leaf", template.alias("template")), "line-templates")
-    members = lines.join(shaped, ["key", "leaf"]).select("leaf", "template", "digest").distinct()
-    often = members.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_texts).select("leaf", "template")
-    dropped = (forms.where(F.col("texts") >= F.col("needed")).select("key", F.lit(None).cast("string").alias("template"))
-               .union(shaped.join(often, ["leaf", "template"]).select("key", "template")))
-    return lines, kept(dropped.groupBy("key").agg(F.max("template").alias("template")), "line-dropped"), exact
-
-
-def drop_recurring_lines(docs: DataFrame, min_texts: int = 5, constant: float = 0.5, long_words: int = LONG_WORDS) -> DataFrame:
+    lines = lines.select("digest", "line_no", _single(F.col("line")).alias("single")).where("single <> ''")
+    lines = lines.withColumn("masked", F.col("single").rlike("[0-9]"))
+    lines = lines.withColumn("form", F.when(F.col("masked"), F.regexp_replace("single", DIGIT_TOKEN, MASK)).otherwise(F.col("single")))
+    lines = lines.withColumn("key", F.explode(F.when(F.col("masked"), F.array("form", "single")).otherwise(F.array("form"))))
+    words = F.split("key", " ")
+    tokens = F.size(words)
+    holes = F.when(F.contains("key", F.lit(MASK)), F.size(F.filter(words, lambda w: w == MASK))).otherwise(0)
+    letters = F.length(F.array_join(F.array_distinct(words), "")) - F.when(holes > 0, len(MASK)).otherwise(0)
+    solid = (tokens - holes >= tokens * constant) | (letters >= evidence)
+    needed = F.when(solid & (letters > 0), F.least(F.lit(min_texts), F.lit(1) + F.ceil(F.lit(evidence) / letters)).cast("int"))
+    is_form = (F.col("key") == F.col("form")) & (tokens > LEADING)
+    return lines.select("digest", "line_no", *_pair(F.col("key")), needed.alias("needed"),
+                        F.when(is_form, F.xxhash64(tokens, F.substring_index("key", " ", LEADING))).alias("leaf"), F.when(is_form, F.col("key")).alias("form"))
+
+
+def form_templates(forms: DataFrame, min_texts: int, constant: float, splits: int) -> DataFrame:
+    """(k1, k2, group, t1, t2) for forms(k1, k2, leaf, texts, form) that have a template: its group and the hash of the tokens that stay."""
+    tokens = forms.select(*KEY, F.col("leaf").alias("group"), "texts", F.posexplode(F.split("form", " ")).alias("at", "token")).where(F.col("at") >= LEADING)
+    found = None
+    for level in range(splits + 1):
+        support = tokens.groupBy("group", "at", "token").agg(F.sum("texts").alias("support"))
+        # each form has one token at every position that its group has left
+        sizes = kept(support, f"line-support-{level}")
+        support, sizes = sizes, sizes.groupBy("group", "at").agg(F.sum("support").alias("size")).groupBy("group").agg(F.max("size").alias("size"))
+        held = support.join(sizes, "group").withColumn("stays", F.col("support") * 100 >= F.col("size") * STAYS_PERCENT)
+        held = held.where((F.col("token") != MASK) & (F.col("stays") | (F.col("support") >= min_texts))).drop("size")
+        marked = tokens.join(held, ["group", "at", "token"], "left")
+        stays = F.coalesce("stays", F.lit(False))
+        shaped = marked.groupBy(*KEY, "group").agg(
+            F.avg(stays.cast("double")).alias("share"),
+            F.bit_xor(F.when(stays, F.xxhash64("at", "token")).otherwise(F.lit(0).cast("long"))).alias("t1"),
+            F.bit_xor(F.when(stays, F.xxhash64(F.lit(1), "at", "token")).otherwise(F.lit(0).cast("long"))).alias("t2"),
+            # a part with fewer texts than a template needs has none
+            F.max(F.when(~stays & (F.col("support") >= min_texts), F.struct("support", (-F.col("at")).alias("before"), "token"))).alias("pivot"))
+        shaped = kept(shaped, f"line-shapes-{level}")
+        settled = shaped.where(F.col("share") >= constant).select(*KEY, "group", "t1", "t2")
+        found = settled if found is None else found.union(settled)
+        if level < splits:
+            parts = shaped.where((F.col("share") < constant) & F.col("pivot").isNotNull()).select(
+                *KEY, F.xxhash64("group", "pivot.before", "pivot.token").alias("part"), (-F.col("pivot.before")).alias("taken"))
+            tokens = kept(tokens.join(parts, KEY).where("at <> taken").select(*KEY, F.col("part").alias("group"), "texts", "at", "token"), f"line-tokens-{level}")
+    return found
+
+
+def recurring_lines(docs: DataFrame, min_texts: int, constant: float, evidence: int, splits: int) -> tuple[DataFrame, DataFrame]:
+    """Keys of lines (digest, line_no, k1, k2, ...), and the keys (k1, k2) to drop."""
+    lines = kept(_line_keys(docs, min_texts, constant, evidence), "line-keys")
+    seen = lines.select(*KEY, "leaf", "needed", "digest").distinct()
+    counts = kept(seen.groupBy(*KEY, "leaf", "needed").agg(F.count(F.lit(1)).alias("texts")), "line-counts")
+    leaves = counts.where("leaf is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("forms"), F.sum("texts").alias("texts"))
+    leaves = kept(leaves.where((F.col("forms") > 1) & (F.col("texts") >= min_texts)).select("leaf"), "line-leaves")
+    forms = lines.where("leaf is not null").join(leaves, "leaf", "left_semi").groupBy(*KEY, "leaf").agg(F.first("form").alias("form"))
+    forms = kept(forms.join(counts.drop("needed"), [*KEY, "leaf"]), "line-forms")
+    shaped = form_templates(forms, min_texts, constant, splits)
+    members = lines.select(*KEY, "digest").join(shaped, KEY).select("group", "t1", "t2", "digest").distinct()
+    often = members.groupBy("group", "t1", "t2").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_texts)
+    dropped = counts.where("texts >= needed").select(*KEY).union(shaped.join(often, ["group", "t1", "t2"], "left_semi").select(*KEY))
+    return lines, kept(dropped.distinct(), "line-dropped")
+
+
+def drop_recurring_lines(docs: DataFrame, min_texts: int = 5, constant: float = 0.5, evidence: int = EVIDENCE, splits: int = SPLITS) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped) for every row of docs(doc_id, text): text without its recurring lines."""
-    lines, dropped, exact = recurring_forms(docs, min_texts, constant, long_words)
-    gone = lines.join(dropped.select("key"), "key", "left_semi").select("digest", "line_no")
-    gone = gone.union(lines.join(exact, "exact", "left_semi").select("digest", "line_no")).distinct()
-    gone = kept(gone.groupBy("digest").agg(F.array_sort(F.collect_list("line_no")).alias("gone")), "line-gone")
+    lines, dropped = recurring_lines(docs, min_texts, constant, evidence, splits)
+    gone = lines.join(dropped, KEY, "left_semi").groupBy("digest").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
+    gone = kept(gone, "line-gone")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), _digest(text).alias("digest")).join(gone, "digest", "left")
     split = F.split("text", "\n")
