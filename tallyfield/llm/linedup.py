@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyfield.llm.storage import kept
+from tallyfield.llm.storage import Scratch, joined_by_digest
 
 MASK = "<*>"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -73,15 +73,15 @@ def _line_keys(docs: DataFrame, min_texts: int, constant: float, evidence: int)
                         F.when(is_form, F.xxhash64(tokens, F.substring_index("key", " ", LEADING))).alias("leaf"), F.when(is_form, F.col("key")).alias("form"))
 
 
-def form_templates(forms: DataFrame, min_texts: int, constant: float, splits: int) -> DataFrame:
+def form_templates(scratch: Scratch, forms: DataFrame, min_texts: int, constant: float, splits: int) -> DataFrame:
     """(k1, k2, group, t1, t2) for forms(k1, k2, leaf, texts, form) that have a template: its group and the hash of the tokens that stay."""
     tokens = forms.select(*KEY, F.col("leaf").alias("group"), "texts", F.posexplode(F.split("form", " ")).alias("at", "token")).where(F.col("at") >= LEADING)
     found = None
     for level in range(splits + 1):
         support = tokens.groupBy("group", "at", "token").agg(F.sum("texts").alias("support"))
         # each form has one token at every position that its group has left
-        sizes = kept(support, f"line-support-{level}")
-        support, sizes = sizes, sizes.groupBy("group", "at").agg(F.sum("support").alias("size")).groupBy("group").agg(F.max("size").alias("size"))
+        support = scratch.kept(support, f"line-support-{level}")
+        sizes = support.groupBy("group", "at").agg(F.sum("support").alias("size")).groupBy("group").agg(F.max("size").alias("size"))
         held = support.join(sizes, "group").withColumn("stays", F.col("support") * 100 >= F.col("size") * STAYS_PERCENT)
         held = held.where((F.col("token") != MASK) & (F.col("stays") | (F.col("support") >= min_texts))).drop("size")
         marked = tokens.join(held, ["group", "at", "token"], "left")
@@ -92,39 +92,44 @@ def form_templates(forms: DataFrame, min_texts: int, constant: float, splits: in
             F.bit_xor(F.when(stays, F.xxhash64(F.lit(1), "at", "token")).otherwise(F.lit(0).cast("long"))).alias("t2"),
             # a part with fewer texts than a template needs has none
             F.max(F.when(~stays & (F.col("support") >= min_texts), F.struct("support", (-F.col("at")).alias("before"), "token"))).alias("pivot"))
-        shaped = kept(shaped, f"line-shapes-{level}")
+        shaped = scratch.kept(shaped, f"line-shapes-{level}")
+        scratch.drop(f"line-support-{level}")
         settled = shaped.where(F.col("share") >= constant).select(*KEY, "group", "t1", "t2")
         found = settled if found is None else found.union(settled)
         if level < splits:
             parts = shaped.where((F.col("share") < constant) & F.col("pivot").isNotNull()).select(
                 *KEY, F.xxhash64("group", "pivot.before", "pivot.token").alias("part"), (-F.col("pivot.before")).alias("taken"))
-            tokens = kept(tokens.join(parts, KEY).where("at <> taken").select(*KEY, F.col("part").alias("group"), "texts", "at", "token"), f"line-tokens-{level}")
+            tokens = scratch.kept(tokens.join(parts, KEY).where("at <> taken").select(*KEY, F.col("part").alias("group"), "texts", "at", "token"), f"line-tokens-{level}")
+        if level:
+            scratch.drop(f"line-tokens-{level - 1}")
     return found
 
 
-def recurring_lines(docs: DataFrame, min_texts: int, constant: float, evidence: int, splits: int) -> tuple[DataFrame, DataFrame]:
+def recurring_lines(scratch: Scratch, docs: DataFrame, min_texts: int, constant: float, evidence: int, splits: int) -> tuple[DataFrame, DataFrame]:
     """Keys of lines (digest, line_no, k1, k2, ...), and the keys (k1, k2) to drop."""
-    lines = kept(_line_keys(docs, min_texts, constant, evidence), "line-keys")
+    lines = scratch.kept(_line_keys(docs, min_texts, constant, evidence), "line-keys")
     seen = lines.select(*KEY, "leaf", "needed", "digest").distinct()
-    counts = kept(seen.groupBy(*KEY, "leaf", "needed").agg(F.count(F.lit(1)).alias("texts")), "line-counts")
+    counts = scratch.kept(seen.groupBy(*KEY, "leaf", "needed").agg(F.count(F.lit(1)).alias("texts")), "line-counts")
     leaves = counts.where("leaf is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("forms"), F.sum("texts").alias("texts"))
-    leaves = kept(leaves.where((F.col("forms") > 1) & (F.col("texts") >= min_texts)).select("leaf"), "line-leaves")
+    leaves = scratch.kept(leaves.where((F.col("forms") > 1) & (F.col("texts") >= min_texts)).select("leaf"), "line-leaves")
     forms = lines.where("leaf is not null").join(leaves, "leaf", "left_semi").groupBy(*KEY, "leaf").agg(F.first("form").alias("form"))
-    forms = kept(forms.join(counts.drop("needed"), [*KEY, "leaf"]), "line-forms")
-    shaped = form_templates(forms, min_texts, constant, splits)
+    forms = scratch.kept(forms.join(counts.drop("needed"), [*KEY, "leaf"]), "line-forms")
+    shaped = form_templates(scratch, forms, min_texts, constant, splits)
     members = lines.select(*KEY, "digest").join(shaped, KEY).select("group", "t1", "t2", "digest").distinct()
     often = members.groupBy("group", "t1", "t2").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_texts)
     dropped = counts.where("texts >= needed").select(*KEY).union(shaped.join(often, ["group", "t1", "t2"], "left_semi").select(*KEY))
-    return lines, kept(dropped.distinct(), "line-dropped")
+    return lines, scratch.kept(dropped.distinct(), "line-dropped")
 
 
 def drop_recurring_lines(docs: DataFrame, min_texts: int = 5, constant: float = 0.5, evidence: int = EVIDENCE, splits: int = SPLITS) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped) for every row of docs(doc_id, text): text without its recurring lines."""
-    lines, dropped = recurring_lines(docs, min_texts, constant, evidence, splits)
+    scratch = Scratch(docs.sparkSession)
+    lines, dropped = recurring_lines(scratch, docs, min_texts, constant, evidence, splits)
     gone = lines.join(dropped, KEY, "left_semi").groupBy("digest").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
-    gone = kept(gone, "line-gone")
+    gone = scratch.kept(gone, "line-gone")
+    scratch.drop_all_but("line-gone")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), _digest(text).alias("digest")).join(gone, "digest", "left")
+    rows = joined_by_digest(docs.select("doc_id", text.alias("text"), _digest(text).alias("digest")), gone)
     split = F.split("text", "\n")
     # runs of lines between dropped ones, so that a long text is not searched once for each line
     edges = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size(split)))
