@@ -174,6 +174,15 @@ def test_panel_semantics(built):
     assert (((pd.to_datetime(weeks["max"]) - pd.to_datetime(weeks["min"])).dt.days // 7 + 1) == weeks["count"]).all()
 
 
+def test_panel_is_neither_sorted_nor_shuffled(lines):
+    """A panel is customers x weeks: its rows come from the customers' rows, each reader working out its own columns."""
+    p = panel.policy_panel(lines, T0)
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Window", "Sort", "Exchange"))
+    few = p.select("customer_id", "week_date", "observed_weekly_spend_winsor")._jdf.queryExecution().executedPlan().toString()
+    assert "__obs_active" not in few and "md5" not in few
+
+
 def test_pre_period_rates(lines):
     s = panel.order_rates(panel.pre_summary(lines, T0), T0).toPandas()
     repeats = (s["pre_orders"] - 1).clip(lower=0)

@@ -109,3 +109,18 @@ def test_rising_factorial_logarithm():
     z = np.array([0.5, 3.0, 70.0, 1e7])
     want = [np.sum(np.log(v + np.arange(5))) for v in z]
     assert special.lrising(z, 5.0) == pytest.approx(want, rel=1e-12)
+
+
+def test_round_half_equals_the_decimal_round(spark):
+    rng = np.random.default_rng(3)
+    values = [0.0, -0.0, 0.5, -0.5, 1.5, -1.5, 2.5, -2.5, 0.49999999999999994, -0.3, 1e15 + 0.5, 4503599627370495.5, 1e22, -1e300, float("inf"), float("-inf"), None,
+              *rng.normal(0, 1e3, 400).tolist(), *(rng.integers(-9999, 9999, 400) / 200).tolist()]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (0, 2, 6):
+        scale = F.lit(float(10 ** digits))
+        rows = df.select(round_half("x", digits).alias("a"), (F.round(F.col("x") * scale) / scale).alias("b")).collect()
+        assert [str(r["a"]) for r in rows] == [str(r["b"]) for r in rows]
+    nan = spark.range(1).select(round_half(F.lit(float("nan")), 2).alias("a")).first()
+    assert nan["a"] != nan["a"]
+    built = df.select(round_half("x", 2).alias("a"))._jdf.queryExecution().executedPlan().toString()
+    assert " round(" not in built  # no decimal number for each value
