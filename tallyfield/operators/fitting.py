@@ -254,6 +254,13 @@ def _columns(batch: pa.RecordBatch, spec: ModelSpec, scale: float) -> tuple[dict
     return d, batch.column("w").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
 
 
+def _spread(tuples: DataFrame) -> DataFrame:
+    """Dealt over all cores: adaptive coalescing sees the few bytes of the tuples, not the work that each of them makes."""
+    session = tuples.sparkSession
+    n = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    return tuples.repartition(n, *[c for c in tuples.columns if c != "w"])
+
+
 def evaluate(tuples: DataFrame, spec: ModelSpec, scale: float, points: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
     """Weighted sums per problem and point, from one aggregation over the tuples: value, gradient and upper Hessian in the log-parameters.
 
@@ -372,7 +379,7 @@ def fit(tuples: DataFrame, model: str, n_problems: int = 1, penalties: Sequence[
     """
     spec = SPECS[model]
     penalties = list(penalties or [0.0] * n_problems)
-    data = tuples.persist()
+    data = _spread(tuples).persist()
     try:
         size = data.agg(*[F.sum(F.col("w")[i]).alias(str(i)) for i in range(n_problems)],
                         (F.max("age") if "age" in data.columns else F.avg("m")).alias("scale")).first()
@@ -419,7 +426,7 @@ def fit(tuples: DataFrame, model: str, n_problems: int = 1, penalties: Sequence[
 
 def log_likelihoods(tuples: DataFrame, model: str, params: Sequence[Sequence[float]], n_problems: int = 1) -> dict[tuple[int, int], float]:
     """{(problem, point): total log-likelihood} at given parameters, from the kernels the fits use."""
-    found = evaluate(tuples, SPECS[model], 1.0, {i: np.log(np.array(params, dtype=float)) for i in range(n_problems)})
+    found = evaluate(_spread(tuples), SPECS[model], 1.0, {i: np.log(np.array(params, dtype=float)) for i in range(n_problems)})
     return {(i, j): float(row[0]) for i, rows in found.items() for j, row in enumerate(rows)}
 
 
@@ -458,10 +465,14 @@ def fit_penalties(rfm: DataFrame, grid: Sequence[float] = DEFAULTS.penalizer_gri
     return fit(purchase_tuples(rfm, [F.lit(1)] * len(grid)), "bgnbd", len(grid), grid)
 
 
-def fit_labelled(frames: DataFrame, label: str, labels: Sequence[str], model: str) -> dict[str, Fit]:
-    """One fit per value of ``label`` (for instance a cutoff), all in the same passes."""
+def labelled_tuples(frames: DataFrame, label: str, labels: Sequence[str], model: str) -> DataFrame:
+    """The tuples of a model with one weight per value of ``label``."""
     weights = [(F.col(label) == v).cast("int") for v in labels]
-    tuples = (value_tuples if model == "gammagamma" else purchase_tuples)(frames, weights)
+    return (value_tuples if model == "gammagamma" else purchase_tuples)(frames, weights)
+
+
+def fit_labelled(tuples: DataFrame, labels: Sequence[str], model: str) -> dict[str, Fit]:
+    """One fit per label of ``labelled_tuples`` (for instance a cutoff), all in the same passes."""
     return dict(zip(labels, fit(tuples, model, len(labels))))
 
 

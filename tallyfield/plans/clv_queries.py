@@ -66,12 +66,11 @@ def preds(f: Frames) -> DataFrame:
     return mart(f.spark, f.sf_dir, "preds_pinned", lambda: _predict(f, lambda c: (cs.BG, cs.GG, cs.MBG, cs.PARETO)))
 
 
-def fitted(f: Frames) -> dict[str, dict]:
-    """Every model fitted at every cutoff; the cutoffs share the passes."""
-    key = (f.spark.sparkContext.applicationId, f.sf_dir, input_version(f.spark, f.sf_dir), "cutoffs")
+def fitted(f: Frames, model: str) -> dict[str, fitting.Fit]:
+    """One model fitted at every cutoff, which share the passes; the models that nobody asks for are not fitted."""
+    key = (f.spark.sparkContext.applicationId, f.sf_dir, input_version(f.spark, f.sf_dir), "cutoffs", model)
     if key not in _FITS:
-        frames = splits(f)
-        _FITS[key] = {m: fitting.fit_labelled(frames, "cutoff", CUTOFFS, m) for m in ("bgnbd", "mbgnbd", "pareto", "gammagamma")}
+        _FITS[key] = fitting.fit_labelled(_tuples(f, model), CUTOFFS, model)
     return _FITS[key]
 
 
@@ -87,7 +86,7 @@ _FITS: dict[tuple, object] = {}
 
 
 def fitted_preds(f: Frames) -> DataFrame:
-    fits = fitted(f)
+    fits = {m: fitted(f, m) for m in ("bgnbd", "gammagamma", "mbgnbd", "pareto")}
 
     def models(c):
         return (scoring.BetaGeometric(**fits["bgnbd"][c].params), scoring.GammaGamma(**fits["gammagamma"][c].params),
@@ -149,7 +148,7 @@ def r3p(f):
 def _fit_query(name, model):
     @query(name)
     def run(f):
-        return fitting.fits_frame(f.spark, list(fitted(f)[model].items()))
+        return fitting.fits_frame(f.spark, list(fitted(f, model).items()))
     return run
 
 
@@ -160,8 +159,9 @@ _fit_query("r7_pareto_nbd_fit", "pareto")
 
 
 def _tuples(f, model):
-    weights = [(F.col("cutoff") == c).cast("int") for c in CUTOFFS]
-    return (fitting.value_tuples if model == "gammagamma" else fitting.purchase_tuples)(splits(f), weights)
+    """Written once: the fits and the likelihoods read the same tuples."""
+    kind = "value" if model == "gammagamma" else "purchase"
+    return mart(f.spark, f.sf_dir, f"{kind}_tuples", lambda: fitting.labelled_tuples(splits(f), "cutoff", CUTOFFS, model))
 
 
 def _likelihood_query(name, model):
@@ -184,7 +184,7 @@ def _certificate_query(name, model):
     @query(name, f"""WITH {cs.HOLDOUTS} SELECT cutoff, count(*) FILTER (WHERE {rows}) AS customers, TRUE AS converged, TRUE AS stationary, TRUE AS no_ascent,
       CAST({len(cs.GRID[model])} AS BIGINT) AS pinned_points_beaten FROM hall GROUP BY cutoff""")
     def run(f):
-        fits = fitted(f)[model]
+        fits = fitted(f, model)
         names = fitting.SPECS[model].names
         points = [[fits[c].params[k] for k in names] for c in CUTOFFS] + list(cs.GRID[model])
         values = fitting.log_likelihoods(_tuples(f, model), model, points, len(CUTOFFS))

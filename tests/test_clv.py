@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyfield.functions import special
 from tallyfield.functions.special import lbeta, unit_gauss_legendre
 from tallyfield.operators import fitting, quality, rfm, scoring, validation
+from tallyfield.plans import clv_queries
 
 BG = scoring.BetaGeometric(0.5, 8.0, 1.2, 2.5)
 
@@ -292,3 +293,16 @@ def test_bad_scores_raise(rfm_frame):
     bad = rfm_frame.withColumn("p_alive", F.lit(1.2))
     with pytest.raises(quality.QualityError):
         quality.require_valid(bad, ["p_alive"], 0.0, 1.0)
+
+
+def test_a_fit_query_fits_its_own_model_on_all_cores(spark, monkeypatch):
+    """Fitting the order values must not wait for the three purchase models, and few bytes of tuples must not end in one task."""
+    asked = []
+    monkeypatch.setattr(clv_queries, "_tuples", lambda f, model: model)
+    monkeypatch.setattr(clv_queries, "input_version", lambda spark, sf_dir: 0)
+    monkeypatch.setattr(clv_queries, "_FITS", {})
+    monkeypatch.setattr(fitting, "fit_labelled", lambda tuples, labels, model: asked.append(model) or {c: fitting.Fit({"p": 1.0}, 0.0, 1.0, 1, True) for c in labels})
+    clv_queries.QUERIES["r5_gamma_gamma_fit"](spark, "/nowhere")
+    assert asked == ["gammagamma"]
+    tuples = spark.createDataFrame([(float(i), float(i), [1.0]) for i in range(40)], "x double, m double, w array<double>").coalesce(1)
+    assert fitting._spread(tuples).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
