@@ -10,7 +10,7 @@ the results reaches the driver, and there is no limit on weeks, groups or custom
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -299,11 +299,15 @@ def pre_spend_deciles(panel: DataFrame, spend: str = "observed_weekly_spend", cu
 
 def heterogeneity(panel: DataFrame, min_treated: int = 10, outcome: str = "observed_weekly_spend_winsor",
                   effect: str = "realized_effect_spend_winsor", customer: str = "customer_id",
-                  time: str = "week_date") -> DataFrame:
-    """Per decile: sizes, true ATT, DiD estimate, SE, raw and Bonferroni p, degenerate flag."""
+                  time: str = "week_date", beside: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Per decile: sizes, true ATT, DiD estimate, SE, raw and Bonferroni p, degenerate flag.
+
+    beside: gives the panel with columns per customer, where there is a cheaper way than a join with the panel.
+    """
     deciles = pre_spend_deciles(panel, customer=customer)
-    marked = (panel.select(customer, time, "is_treated", "is_post_period", outcome, effect)
-              .join(deciles, customer, "left")
+    columns = [customer, time, "is_treated", "is_post_period", outcome, effect]
+    joined = panel.select(*columns).join(deciles, customer, "left") if beside is None else beside(deciles).select(*columns, "decile")
+    marked = (joined
               .withColumn("decile", F.coalesce("decile", F.lit("D01"))))
     hit = (F.col("is_treated") == 1) & (F.col("is_post_period") == 1)
     per = marked.groupBy("decile", customer).agg(

@@ -9,7 +9,7 @@ from tallyfield.operators import did, event_study
 from tallyfield.operators.panel import OUTCOMES
 from tallyfield.plans import panel_sql as ps
 from tallyfield.plans.frames import T0, Frames
-from tallyfield.plans.panel_queries import policy_panel, rounded
+from tallyfield.plans.panel_queries import panel_beside, policy_panel, rounded
 from tallyfield.plans.sqltext import qcut, rnd
 
 QUERIES = {}
@@ -242,6 +242,6 @@ _DECILE = f"""ds AS (SELECT customer_id, round(sum(observed_weekly_spend), 4) AS
   CASE WHEN tc >= 10 AND tc < cc THEN {rnd(f"least(1.0e0, 10.0e0 * {normal_p('estimated_att / std_err')})", 5)} END AS p_value_bonferroni, NOT (tc >= 10 AND tc < cc AND NOT degenerate) AS degenerate
   FROM tr JOIN est ON tr.g = est.g""")
 def e17(f):
-    h = did.heterogeneity(policy_panel(f))
+    h = did.heterogeneity(policy_panel(f), beside=panel_beside(f))
     digits = {"true_att": 3, "estimated_did_att": 3, "std_err": 3, "p_value": 6, "p_value_bonferroni": 5}
     return h.select(*[round_half(c, digits[c]).alias(c) if c in digits else F.col(c) for c in h.columns])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyfield.functions.durable import shared_dir
 from tallyfield.operators import evaluation, warehouse
 from tallyfield.plans.frames import T0, Frames, code_version
-from tallyfield.plans.panel_queries import customers, policy_panel, weekly
+from tallyfield.plans.panel_queries import customers, panel_beside, policy_panel, weekly
 from tallyfield.plans.sqltext import DIM_CUSTOMERS, RAW, STG
 from tallyfield.sources import tables
 
@@ -103,7 +103,7 @@ def s11(f):
 @query("s12_provenance_gate")
 def s12(f):
     panel = policy_panel(f)
-    record = evaluation.assignment_benchmark(panel, T0, "stratified_random", code_version(), "benchmark")
+    record = evaluation.assignment_benchmark(panel, T0, "stratified_random", code_version(), "benchmark", beside=panel_beside(f))
     # the expected size does not come from the panel: every customer of the split has one row for each week since its first
     last = F.lit(weekly(f).agg(F.max("week_date")).first()[0])
     weeks = (F.date_diff(last, F.col("first_week")) / F.lit(7)).cast("long") + 1

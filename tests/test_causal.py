@@ -183,6 +183,25 @@ def test_panel_is_neither_sorted_nor_shuffled(lines):
     assert "__obs_active" not in few and "md5" not in few
 
 
+def test_customer_columns_are_joined_before_the_weeks_unfold(spark, lines):
+    """A decile or a donor cohort reaches the panel without a shuffle of its weeks, and the results are those of the plain join."""
+    s = DEFAULTS.with_(order_rate_change=0.9)
+    wide = panel.panel_customers(panel.customer_table(lines, T0, s), panel.weekly_orders(lines), T0, s, "baseline").cache()
+    p = panel.unfold_panel(wide, T0, s, aliases=False)
+    def beside(extra):
+        return panel.with_customer_columns(wide, extra, T0, s)
+    donors = synthetic.donor_cohorts(p, 5)
+    dealt = beside(donors)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    outcome = "observed_weekly_spend_winsor"
+    def rows(df):
+        return [tuple(r) for r in df.orderBy(*df.columns[:2]).collect()]
+    assert rows(synthetic.trajectories(dealt, outcome)) == rows(synthetic.trajectories(p, outcome, donors))
+    one, two = (did.heterogeneity(p, 2, beside=b).toPandas().sort_values("decile").reset_index(drop=True) for b in (None, beside))
+    pd.testing.assert_frame_equal(one, two)
+
+
 def test_pre_period_rates(lines):
     s = panel.order_rates(panel.pre_summary(lines, T0), T0).toPandas()
     repeats = (s["pre_orders"] - 1).clip(lower=0)
