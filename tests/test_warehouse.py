@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fixtures import raw_lines
+from tallyfield.functions import ordering
+from tallyfield.functions.durable import stored
 from tallyfield.operators import quality, reporting, rfm, warehouse
 from tallyfield.sources import tables, transactions
 
@@ -16,6 +18,21 @@ def stg(raw):
     return warehouse.stg_orders(raw).cache()
 
 
+def test_line_numbers_are_sorted_in_pieces_that_fit(spark, monkeypatch):
+    """The number of ranges follows the number of lines, not the session's fixed number of partitions; the numbers stay dense and ordered."""
+    monkeypatch.setattr(ordering, "SORTED_ROWS", 10)
+    seen = []
+    monkeypatch.setattr(ordering, "stored", lambda df, name="table": seen.append(df) or stored(df, name))
+    lines = spark.range(200).select(
+        F.concat(F.lit("i"), "id").alias("invoice_no"), F.lit("s").alias("stock_code"), F.lit(None).cast("string").alias("description"), F.lit(1).alias("quantity"),
+        F.lit("2020-01-01").cast("timestamp_ntz").alias("invoice_date"), F.lit(1.0).alias("unit_price"), F.lit(7).cast("bigint").alias("customer_id"),
+        F.lit("x").alias("country"), F.lit(1.0).alias("line_total"), F.lit(False).alias("is_cancelled"), F.lit(False).alias("is_return"))
+    rows = warehouse.int_orders(lines).orderBy("transaction_id").collect()
+    assert [r["transaction_id"] for r in rows] == list(range(1, 201))
+    assert [r["invoice_no"] for r in rows] == sorted(r["invoice_no"] for r in rows)
+    assert seen[0].rdd.getNumPartitions() >= 15
+
+
 def test_staging_drops_and_flags(stg):
     rows = {(r["invoice_no"], r["stock_code"]): r for r in stg.collect()}
     assert ("7", "A") not in rows and ("8", "A") not in rows
