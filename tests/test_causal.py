@@ -316,3 +316,27 @@ def test_pools_are_sums_of_their_groups(spark):
         one = did.twfe(panel.where(F.col("g").isin(*members)), [("y", "y")]).first()
         for c in ("estimated_att", "std_err", "p_value", "n_obs", "n_customers"):
             assert got[name][c] == pytest.approx(one[c], rel=1e-9)
+
+
+def test_active_weeks_are_looked_up_not_searched(spark):
+    """The list of active weeks grows with the calendar, not with the orders, and agrees with the definition across its numbers."""
+    first, end, t0 = dt.date(1996, 1, 1), dt.date(2001, 7, 30), "2000-06-05"
+    at = {1: [0, 51, 52, 63, 64, 127, 190, 230, 240, 291], 2: [0], 3: list(range(0, 290, 3)), 4: [5, 60]}
+    step = {1: 3, 2: None, 3: 1, 4: None}
+    added = {1: [231, 250], 2: [260], 3: [], 4: None}
+    rows = [(c, first, end, step[c], {first + dt.timedelta(weeks=w): (int(c != 4 or w != 5), 1.0) for w in at[c]},
+             None if added[c] is None else [first + dt.timedelta(weeks=w) for w in added[c]]) for c in at]
+    wide = spark.createDataFrame(rows, "customer_id long, first_week date, __end date, churn_step long, __weeks map<date,struct<cf_orders:int,cf_spend:double>>, __added array<date>")
+    marked = panel.with_active_weeks(wide, t0)
+    assert {len(r[0]) for r in marked.select("__obs_active").collect()} == {5}
+    got = panel.with_recent_activity(marked.withColumn("week_date", F.explode(F.sequence("first_week", "__end", F.expr("INTERVAL 7 DAYS")))))
+    post = (dt.date.fromisoformat(t0) - first).days // 7
+    n = 0
+    for r in got.collect():
+        c, w = r["customer_id"], (r["week_date"] - first).days // 7
+        own = [x for x in at[c] if c != 4 or x != 5]
+        seen = [x for x in own + (added[c] or []) if x < post or step[c] is None or x - post + 1 <= step[c]]
+        assert r["counterfactual_active_last_90d"] == float(any(x <= w < x + 13 for x in own)), (c, w)
+        assert r["observed_active_last_90d"] == float(any(x <= w < x + 13 for x in seen)), (c, w)
+        n += 1
+    assert n == 4 * 292
