@@ -26,7 +26,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyfield.llm.storage import kept
+from tallyfield.llm.storage import joined_by_digest, kept
 
 SHINGLE = 5
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
@@ -92,37 +92,45 @@ def _block(fp: Column, b: int) -> Column:
 
 
 def windows_near_items(docs: DataFrame, items: DataFrame, num: int, den: int) -> DataFrame:
-    """(text_key, length, k, start, grams): windows of item sizes with enough shingles of items of that size."""
-    places = items.select("length", "k", F.explode("grams").alias("g")).distinct()
-    places = kept(places, "decontam-places")
+    """(text_key, length, k, start, grams): windows of item sizes with enough shingles of items of that size.
+
+    Only positions are counted and moved; the words of a window come back from its text once its size has enough shingles there.
+    """
+    places = kept(items.select("length", "k", F.explode("grams").alias("g")).groupBy("k", "g").agg(F.collect_set("length").alias("lengths")), "decontam-places")
     found = None
     for k in [r.k for r in places.select("k").distinct().collect()]:  # at most five values
         at = docs.select(_digest(F.col("text").cast("string")).alias("text_key"), _words(F.col("text")).alias("words"))
         at = at.select("text_key", "words", F.posexplode("words").alias("pos", "word")).where(F.col("pos") + k <= F.size("words"))
-        at = at.select("text_key", "words", "pos", _gram(F.col("words"), F.col("pos"), k).alias("g"))
-        hit = at.join(places.where(F.col("k") == k), "g")
-        # a window that starts in one block of ``length`` words ends in the next: its shared shingles are all at hand under its first block
-        block = F.floor(F.col("pos") / F.col("length")).cast("int")
-        hit = hit.withColumn("first", F.explode(F.array(block - 1, block))).withColumn("low", F.col("first") * F.col("length"))
-        hit = hit.where((F.col("low") >= 0) & (F.col("low") <= F.greatest(F.lit(0), F.size("words") - F.col("length"))))
-        around = F.slice("words", F.col("low") + 1, F.col("length") * 2)
-        hit = hit.select("text_key", "length", "k", "low", around.alias("around"), F.size("words").alias("n"), "pos")
+        at = at.select("text_key", F.size("words").alias("n"), "pos", _gram(F.col("words"), F.col("pos"), k).alias("g"))
+        hit = at.join(places.where(F.col("k") == k), "g").select("text_key", "n", "k", "pos", "lengths")
         found = hit if found is None else found.union(hit)
     if found is None:
         schema = "text_key binary, length int, k int, start int, grams array<bigint>"
         return docs.sparkSession.createDataFrame([], schema)
-    near = found.groupBy("text_key", "length", "k", "low", "n", "around").agg(F.collect_set("pos").alias("hits"))
     L, k, n = F.col("length"), F.col("k"), F.col("n")
-    last = F.least(F.col("low") + L - 1, F.greatest(F.lit(0), n - L))
     enough = _needed(F.least(n, L) - k + 1, L - k + 1, num, den)
+    # a text that all copies share comes once from a task; the sizes are unfolded where all hits of a text are at hand
+    texts = found.groupBy("text_key", "n", "k").agg(F.collect_set(F.struct("pos", "lengths")).alias("hits"))
+    hits = texts.select("text_key", "n", "k", F.explode("hits").alias("hit")).select("text_key", "n", "k", "hit.pos", F.explode("hit.lengths").alias("length"))
+    hits = hits.groupBy("text_key", "n", "k", "length").agg(F.collect_list("pos").alias("hits")).where(F.size("hits") >= enough)
+    # a window that starts in one block of ``length`` words ends in the next: its shared shingles are all at hand under its first block
+    hits = hits.select("text_key", "n", "k", "length", F.explode("hits").alias("pos"))
+    block = F.floor(F.col("pos") / L).cast("int")
+    hits = hits.withColumn("first", F.explode(F.array(block - 1, block))).withColumn("low", F.col("first") * L)
+    hits = hits.where((F.col("low") >= 0) & (F.col("low") <= F.greatest(F.lit(0), n - L)))
+    near = hits.groupBy("text_key", "n", "k", "length", "low").agg(F.collect_list("pos").alias("hits")).where(F.size("hits") >= enough)
+    last = F.least(F.col("low") + L - 1, F.greatest(F.lit(0), n - L))
     starts = F.filter(F.sequence(F.col("low"), last), lambda s: F.size(F.filter("hits", lambda p: (p >= s) & (p <= s + L - k))) >= enough)
-    near = near.select("text_key", "length", "k", "low", "around", F.explode(starts).alias("start"))
-    words = F.slice("around", F.col("start") - F.col("low") + 1, L)
-    near = near.select("text_key", "length", "k", "start", words.alias("words"))
+    near = near.select("text_key", "length", "k", F.explode(starts).alias("start"))
+    near = kept(near.groupBy("text_key").agg(F.collect_list(F.struct("length", "k", "start")).alias("windows")), "decontam-starts")
+    rows = joined_by_digest(docs.select("doc_id", F.col("text").cast("string").alias("text"), _digest(F.col("text").cast("string")).alias("digest")), near.withColumnRenamed("text_key", "digest"))
+    rows = rows.where("windows is not null").select(F.col("digest").alias("text_key"), _words(F.col("text")).alias("words"), "windows")
+    rows = rows.select("text_key", "words", F.explode("windows").alias("w")).select("text_key", "words", "w.*")
+    rows = rows.select("text_key", "length", "k", "start", F.slice("words", F.col("start") + 1, L).alias("words"))
     grams = F.lit(None).cast("array<bigint>")
     for size in range(1, SHINGLE + 1):
         grams = F.when(F.col("k") == size, _grams(F.col("words"), size)).otherwise(grams)
-    return near.select("text_key", "length", "k", "start", grams.alias("grams")).distinct()
+    return rows.select("text_key", "length", "k", "start", grams.alias("grams")).distinct()
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, num: int, den: int) -> DataFrame:

@@ -27,3 +27,23 @@ def test_a_leak_removes_its_text_only(spark):
     docs = [(None, leak), (None, words(rng, 40)), (None, None), (3, words(rng, 40)), (3, leak), (4, "")]
     clean = decontam.clean_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert sorted(map(tuple, clean.collect()), key=str) == sorted([d for d in docs if d[1] != leak], key=str)
+
+
+def test_no_join_moves_the_words_of_a_text_with_each_position(spark, monkeypatch):
+    """Joins see positions or whole texts, not a list of words for every place of a text: that grows with the square of its length."""
+    frames = []
+    written = decontam.kept
+    monkeypatch.setattr(decontam, "kept", lambda df, name: (frames.append(df), written(df, name))[1])
+    rng = random.Random(9)
+    item = words(rng, 30)
+    docs = spark.createDataFrame([(i, f"{words(rng, 20 * i)} {item} {words(rng, 20)}") for i in range(4)], "doc_id long, text string")
+    items = decontam._items(spark.createDataFrame([(1, item)], "item_id long, text string"))
+    found = decontam.windows_near_items(docs, items, 75, 100)
+    starts = {(r.length, r.start) for r in found.collect()}
+    assert {(30, 20 * i) for i in range(4)} <= starts
+
+    def joins(node):
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        return (children if node.nodeName() == "Join" else []) + [x for c in children for x in joins(c)]
+    sides = [x for f in [*frames, found] for x in joins(f._jdf.queryExecution().optimizedPlan())]
+    assert sides and not [x for x in sides if '"elementType":"string"' in x.schema().json()]
