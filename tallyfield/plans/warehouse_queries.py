@@ -138,8 +138,10 @@ def m9(f):
 def _star(f):
     io = f.int_orders()
     stg = f.stg()
-    return dict(stg=stg, stg_cust=mart(f.spark, f.sf_dir, "stg_customers", lambda: warehouse.stg_customers(stg)), lines=io,
-                dim_cust=f.dim_customers(), dim_prod=mart(f.spark, f.sf_dir, "dim_products", lambda: warehouse.dim_products(stg)), orders=warehouse.fact_orders(io),
+    # the numbered lines are the staged lines in date and customer order: a task meets the lines of an invoice next to each other and
+    # sends one row for them, whereas the staged table scatters them
+    return dict(stg=stg, stg_cust=mart(f.spark, f.sf_dir, "stg_customers", lambda: warehouse.stg_customers(io)), lines=io,
+                dim_cust=f.dim_customers(io), dim_prod=mart(f.spark, f.sf_dir, "dim_products", lambda: warehouse.dim_products(stg)), orders=warehouse.fact_orders(io),
                 returns=warehouse.fact_returns(io))
 
 

@@ -1,10 +1,15 @@
+import datetime
+import time
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from fixtures import raw_lines
-from tallyfield.functions import ordering
+from tallyfield.functions import durable, ordering
 from tallyfield.functions.durable import stored
 from tallyfield.operators import quality, reporting, rfm, warehouse
+from tallyfield.plans import frames
 from tallyfield.sources import tables, transactions
 
 
@@ -33,6 +38,88 @@ def test_line_numbers_are_sorted_in_pieces_that_fit(spark, monkeypatch):
     assert seen[0].rdd.getNumPartitions() >= 15
 
 
+def test_storing_a_table_leaves_no_shuffle_on_disk(spark):
+    """A stored table is read back from its file, so nothing of the shuffles that made it may stay, and the caller's setting does."""
+    def kept():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+    before = kept()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, "false")
+    table = stored(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count().repartitionByRange(3, "k"))
+    until = time.time() + 20
+    while kept() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not kept() - before and spark.conf.get(name, "false") == was
+    assert table.count() == 700 and table.agg(F.sum("count")).first()[0] == 5000
+
+
+def test_line_numbers_in_slices_are_those_of_one_piece(spark, monkeypatch):
+    """A large table is moved slice by slice of its dates: NULL dates first, a date that most lines share, dates that fall on a cut."""
+    lines = spark.range(3000).select(
+        F.concat(F.lit("i"), F.col("id") % 40).alias("invoice_no"), (F.col("id") % 7).cast("string").alias("stock_code"), F.lit(None).cast("string").alias("description"),
+        (F.col("id") % 3).cast("int").alias("quantity"),
+        F.when(F.col("id") % 11 == 0, None).when(F.col("id") % 2 == 0, F.lit("2020-02-03")).otherwise(
+            F.concat(F.lit("2020-02-0"), F.col("id") % 5 + 1, F.lit(" 10:00:00.00000"), F.col("id") % 3)).cast("timestamp_ntz").alias("invoice_date"),
+        F.lit(1.0).alias("unit_price"), (F.col("id") % 13).alias("customer_id"), F.lit("x").alias("country"), F.col("id").cast("double").alias("line_total"),
+        F.lit(False).alias("is_cancelled"), F.lit(False).alias("is_return"))
+    whole = sorted(map(tuple, warehouse.int_orders(lines).collect()))
+    written = []
+    monkeypatch.setattr(durable, "SHUFFLED_ROWS", 400)
+    monkeypatch.setattr(ordering, "stored", lambda df, name="table", *more: written.extend([df, *more]) or stored(df, name, *more))
+    assert sorted(map(tuple, warehouse.int_orders(lines).collect())) == whole
+    assert [r[0] for r in whole] == list(range(1, 3001))
+    sizes = [w.count() for w in written]
+    assert len(sizes) > 3 and sum(sizes) == 3000 and max(sizes) < 1600
+    undated = lines.withColumn("invoice_date", F.lit(None).cast("timestamp_ntz"))
+    assert sorted(r[0] for r in warehouse.int_orders(undated).collect()) == list(range(1, 3001))
+
+
+def test_staged_in_slices_of_orders(spark, monkeypatch, tmp_path):
+    """Every line is staged once, also one without an order key, without its order or part, and one whose order comes twice."""
+    def put(name, rows):
+        spark.createDataFrame(rows, transactions.SCHEMAS[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    day = datetime.datetime(2020, 1, 1)
+    put("nation", [(0, "N0", 0), (1, "N1", 0)])
+    put("customer", [(c, "c", c % 3, 0.0, "m") for c in range(9)])
+    put("part", [(p, f"p{p}", "b", "t", 1, 1.0) for p in range(6)])
+    put("orders", [(o, o % 10, "F", 1.0, day + datetime.timedelta(days=o % 17), "1") for o in [*range(60), 3]])
+    put("lineitem", [(None if i % 50 == 0 else i % 70, None if i % 31 == 0 else i % 8, 1, 1, float(i % 5 + 1), float(i + 1), 0.0, 0.0,
+                      (None, "R", "N")[i % 3], "O", day) for i in range(400)])
+    found = []
+    for rows in (1000, 100):
+        monkeypatch.setattr(durable, "SHUFFLED_ROWS", rows)
+        monkeypatch.setattr(frames, "_MARTS", {})
+        staged = frames.Frames(spark, str(tmp_path)).stg()
+        found.append(sorted(map(str, staged.collect())))
+        assert len(found[-1]) == warehouse.stg_orders(transactions.adapt_orders(spark, str(tmp_path))).count()
+    assert found[0] == found[1]
+
+
+def test_dimensions_count_an_invoice_once(spark):
+    """Sums come from the lines and counts from the invoices, whatever an invoice repeats; without a stock code, a product of its own."""
+    rows = [(None if i % 9 == 0 else f"{'C' if i % 4 == 0 else ''}{i % 12}", None if i % 7 == 0 else f"s{i % 5}", f"d{i % 3}", None if i % 10 == 0 else (-1 if i % 4 == 0 else i % 6),
+             datetime.datetime(2020, 1, 1 + i % 28), i / 3, i % 4, f"c{i % 2}", None if i % 13 == 0 else i / 7, i % 4 == 0, i % 4 == 0) for i in range(200)]
+    names = ["invoice_no", "stock_code", "description", "quantity", "invoice_date", "unit_price", "customer_id", "country", "line_total", "is_cancelled", "is_return"]
+    lines = spark.createDataFrame(rows, "invoice_no string, stock_code string, description string, quantity int, invoice_date timestamp_ntz, unit_price double, "
+                                  "customer_id bigint, country string, line_total double, is_cancelled boolean, is_return boolean").repartition(5)
+    pdf = pd.DataFrame(rows, columns=names)
+    got = {r["customer_id"]: r for r in warehouse.dim_customers(lines).collect()}
+    assert set(got) == set(pdf["customer_id"])
+    for c, own in pdf.groupby("customer_id"):
+        assert got[c]["total_orders"] == own[~own["is_return"]]["invoice_no"].nunique(dropna=False)
+        assert got[c]["total_return_orders"] == own[own["is_return"]]["invoice_no"].nunique(dropna=False)
+        assert got[c]["total_items_purchased"] == own["quantity"].clip(lower=0).sum() and got[c]["total_items_returned"] == -own["quantity"].clip(upper=0).sum()
+        assert got[c]["total_spend"] == pytest.approx(own["line_total"].sum(), abs=0.006)
+        assert got[c]["last_purchase_date"] == own["invoice_date"].max() and got[c]["country"] == own["country"].max()
+    goods = {r["stock_code"]: r for r in warehouse.dim_products(lines).collect()}
+    for s, own in pdf.groupby("stock_code", dropna=False):
+        r = goods[None if pd.isna(s) else s]
+        assert r["total_orders"] == own[~own["is_return"]]["invoice_no"].nunique(dropna=False)
+        assert r["total_quantity_sold"] == own["quantity"].sum() and r["avg_unit_price"] == pytest.approx(own["unit_price"].mean(), abs=0.006)
+    assert len(goods) == pdf["stock_code"].nunique(dropna=False)
+
+
 def test_staging_drops_and_flags(stg):
     rows = {(r["invoice_no"], r["stock_code"]): r for r in stg.collect()}
     assert ("7", "A") not in rows and ("8", "A") not in rows
