@@ -471,8 +471,13 @@ def labelled_tuples(frames: DataFrame, label: str, labels: Sequence[str], model:
     return (value_tuples if model == "gammagamma" else purchase_tuples)(frames, weights)
 
 
-def fit_labelled(tuples: DataFrame, labels: Sequence[str], model: str) -> dict[str, Fit]:
-    """One fit per label of ``labelled_tuples`` (for instance a cutoff), all in the same passes."""
+def fit_labelled(frames: DataFrame, *given) -> dict[str, Fit]:
+    """One fit per label (for instance a cutoff), all in the same passes.
+
+    ``(tuples, labels, model)`` takes the rows of ``labelled_tuples``, ``(frames, label, labels, model)`` the rows that those are made from.
+    """
+    *label, labels, model = given
+    tuples = labelled_tuples(frames, *label, labels, model) if label else frames
     return dict(zip(labels, fit(tuples, model, len(labels))))
 
 
